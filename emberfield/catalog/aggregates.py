@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberfield.catalog import registry as r
 from emberfield.catalog.joins import RESULTS_SQL, _rule_results
 from emberfield.catalog.registry import query, rounded
-from emberfield.functions import grid
+from emberfield.functions.ordered import exact_quantiles
 from emberfield.operators import cells, context, events, metrics, normalize, profile, quality
 from emberfield.sources import views
 
@@ -143,7 +143,7 @@ _QUANTILES = {
     ),
 )
 def a10(spark, folder):
-    return rounded(profile.percentile_table(views.detections(spark, folder), _QUANTILES), "value")
+    return rounded(exact_quantiles(views.detections(spark, folder), _QUANTILES), "value")
 
 
 @query(
@@ -420,7 +420,7 @@ def a29(spark, folder):
         round(count(*) FILTER (WHERE osm_context_available)*100.0::double/count(*), 2) AS overlap_percent FROM {assembled}""",
 )
 def a30(spark, folder):
-    return context.coverage_summary(r.assembled(spark, folder))
+    return context.coverage_summary(r.assembled(r.stored_cells(spark, folder), folder))
 
 
 @query(

@@ -21,7 +21,7 @@ _CTX_ALL = (
 
 @query("j1_radius_context", f"SELECT {_CTX_ALL} FROM {{ctx}}")
 def j1(spark, folder):
-    return rounded(r.context_table(spark, folder), "osm_min_distance_m")
+    return rounded(r.context_table(r.stored_cells(spark, folder), folder), "osm_min_distance_m")
 
 
 @query(
@@ -37,13 +37,14 @@ def j1(spark, folder):
        GROUP BY q.grid_id""",
 )
 def j2(spark, folder):
-    rows = spatial.nearest_context(r.queried(spark, folder), views.map_objects(spark, folder))
+    table = r.stored_cells(spark, folder)
+    rows = spatial.nearest_context(r.queried(table), views.map_objects(spark, folder))
     return rounded(rows.drop("lat_grid", "lon_grid"), "osm_min_distance_m")
 
 
 @query("j3_assemble_context", f"SELECT {_CTX_ALL}, osm_context_available FROM {{assembled}}")
 def j3(spark, folder):
-    return rounded(r.assembled(spark, folder), "osm_min_distance_m")
+    return rounded(r.assembled(r.stored_cells(spark, folder), folder), "osm_min_distance_m")
 
 
 @query(
@@ -70,7 +71,8 @@ def j5(spark, folder):
     " (SELECT count(*) FROM {cells}) = (SELECT count(*) FROM {ctx}) AS same_keys",
 )
 def j6(spark, folder):
-    return context.key_difference(r.grid_cells(spark, folder), r.context_table(spark, folder))
+    table = r.stored_cells(spark, folder)
+    return context.key_difference(table, r.context_table(table, folder))
 
 
 @query(
@@ -161,8 +163,9 @@ def j9(spark, folder):
       FROM {events_t} e LEFT JOIN (SELECT * FROM {ctx} WHERE osm_feature_count > 0 OR lat_grid < 20) v USING (grid_id)""",
 )
 def j10(spark, folder):
-    verified = r.context_table(spark, folder).where("osm_feature_count > 0 or lat_grid < 20")
-    rows = context.update_context(r.event_table(spark, folder), verified)
+    table = r.stored_cells(spark, folder)
+    verified = r.context_table(table, folder).where("osm_feature_count > 0 or lat_grid < 20")
+    rows = context.update_context(r.events_of(table, folder), verified)
     return rounded(
         rows.select("event_id", "grid_id", "osm_context_available", "osm_feature_count", "osm_power_count",
                     "osm_min_distance_m"),
@@ -228,7 +231,7 @@ def j12(spark, folder):
     "SELECT tile_id, tile_south, tile_west FROM {tiles} WHERE NOT ((tr+tc)%3 <> 0 AND (tr+tc)%5 <> 0)",
 )
 def j13(spark, folder):
-    tile_table = r.tiles(spark, folder)
+    tile_table = r.tiles(r.stored_cells(spark, folder))
     key = (F.floor(F.col("tile_south") / 0.25) + F.floor(F.col("tile_west") / 0.25)).cast("int")
     stored = tile_table.where(F.pmod(key, F.lit(5)) != 0)
     todo = context.tiles_to_do(tile_table, r.manifest(tile_table), stored)
@@ -266,8 +269,9 @@ def j14(spark, folder):
        WHERE rn = 1""",
 )
 def w1(spark, folder):
-    near = spatial.radius_context(r.queried(spark, folder), views.map_objects(spark, folder), 1500.0)
-    both = r.context_table(spark, folder).unionByName(near)
+    table = r.stored_cells(spark, folder)
+    near = spatial.radius_context(r.queried(table), views.map_objects(spark, folder), 1500.0)
+    both = r.context_table(table, folder).unionByName(near)
     rows = context.strongest_per_cell(both).select("grid_id", "osm_feature_count", "osm_min_distance_m")
     return rounded(rows, "osm_min_distance_m")
 
@@ -278,7 +282,7 @@ def w1(spark, folder):
     " WHERE timestamp = last",
 )
 def w2(spark, folder):
-    return context.latest_tile_status(r.manifest(r.tiles(spark, folder)))
+    return context.latest_tile_status(r.manifest(r.tiles(r.stored_cells(spark, folder))))
 
 
 @query(
@@ -310,7 +314,7 @@ def w3(spark, folder):
                                 FROM range(40) t(i))""",
 )
 def w4(spark, folder):
-    return spatial.sample_tiles(r.tiles(spark, folder), 40).select("tile_id", "tile_south", "tile_west")
+    return spatial.sample_tiles(r.tiles(r.grid_cells(spark, folder)), 40).select("tile_id", "tile_south", "tile_west")
 
 
 @query(

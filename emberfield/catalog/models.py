@@ -139,7 +139,7 @@ def m18(spark, folder):
 
 
 def _final(spark, folder):
-    table = materialize(r.cells_with_context(spark, folder), "cells")
+    table = materialize(r.cells_with_context(r.stored_cells(spark, folder), folder), "cells")
     model, metadata = training.train_final(table, SMALL)
     return table, model, metadata
 
@@ -182,11 +182,12 @@ _MODEL_TEXT = " ".join(f"WHEN {k} THEN '{t}'" for k, t in MODEL_CLASS_LABELS.ite
       FROM {{pred}} c JOIN {{assembled}} a USING (grid_id)""",
 )
 def m20(spark, folder):
-    rows = r.rule_predictions(spark, folder).select(
+    table = r.stored_cells(spark, folder)
+    rows = r.with_rule(table).select(
         "grid_id", "prediction", F.col("score").alias("model_score"), "active_days", "persistence_days",
         "observation_count",
     )
-    context = r.assembled(spark, folder).select("grid_id", "osm_context_available", "osm_industrial_count")
+    context = r.assembled(table, folder).select("grid_id", "osm_context_available", "osm_industrial_count")
     return scoring.describe_predictions(rows.join(context, "grid_id"), "rule").select(
         "grid_id", "explanation_summary"
     )

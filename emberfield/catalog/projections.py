@@ -143,7 +143,8 @@ def p9(spark, folder):
     "SELECT grid_id, printf('%.6f_%.6f', tr*0.25::double, tc*0.25::double) AS tile_id FROM {tile_of}",
 )
 def p10(spark, folder):
-    rows = spatial.cells_in_tiles(r.grid_cells(spark, folder), r.tiles(spark, folder))
+    table = r.stored_cells(spark, folder)
+    rows = spatial.cells_in_tiles(table, r.tiles(table))
     return rows.select("grid_id", "tile_id")
 
 
@@ -246,8 +247,9 @@ def p19(spark, folder):
     f"SELECT {EVENT_SQL} FROM {{events_t}} WHERE id = (SELECT max(id) FROM {{events_t}})",
 )
 def p20(spark, folder):
-    table = r.event_table(spark, folder)
-    key = r.grid_cells(spark, folder).agg(
+    cell_table = r.stored_cells(spark, folder)
+    table = r.events_of(cell_table, folder)
+    key = cell_table.agg(
         F.max(grid.lattice_id(F.col("lat_grid"), F.col("lon_grid"))).alias("id")
     ).first()["id"]
     return rounded(events.find_hotspot(table, key), *_ROUND)
@@ -287,7 +289,7 @@ _FEATURE_SETS_SQL = " UNION ALL ".join(
 
 @query("p23_feature_sets", _FEATURE_SETS_SQL)
 def p23(spark, folder):
-    table = r.cells_with_context(spark, folder)
+    table = r.cells_with_context(r.stored_cells(spark, folder), folder)
     out = None
     for name, names in FEATURE_SETS.items():
         rows = quality.feature_matrix(table, name).na.drop(subset=names)
@@ -423,7 +425,7 @@ def t4(spark, folder):
     "SELECT tile_id, tile_south, tile_west FROM {tiles} ORDER BY tile_south, tile_west LIMIT 25",
 )
 def t6(spark, folder):
-    return spatial.first_tiles(r.tiles(spark, folder), 25).select("tile_id", "tile_south", "tile_west")
+    return spatial.first_tiles(r.tiles(r.grid_cells(spark, folder)), 25).select("tile_id", "tile_south", "tile_west")
 
 
 @query(

@@ -10,6 +10,7 @@ from emberfield.catalog.check_sql import with_tables
 from emberfield.constants import CONTEXT_FEATURES
 from emberfield.functions import grid
 from emberfield.operators import cells, context, events, normalize, spatial
+from emberfield.session import materialize
 from emberfield.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,14 +59,23 @@ def live_cells(spark: SparkSession, folder: str) -> DataFrame:
     return cells.aggregate_live(clipped)
 
 
+def stored_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled cells written once, for queries that need them several times.
+
+    Everything around the map context starts from the cell table; without this
+    each use would go back to the detections.
+    """
+    return materialize(labelled_cells(spark, folder), "cells")
+
+
 def grid_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Key columns of the archive cells."""
     rows = cells.aggregate_archive(archive(spark, folder))
     return rows.select("grid_id", "lat_grid", "lon_grid", "observation_count", "active_days")
 
 
-def tiles(spark: SparkSession, folder: str) -> DataFrame:
-    return spatial.active_tiles(grid_cells(spark, folder), 1)
+def tiles(cell_table: DataFrame) -> DataFrame:
+    return spatial.active_tiles(cell_table, 1)
 
 
 def manifest(tile_table: DataFrame) -> DataFrame:
@@ -98,28 +108,33 @@ def manifest(tile_table: DataFrame) -> DataFrame:
     return rows(base, first, "2024-01-01").unionByName(rows(again, final, "2024-01-02"))
 
 
-def queried(spark: SparkSession, folder: str) -> DataFrame:
+def queried(cell_table: DataFrame) -> DataFrame:
     """Archive cells whose tile was extracted."""
-    rows, tile_table = grid_cells(spark, folder), tiles(spark, folder)
-    return context.queried_cells(rows, tile_table, manifest(tile_table))
+    tile_table = tiles(cell_table)
+    return context.queried_cells(cell_table, tile_table, manifest(tile_table))
 
 
-def context_table(spark: SparkSession, folder: str) -> DataFrame:
-    return spatial.radius_context(queried(spark, folder), views.map_objects(spark, folder))
+def context_table(cell_table: DataFrame, folder: str) -> DataFrame:
+    objects = views.map_objects(cell_table.sparkSession, folder)
+    return spatial.radius_context(queried(cell_table), objects)
 
 
-def assembled(spark: SparkSession, folder: str) -> DataFrame:
-    return context.assemble(grid_cells(spark, folder), context_table(spark, folder))
+def assembled(cell_table: DataFrame, folder: str) -> DataFrame:
+    return context.assemble(cell_table, context_table(cell_table, folder))
 
 
-def cells_with_context(spark: SparkSession, folder: str) -> DataFrame:
-    joined = assembled(spark, folder).drop("lat_grid", "lon_grid")
-    return labelled_cells(spark, folder).join(joined, "grid_id")
+def cells_with_context(cell_table: DataFrame, folder: str) -> DataFrame:
+    joined = assembled(cell_table, folder).drop("lat_grid", "lon_grid")
+    return cell_table.join(joined, "grid_id")
 
 
 def event_table(spark: SparkSession, folder: str) -> DataFrame:
     """Archive events with context; every third one poses as a live event."""
-    rows = cells_with_context(spark, folder)
+    return events_of(stored_cells(spark, folder), folder)
+
+
+def events_of(cell_table: DataFrame, folder: str) -> DataFrame:
+    rows = cells_with_context(cell_table, folder)
     place = grid.cell_index(F.col("lat_grid")) + grid.cell_index(F.col("lon_grid"))
     prefix = F.when(F.pmod(place, F.lit(3)) == 0, "firms-").otherwise("hist-")
     return events.archive_event_records(rows, prefix)
@@ -127,17 +142,21 @@ def event_table(spark: SparkSession, folder: str) -> DataFrame:
 
 def matched(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled cells that have context, for the experiments."""
+    table = stored_cells(spark, folder)
     return context.matched_population(
-        labelled_cells(spark, folder),
-        context_table(spark, folder).select("grid_id", *CONTEXT_FEATURES),
+        table, context_table(table, folder).select("grid_id", *CONTEXT_FEATURES)
     )
 
 
 def rule_predictions(spark: SparkSession, folder: str) -> DataFrame:
     """A fixed rule in the place of a model, so metrics have an exact check."""
+    return with_rule(labelled_cells(spark, folder))
+
+
+def with_rule(cell_table: DataFrame) -> DataFrame:
     days = F.col("active_days")
     guess = F.when(days >= 10, 2).when(days >= 4, 1).when(days <= 2, 0).otherwise(3)
-    return labelled_cells(spark, folder).withColumns(
+    return cell_table.withColumns(
         {
             "label": F.col("target_multiclass"),
             "prediction": guess,

@@ -10,7 +10,7 @@ from emberfield.catalog.registry import query, rounded
 from emberfield.constants import DETECTION_FEATURES
 from emberfield.functions import grid
 from emberfield.operators import context, events, metrics, normalize
-from emberfield.session import scratch_path
+from emberfield.session import materialize, scratch_path
 from emberfield.sinks import tables as sinks
 from emberfield.sources import files, views
 
@@ -60,11 +60,8 @@ _CTX_NAMES = [
 ]
 
 
-def _write_tile_files(spark, folder, path, shift=None):
+def _write_tile_files(rows, path):
     """Context as CSV files, one folder per row of tiles."""
-    rows = r.context_table(spark, folder)
-    if shift is not None:
-        rows = rows.withColumn("osm_feature_count", F.col("osm_feature_count") + F.lit(shift))
     south = grid.tile_edge(F.col("lat_grid")).alias("south")
     (
         rows.select("*", south)
@@ -79,14 +76,14 @@ def _write_tile_files(spark, folder, path, shift=None):
 @query("s3a_context_tiles_strict", f"SELECT {_CTX} FROM {{ctx}}")
 def s3a(spark, folder):
     path = scratch_path(spark, "tiles")
-    _write_tile_files(spark, folder, path)
+    _write_tile_files(r.context_table(r.stored_cells(spark, folder), folder), path)
     return rounded(files.context_tiles(spark, f"{path}/*/*.csv").select(*_CTX_NAMES), "osm_min_distance_m")
 
 
 @query("s3b_context_tiles_per_file", f"SELECT {_CTX} FROM {{ctx}}")
 def s3b(spark, folder):
     path = scratch_path(spark, "tiles")
-    _write_tile_files(spark, folder, path)
+    _write_tile_files(r.context_table(r.stored_cells(spark, folder), folder), path)
     rows = files.context_tiles(spark, f"{path}/*/*.csv", per_file=True)
     return rounded(rows.select(*_CTX_NAMES), "osm_min_distance_m")
 
@@ -98,11 +95,14 @@ def s3b(spark, folder):
 )
 def s3c(spark, folder):
     path = scratch_path(spark, "tiles")
-    _write_tile_files(spark, folder, f"{path}/a")
-    _write_tile_files(spark, folder, f"{path}/b", shift=1)
+    table = r.stored_cells(spark, folder)
+    rows = materialize(r.context_table(table, folder), "context")
+    _write_tile_files(rows, f"{path}/a")
+    newer = rows.withColumn("osm_feature_count", F.col("osm_feature_count") + F.lit(1))
+    _write_tile_files(newer, f"{path}/b")
     # A file that lacks the context columns must be skipped, not fail the scan.
-    sinks.write_csv(r.grid_cells(spark, folder).select("grid_id", "lat_grid"), f"{path}/c/short")
-    wanted = r.grid_cells(spark, folder).where("active_days >= 2")
+    sinks.write_csv(table.select("grid_id", "lat_grid"), f"{path}/c/short")
+    wanted = table.where("active_days >= 2")
     rows = files.context_tiles_lenient(spark, f"{path}/*/*/*.csv", wanted)
     return rounded(rows.select(*_CTX_NAMES), "osm_min_distance_m")
 
@@ -234,7 +234,7 @@ def s9(spark, folder):
 def s10(spark, folder):
     path = scratch_path(spark, "manifest")
     # Nothing has been written yet: the scan gives an empty table.
-    rows = files.tile_manifest(spark, path).unionByName(r.manifest(r.tiles(spark, folder)))
+    rows = files.tile_manifest(spark, path).unionByName(r.manifest(r.tiles(r.grid_cells(spark, folder))))
     sinks.append_manifest(rows, path)
     return files.tile_manifest(spark, path).select("tile_id", "south", "west", "north", "east", "status")
 
@@ -249,10 +249,10 @@ def s10(spark, folder):
 )
 def k1(spark, folder):
     path = scratch_path(spark, "context")
-    rows = r.context_table(spark, folder)
+    rows = materialize(r.context_table(r.stored_cells(spark, folder), folder), "context")
     sinks.write_context_tiles(rows, path)
-    # Writing one hemisphere of tiles again replaces those partitions only.
-    sinks.write_context_tiles(rows.where("lat_grid >= 20"), path)
+    # Writing some tiles again replaces those tiles and keeps their neighbours.
+    sinks.write_context_tiles(rows.where("lat_grid >= 20 and lon_grid < 85"), path)
     return rounded(spark.read.parquet(path).select(*_CTX_NAMES, "tile_id"), "osm_min_distance_m")
 
 
@@ -279,7 +279,7 @@ def k2(spark, folder):
 )
 def k3(spark, folder):
     path = scratch_path(spark, "manifest")
-    rows = r.manifest(r.tiles(spark, folder))
+    rows = r.manifest(r.tiles(r.grid_cells(spark, folder)))
     for day in ("2024-01-01", "2024-01-02"):
         sinks.append_manifest(rows.where(F.col("timestamp") == F.lit(day).cast("timestamp")), path)
     return (

@@ -13,73 +13,92 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 _RANGES = 64
 
 
-def _split_points(df: DataFrame, column: str, parts: int) -> Column:
-    """At most ``parts - 1`` numbers, as a scalar subquery (no collect, no join)."""
-    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    return df.agg(F.percentile_approx(column, shares, F.lit(10_000)).alias("p")).scalar()
-
-
 def running_totals(
-    df: DataFrame, order_by: str, sums: list[str], parts: int = _RANGES
+    df: DataFrame, order_by: str, sums: list[str], by: str | None = None, parts: int = _RANGES
 ) -> DataFrame:
     """Add ``<name>_upto``: inclusive running sums in ascending ``order_by``.
 
-    ``order_by`` must be numeric and unique per row (group by it first).
+    ``order_by`` must be numeric, and unique inside each group of ``by`` (fold
+    equal values first). ``by`` names a handful of independent series.
     """
+    series = df.withColumn("_series", F.col(by) if by else F.lit(0))
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    # One row per series, an array of at most `parts - 1` numbers in each.
+    splits = series.groupBy("_series").agg(
+        F.percentile_approx(order_by, shares, F.lit(10_000)).alias("_splits")
+    )
     ranged = (
-        df.withColumn("_splits", _split_points(df, order_by, parts))
+        series.join(F.broadcast(splits), "_series")
         .withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col(order_by))))
         .drop("_splits")
     )
-    inside = Window.partitionBy("_range").orderBy(order_by).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    # At most `parts` rows per series, in the totals and in the window on them.
+    totals = ranged.groupBy("_series", "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    earlier = (
+        Window.partitionBy("_series").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
-    # One row per range: never more than `parts` rows.
-    totals = ranged.groupBy("_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
+        "_series",
         "_range",
         *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_b_{s}") for s in sums],
     )
-    joined = ranged.select(
-        "*", *[F.sum(s).over(inside).alias(f"_i_{s}") for s in sums]
-    ).join(F.broadcast(before), "_range")
-    return joined.select(
+    inside = (
+        Window.partitionBy("_series", "_range")
+        .orderBy(order_by)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    running = ranged.select("*", *[F.sum(s).over(inside).alias(f"_i_{s}") for s in sums])
+    return running.join(F.broadcast(before), ["_series", "_range"]).select(
         *df.columns,
         *[(F.col(f"_i_{s}") + F.col(f"_b_{s}")).alias(f"{s}_upto") for s in sums],
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation: rows ``(share, value)``.
+def exact_quantiles(df: DataFrame, wanted: dict[str, list[float]]) -> DataFrame:
+    """Exact quantiles with linear interpolation: rows ``(column, share, value)``.
 
-    Equal values collapse before anything is ordered, so a value that fills a
-    third of the table is one row from then on.
+    All columns are unpivoted and counted in one scan. Equal values collapse
+    before anything is ordered, so a value that fills a third of the table is
+    one row from then on.
     """
-    values = df.select(F.col(column).cast("double").alias("v")).where(
-        "v is not null and not isnan(v)"
+    pairs = F.array(
+        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in wanted]
+    )
+    counts = (
+        df.select(F.inline(pairs))
+        .where("v is not null and not isnan(v)")
+        .groupBy("column", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    rows = counts.groupBy("column").agg(F.sum("n").alias("rows"))
+    placed = (
+        running_totals(counts, "v", ["n"], by="column")
+        .withColumn("n_before", F.col("n_upto") - F.col("n"))
+        .join(F.broadcast(rows), "column")  # one row per described column
     )
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    placed = running_totals(counts, "v", ["n"]).withColumn("n_before", F.col("n_upto") - F.col("n"))
-    rows = counts.agg(F.sum("n").alias("rows")).scalar()
 
     def value_at(rank: Column) -> Column:
         here = (F.col("n_before") <= rank) & (rank < F.col("n_upto"))
         return F.max(F.when(here, F.col("v")))
 
-    points, picks = [], []
+    shares = sorted({float(s) for column in wanted.values() for s in column})
+    picks, points = [], []
     for i, share in enumerate(shares):
-        place = F.lit(float(share)) * (rows - F.lit(1)).cast("double")
+        place = F.lit(share) * (F.col("rows") - F.lit(1)).cast("double")
         picks += [
             value_at(F.floor(place)).alias(f"lo{i}"),
             value_at(F.ceil(place)).alias(f"hi{i}"),
             F.max(place - F.floor(place)).alias(f"w{i}"),
         ]
         lo, hi, w = F.col(f"lo{i}"), F.col(f"hi{i}"), F.col(f"w{i}")
-        points.append(
-            F.struct(F.lit(float(share)).alias("share"), (lo + (hi - lo) * w).alias("value"))
+        points.append(F.struct(F.lit(share).alias("share"), (lo + (hi - lo) * w).alias("value")))
+    asked = F.lit(False)
+    for c, column_shares in wanted.items():
+        asked = asked | (
+            (F.col("column") == c) & F.col("share").isin([float(s) for s in column_shares])
         )
-    return placed.agg(*picks).select(F.inline(F.array(*points)))
+    table = placed.groupBy("column").agg(*picks)
+    return table.select("column", F.inline(F.array(*points))).where(asked)
 
 
 def keep_one(

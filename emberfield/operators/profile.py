@@ -57,10 +57,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
         ]
     )
     basic = df.agg(*stats).select(F.inline(rows))
-    quartiles = None
-    for c in columns:
-        q = exact_quantiles(df, c, [0.25, 0.5, 0.75]).withColumn("column", F.lit(c))
-        quartiles = q if quartiles is None else quartiles.unionByName(q)
+    quartiles = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
     wide = quartiles.groupBy("column").agg(
         F.max(F.when(F.col("share") == 0.25, F.col("value"))).alias("p25"),
         F.max(F.when(F.col("share") == 0.5, F.col("value"))).alias("p50"),
@@ -210,7 +207,7 @@ def cell_profile(rows: DataFrame) -> DataFrame:
 
 def profile_summary(profile: DataFrame) -> DataFrame:
     """Means, and the exact median of active days, over profiled cells."""
-    middle = exact_quantiles(profile, "active_days", [0.5]).select("value").scalar()
+    middle = exact_quantiles(profile, {"active_days": [0.5]}).select("value").scalar()
     return profile.agg(
         F.count(F.lit(1)).alias("cells"),
         F.avg("active_days").alias("mean_active_days"),
@@ -245,14 +242,6 @@ def threshold_counts(counts: DataFrame, thresholds: list[int] = OBSERVATION_THRE
     return one.select(F.inline(pairs))
 
 
-def percentile_table(df: DataFrame, wanted: dict[str, list[float]]) -> DataFrame:
-    out = None
-    for column, shares in wanted.items():
-        one = exact_quantiles(df, column, shares).select(F.lit(column).alias("column"), "share", "value")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def zero_share(df: DataFrame, column: str = "frp") -> DataFrame:
     value = F.col(column)
     return df.agg(

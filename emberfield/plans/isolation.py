@@ -105,4 +105,5 @@ def score(forest: list[list], rows: DataFrame, names: list[str]) -> DataFrame:
 
 def threshold(scored_train: DataFrame, contamination: float = 0.015) -> Column:
     """Score above which the given share of the training rows lies."""
-    return exact_quantiles(scored_train, "anomaly_score", [1.0 - contamination]).select("value").scalar()
+    cut = exact_quantiles(scored_train, {"anomaly_score": [1.0 - contamination]})
+    return cut.select("value").scalar()

@@ -53,7 +53,7 @@ def prepare_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
 
 
-def _boosting(size: Size, depth: int, subsample: float) -> OneVsRest:
+def _boosting(size: Size, depth: int, subsample: float, columns: str) -> OneVsRest:
     # Spark's boosted trees are binary, so one booster per class is fitted; the
     # class scores are normalised in `class_scores`.
     booster = GBTClassifier(
@@ -61,6 +61,7 @@ def _boosting(size: Size, depth: int, subsample: float) -> OneVsRest:
         maxDepth=depth,
         stepSize=0.08,
         subsamplingRate=subsample,
+        featureSubsetStrategy=columns,
         checkpointInterval=10,
         seed=SEED,
     )
@@ -90,9 +91,9 @@ def estimator(name: str, rows: int, size: Size = Size()):
             )
         ]
     if name == "hist_gradient_boosting":
-        return [_boosting(size, size.boost_depth, 1.0)]
+        return [_boosting(size, size.boost_depth, 1.0, "all")]
     if name == "xgboost":
-        return [_boosting(size, size.boost_depth_wide, 0.9)]
+        return [_boosting(size, size.boost_depth_wide, 0.9, "0.9")]
     raise ValueError(f"unknown model {name}")
 
 

@@ -2,33 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from emberfield import schemas
 from emberfield.constants import TILE_SIZE
 from emberfield.functions import grid
-from emberfield.sources.files import list_files
+from emberfield.session import materialize
+
+
+_VERSIONS = T.StructType(
+    [T.StructField("version", T.StringType()), T.StructField("path", T.StringType())]
+)
 
 
 def publish_snapshot(df: DataFrame, root: str, version: str) -> str:
-    """Write a complete new version beside the old ones.
+    """Write a complete new version beside the old ones, then announce it.
 
-    Readers follow the newest version that has a ``_SUCCESS`` marker, so they
-    see the old table until the write job has committed, and a failed job
-    changes nothing. The input may be the current version: nothing is
-    overwritten in place.
+    Readers follow the newest announced version, so they see the old table
+    until the write job has committed, and a failed job changes nothing. The
+    input may be the current version: nothing is overwritten in place.
     """
     path = f"{root}/snapshot={version}"
     df.write.mode("errorifexists").parquet(path)
+    row = df.sparkSession.createDataFrame([(version, path)], _VERSIONS)
+    row.coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return path
 
 
 def newest_snapshot(spark: SparkSession, root: str) -> str:
-    """Folder of the newest committed version."""
-    marker = list_files(spark, f"{root}/snapshot=*/_SUCCESS").agg(F.max("path").alias("p")).first()["p"]
-    if marker is None:
-        raise FileNotFoundError(root)
-    return marker.rsplit("/", 1)[0]
+    """Folder of the newest announced version (by name)."""
+    versions = spark.read.schema(_VERSIONS).parquet(f"{root}/versions")
+    return versions.agg(F.max_by("path", "version").alias("path")).first()["path"]
 
 
 def write_event_table(df: DataFrame, root: str, version: str) -> str:
@@ -42,18 +47,49 @@ def write_event_table(df: DataFrame, root: str, version: str) -> str:
 
 
 def write_context_tiles(context: DataFrame, root: str) -> None:
-    """Tiles as partitions; only the partitions present in the input change."""
-    tile = grid.tile_key(F.col("lat_grid"), F.col("lon_grid"), TILE_SIZE)
+    """Store context tiles; tiles in the input replace their stored version.
+
+    Files are grouped by row of tiles (at most 720 on the globe) and not by
+    tile, which would leave a million tiny files. Rows of tiles that the input
+    touches are rewritten with their other tiles kept, and swapped in by one
+    dynamic-overwrite commit.
+    """
+    spark = context.sparkSession
+    lat, lon = F.col("lat_grid"), F.col("lon_grid")
+    fresh = materialize(
+        context.withColumns(
+            {"tile_id": grid.tile_key(lat, lon, TILE_SIZE), "tile_row": grid.tile_edge(lat, TILE_SIZE)}
+        ),
+        "fresh-tiles",
+    )
+    rows = fresh
+    if _exists(spark, root):
+        stored = spark.read.schema(fresh.schema).parquet(root)
+        touched = fresh.select("tile_row").distinct()  # at most 720 values
+        kept = stored.join(F.broadcast(touched), "tile_row", "left_semi").join(
+            fresh.select("tile_id").distinct(), "tile_id", "left_anti"
+        )
+        rows = fresh.unionByName(materialize(kept.select(*fresh.columns), "kept-tiles"))
+    # The rebalance hint writes few files per row and splits a crowded row.
     (
-        context.withColumn("tile_id", tile)
-        .repartition("tile_id")
+        rows.hint("rebalance", "tile_row")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("tile_id")
+        .partitionBy("tile_row")
         .parquet(root)
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
