@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberfield.constants import CLASSES
 from emberfield.functions.ordered import running_totals, with_share
+from emberfield.session import broadcast_if_small
 
 
 def _matrix_row(df: DataFrame, label: str, prediction: str, by: list[str] | None = None) -> DataFrame:
@@ -143,12 +144,11 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 def with_class_weight(df: DataFrame, label: str = "label", name: str = "weight") -> DataFrame:
     """Attach the weight of each row's class.
 
-    Counting first and joining the (at most four, see the feature gate) class
-    rows back keeps a dominant class spread over all tasks; a window by class
-    would not.
+    Counting first and joining the few class rows back keeps a dominant class
+    spread over all tasks; a window by class would not.
     """
     weights = class_weights(df, label).select(label, F.col("weight").alias(name))
-    return df.join(F.broadcast(weights.where(F.col(label).isin(CLASSES))), label)
+    return df.join(broadcast_if_small(weights, max_rows=10_000), label)
 
 
 def pivot_with_delta(results: DataFrame, base: str, other: str) -> DataFrame:

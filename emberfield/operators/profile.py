@@ -165,8 +165,12 @@ def top_cells(counts: DataFrame, limit: int) -> DataFrame:
 
 
 def rows_in_cells(clean: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Detections of a short list of cells (the list comes from ``limit``)."""
-    return clean.join(F.broadcast(chosen.select("grid_id")), "grid_id", "left_semi")
+    """Detections of a short list of cells.
+
+    The list ends in a ``limit``, so the planner knows its size and sends it to
+    the scan side by itself; the detections are filtered where they are read.
+    """
+    return clean.join(chosen.select("grid_id"), "grid_id", "left_semi")
 
 
 def cell_persistence(rows: DataFrame) -> DataFrame:

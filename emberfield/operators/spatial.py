@@ -13,7 +13,6 @@ from emberfield.constants import (
     TILE_SIZE,
 )
 from emberfield.functions import distance as d, grid
-from emberfield.session import broadcast_if_small
 
 # --- tiles ----------------------------------------------------------------
 
@@ -42,21 +41,31 @@ def first_tiles(tiles: DataFrame, limit: int) -> DataFrame:
     return tiles.orderBy("tile_south", "tile_west").limit(limit)
 
 
-def cells_in_tiles(cells: DataFrame, tiles: DataFrame, size: float = TILE_SIZE) -> DataFrame:
+def cells_in_tiles(
+    cells: DataFrame, tiles: DataFrame, size: float = TILE_SIZE, closed: bool = False
+) -> DataFrame:
     """Cells of each tile, south and west edge included, north and east not.
 
     The half-open rule makes a cell belong to exactly one tile, so this is an
-    equi-join on the tile's integer position.
+    equi-join on the tile's integer position. ``closed`` is the older rule that
+    counts a cell on a shared edge in both tiles.
     """
-    def at(lat: str, lon: str, whole) -> list[Column]:
-        return [
-            whole(F.col(lat) / F.lit(size)).cast("int").alias("_tr"),
-            whole(F.col(lon) / F.lit(size)).cast("int").alias("_tc"),
-        ]
-
-    right = tiles.select("tile_id", *at("tile_south", "tile_west", F.rint))
+    def position(name: str) -> Column:
+        here = F.floor(F.col(name) / F.lit(size)).cast("int")
+        if not closed:
+            return here
+        on_edge = F.col(name) == here * F.lit(size)
+        return F.explode(F.when(on_edge, F.array(here, here - 1)).otherwise(F.array(here)))
+
+    def tile_position(name: str) -> Column:
+        return F.rint(F.col(name) / F.lit(size)).cast("int")
+
+    right = tiles.select(
+        "tile_id", tile_position("tile_south").alias("_tr"), tile_position("tile_west").alias("_tc")
+    )
     return (
-        cells.select("*", *at("lat_grid", "lon_grid", F.floor))
+        cells.select("*", position("lat_grid").alias("_tr"))
+        .select("*", position("lon_grid").alias("_tc"))
         .join(right, ["_tr", "_tc"])
         .drop("_tr", "_tc")
     )
@@ -269,6 +278,9 @@ def nearest_context(
 
 # --- polygons -------------------------------------------------------------
 
+# At four numbers per edge, the largest broadcast index is about 16 MB.
+_BROADCAST_EDGES = 500_000
+
 
 def polygon_edges(shapes: DataFrame) -> DataFrame:
     """Edges of ``polygons`` (array of polygons, of rings, of [x, y] points).
@@ -339,12 +351,16 @@ def clip_to_polygons(
 
     A horizontal ray meets only edges that span its latitude. The edges are
     therefore grouped by latitude band, and a point meets its own band only.
-    The band table is broadcast when its size allows; otherwise both sides are
-    shuffled by band and adaptive execution splits a crowded band.
+    The band table is broadcast when its counted size allows; otherwise both
+    sides are shuffled by band and adaptive execution splits a crowded band.
     """
     edges = polygon_edges(shapes)
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    spans = F.floor(high / F.lit(band)) - F.floor(low / F.lit(band)) + F.lit(1)
+    # One small job gives the box for the scan and the exact size of the index.
     box = edges.agg(
-        F.min("x1").alias("w"), F.max("x1").alias("e"), F.min("y1").alias("s"), F.max("y1").alias("n")
+        F.min("x1").alias("w"), F.max("x1").alias("e"), F.min("y1").alias("s"), F.max("y1").alias("n"),
+        F.sum(spans).alias("entries"),
     ).first()
     if box["w"] is None:
         return points.limit(0)
@@ -354,7 +370,9 @@ def clip_to_polygons(
     inside = F.exists(
         "polys", lambda p: odd(p["outer"]) & ~F.exists(p["holes"], lambda hole: odd(hole))
     )
-    bands = broadcast_if_small(_edge_bands(edges, band), max_rows=50_000)
+    bands = _edge_bands(edges, band)
+    if box["entries"] <= _BROADCAST_EDGES:
+        bands = F.broadcast(bands)
     return (
         points.where(inside_box)
         .withColumn("_band", F.floor(y / F.lit(band)).cast("int"))

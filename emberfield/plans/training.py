@@ -102,22 +102,36 @@ def _training_table(rows: DataFrame, names: list[str], label: str) -> DataFrame:
     return metrics.with_class_weight(base, "label")
 
 
-def fit(
-    name: str, train: DataFrame, names: list[str], size: Size = Size(), label: str = TARGET
-) -> tuple[PipelineModel, float]:
-    """Weighted fit; returns the model and the wall time in seconds."""
-    spark = train.sparkSession
-    prepare_checkpoints(spark)
-    table = _training_table(train, names, label).persist(StorageLevel.MEMORY_AND_DISK)
+def fit_many(
+    models: list[str], train: DataFrame, names: list[str], size: Size = Size(), label: str = TARGET
+) -> dict[str, tuple[PipelineModel, float]]:
+    """Weighted fits on one prepared table: model and wall seconds by name.
+
+    The weights and the feature vector are made once and kept on the executors
+    while the fits read them; a lost block is recomputed from the input.
+    """
+    prepare_checkpoints(train.sparkSession)
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    packed = assembler.transform(_training_table(train, names, label))
+    table = packed.select("label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    fitted = {}
     try:
         count = table.count()
-        stages = [VectorAssembler(inputCols=names, outputCol="features")]
-        stages += estimator(name, count, size)
-        started = time.time()
-        model = Pipeline(stages=stages).fit(table)
-        return model, round(time.time() - started, 2)
+        for name in models:
+            started = time.time()
+            model = Pipeline(stages=estimator(name, count, size)).fit(table)
+            whole = PipelineModel([assembler, *model.stages])
+            fitted[name] = (whole, round(time.time() - started, 2))
     finally:
         table.unpersist()
+    return fitted
+
+
+def fit(
+    name: str, train: DataFrame, names: list[str], size: Size = Size(), label: str = TARGET
+) -> tuple[PipelineModel, float]:
+    """Weighted fit; returns the model and the wall time in seconds."""
+    return fit_many([name], train, names, size, label)[name]
 
 
 def class_scores(model: PipelineModel | Transformer) -> Column:
@@ -182,8 +196,7 @@ def run_experiments(
     for experiment in feature_sets:
         names = FEATURE_SETS[experiment]
         quality.require_clean(split, names)
-        for name in models:
-            model, seconds = fit(name, train, names, size)
+        for name, (model, seconds) in fit_many(models, train, names, size).items():
             row = _result(experiment, name, names, seconds, model, test)
             out = row if out is None else out.unionByName(row)
     return out
