@@ -23,13 +23,24 @@ def running_totals(
     """
     series = df.withColumn("_series", F.col(by) if by else F.lit(0))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    # One row per series, an array of at most `parts - 1` numbers in each.
+    # One row per series, an array of at most `parts - 1` numbers in each. The
+    # summed columns are named in the condition so that both uses of the input
+    # read the same columns and Spark runs its shuffle once.
+    usable = F.lit(True)
+    for s in sums:
+        usable = usable & (F.col(s) >= 0)
     splits = series.groupBy("_series").agg(
-        F.percentile_approx(order_by, shares, F.lit(10_000)).alias("_splits")
+        F.percentile_approx(F.when(usable, F.col(order_by)), shares, F.lit(10_000)).alias("_splits")
     )
+    if by:
+        located = series.join(F.broadcast(splits), "_series")
+    else:
+        located = series.withColumn("_splits", splits.select("_splits").scalar())
     ranged = (
-        series.join(F.broadcast(splits), "_series")
-        .withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col(order_by))))
+        located.withColumn(
+            "_range",
+            F.coalesce(F.size(F.filter("_splits", lambda s: s < F.col(order_by))), F.lit(0)),
+        )
         .drop("_splits")
     )
     # At most `parts` rows per series, in the totals and in the window on them.
