@@ -205,7 +205,7 @@ def s7(spark, folder):
 )
 def s8(spark, folder):
     path = scratch_path(spark, "snapshots")
-    fresh = events.live_event_records(r.live_cells(spark, folder))
+    fresh = materialize(events.live_event_records(r.live_cells(spark, folder)), "live")
     sinks.publish_snapshot(fresh.where("observation_count > 1"), path, "2024-01-15")
     sinks.publish_snapshot(fresh, path, "2024-01-30")
     rows = spark.read.schema(schemas.EVENTS).parquet(sinks.newest_snapshot(spark, path))

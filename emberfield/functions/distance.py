@@ -35,8 +35,8 @@ def planar_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 def geodesic_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Metres on the WGS84 spheroid by Lambert's closed form.
 
-    It agrees with an iterative geodesic to a few metres over thousands of
-    kilometres (and to millimetres inside a 100 km search radius).
+    Against an iterative solution it is off by at most 3 mm at 2 km and 15 cm
+    at 100 km, the widest search radius (a relative error of 1.5e-6).
     """
     f = F.lit(WGS84_FLATTENING)
     beta1 = F.atan((F.lit(1.0) - f) * F.tan(F.radians(lat1)))

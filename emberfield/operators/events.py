@@ -68,6 +68,12 @@ def replace_snapshot(current: DataFrame, fresh: DataFrame) -> DataFrame:
     return kept.select(*fresh.columns).unionByName(fresh)
 
 
+def upsert_events(current: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Fresh rows replace rows of the same grid id; all others stay."""
+    kept = current.join(fresh.select("grid_id"), "grid_id", "left_anti")
+    return kept.select(*fresh.columns).unionByName(fresh)
+
+
 def scan_events(events: DataFrame) -> DataFrame:
     """Event columns with the two alias columns of the query interface."""
     return events.withColumns(

@@ -41,6 +41,32 @@ def first_tiles(tiles: DataFrame, limit: int) -> DataFrame:
     return tiles.orderBy("tile_south", "tile_west").limit(limit)
 
 
+def objects_per_tile(
+    objects: DataFrame, radius_m: float = RADIUS_M, size: float = TILE_SIZE
+) -> DataFrame:
+    """Objects inside each tile's box grown by the radius: ``(tile_id, n)``.
+
+    An object can lie in the grown box of its own tile and of the neighbours
+    only, so nine candidates are checked by arithmetic and folded by tile.
+    """
+    def around(name: str) -> Column:
+        here = F.floor(F.col(name) / F.lit(size)).cast("int")
+        return F.explode(F.array(here - 1, here, here + 1))
+
+    near = objects.select("latitude", "longitude", around("latitude").alias("_tr")).select(
+        "*", around("longitude").alias("_tc")
+    )
+    south, west = F.col("_tr") * F.lit(size), F.col("_tc") * F.lit(size)
+    box = grid.grow_bounds(
+        {"south": south, "west": west, "north": south + F.lit(size), "east": west + F.lit(size)}, radius_m
+    )
+    inside = F.col("latitude").between(box["south"], box["north"]) & F.col("longitude").between(
+        box["west"], box["east"]
+    )
+    counts = near.where(inside).groupBy("_tr", "_tc").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.format_string("%.6f_%.6f", south, west).alias("tile_id"), "n")
+
+
 def cells_in_tiles(
     cells: DataFrame, tiles: DataFrame, size: float = TILE_SIZE, closed: bool = False
 ) -> DataFrame:

@@ -21,15 +21,28 @@ def publish_snapshot(df: DataFrame, root: str, version: str) -> str:
 
     Readers follow the newest announced version, so they see the old table
     until the write job has committed, and a failed job changes nothing. The
-    input may be the current version: nothing is overwritten in place.
+    input may be the current version: nothing announced is overwritten. Files
+    left by an attempt that died before its announcement are replaced.
     """
     path = f"{root}/snapshot={version}"
-    df.write.mode("errorifexists").parquet(path)
+    if has_snapshot(df.sparkSession, root, version):
+        raise ValueError(f"version {version} is already published")
+    df.write.mode("overwrite").parquet(path)
     row = df.sparkSession.createDataFrame([(version, path)], _VERSIONS)
     row.coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return path
 
 
+def has_snapshot(spark: SparkSession, root: str, version: str | None = None) -> bool:
+    """Whether this version (or any version) has been announced."""
+    if not _exists(spark, f"{root}/versions"):
+        return False
+    found = spark.read.schema(_VERSIONS).parquet(f"{root}/versions")
+    if version is not None:
+        found = found.where(F.col("version") == version)
+    return not found.isEmpty()
+
+
 def newest_snapshot(spark: SparkSession, root: str) -> str:
     """Folder of the newest announced version (by name)."""
     versions = spark.read.schema(_VERSIONS).parquet(f"{root}/versions")
@@ -64,7 +77,7 @@ def write_context_tiles(context: DataFrame, root: str) -> None:
     )
     rows = fresh
     if _exists(spark, root):
-        stored = spark.read.schema(fresh.schema).parquet(root)
+        stored = stored_tiles(spark, root)
         touched = fresh.select("tile_row").distinct()  # at most 720 values
         kept = stored.join(F.broadcast(touched), "tile_row", "left_semi").join(
             fresh.select("tile_id").distinct(), "tile_id", "left_anti"
@@ -80,6 +93,22 @@ def write_context_tiles(context: DataFrame, root: str) -> None:
     )
 
 
+_TILE_TABLE = T.StructType(
+    [*schemas.CONTEXT_TILE.fields, T.StructField("tile_id", T.StringType()), T.StructField("tile_row", T.DoubleType())]
+)
+
+
+def stored_tiles(spark: SparkSession, root: str) -> DataFrame:
+    """Context rows of all stored tiles (none when nothing was stored yet)."""
+    if not _exists(spark, root):
+        return spark.createDataFrame([], _TILE_TABLE)
+    return spark.read.schema(_TILE_TABLE).parquet(root)
+
+
+def stored_tile_ids(spark: SparkSession, root: str) -> DataFrame:
+    return stored_tiles(spark, root).select("tile_id").distinct()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("binaryFile").load(path)

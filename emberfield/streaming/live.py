@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from emberfield.constants import LIVE_DEDUPE_KEY, MAX_DAYS_PER_REQUEST
+from emberfield.constants import LIVE_DEDUPE_KEY, MAX_DAYS_PER_REQUEST, TILE_SIZE
+from emberfield.functions import grid
 from emberfield.operators import cells, events, normalize, spatial
+from emberfield.schemas import EVENTS
+from emberfield.sinks import tables as sinks
 
 
 def date_chunks(windows: DataFrame, days: int = MAX_DAYS_PER_REQUEST) -> DataFrame:
@@ -33,25 +36,41 @@ def ingest(
     landing: str,
     schema: T.StructType,
     store: str,
+    events_root: str,
     checkpoint: str,
     shapes: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Drain the landing folder into a store of clean detections.
-
-    Each micro-batch is coerced, cleaned and clipped, and written to its own
-    ``batch=<id>`` partition; a batch that is replayed after a failure
-    overwrites its own partition, so the store is exactly-once. Repeats across
-    batches are folded when the store is read (`stored_events`), which keeps
-    no state that would grow with the feed.
+    """Drain the landing folder into clean detections and live events.
+
+    Each micro-batch is cleaned, clipped and stored under its batch number and
+    row of tiles. Then the cells it touched, and only those, are recomputed from
+    their stored detections, and a new version of the live events is published.
+    A batch that is replayed after a failure rewrites its own partitions and
+    publishes at most once, so the result is exactly-once. No streaming state
+    is kept: repeats across batches meet in the history of their cell.
     """
     raw = spark.readStream.schema(schema).parquet(landing)
 
     def write(batch: DataFrame, number: int) -> None:
-        clean = normalize.drop_incomplete(normalize.coerce_live(batch))
-        clean = normalize.drop_repeats(clean)
+        clean = normalize.drop_repeats(normalize.drop_incomplete(normalize.coerce_live(batch)))
         if shapes is not None:
             clean = spatial.clip_to_polygons(clean, shapes)
-        clean.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        keyed = _with_place(clean).withColumn("batch", F.lit(number))
+        (
+            keyed.hint("rebalance", "tile_row")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch", "tile_row")
+            .parquet(store)
+        )
+        version = f"{number:012d}"
+        if sinks.has_snapshot(spark, events_root, version):
+            return
+        fresh = live_events_of(touched_history(spark, store, keyed.schema, number))
+        if sinks.has_snapshot(spark, events_root):
+            current = spark.read.schema(EVENTS).parquet(sinks.newest_snapshot(spark, events_root))
+            fresh = events.upsert_events(current, fresh)
+        sinks.publish_snapshot(fresh, events_root, version)
 
     return (
         raw.writeStream.foreachBatch(write)
@@ -61,15 +80,43 @@ def ingest(
     )
 
 
-def stored_events(spark: SparkSession, store: str) -> DataFrame:
-    """Event records of everything ingested so far."""
-    stored = spark.read.parquet(store).drop("batch")
-    folded = normalize.drop_repeats(stored).withColumns(
+def _with_place(clean: DataFrame) -> DataFrame:
+    """Cell indices, and the tile row (at most 720) that partitions the store."""
+    return clean.withColumns(
+        {
+            "cell_row": grid.cell_index(F.col("latitude")),
+            "cell_col": grid.cell_index(F.col("longitude")),
+            "tile_row": F.floor(grid.snap(F.col("latitude")) / F.lit(TILE_SIZE)).cast("int"),
+        }
+    )
+
+
+def touched_history(spark: SparkSession, store: str, schema: T.StructType, number: int) -> DataFrame:
+    """All stored detections of the cells that batch ``number`` touched.
+
+    The rows of tiles in the join key are partitions of the store, so only
+    those of touched tiles are read.
+    """
+    stored = spark.read.schema(schema).parquet(store)
+    keys = ["tile_row", "cell_row", "cell_col"]
+    touched = stored.where(F.col("batch") == number).select(*keys).distinct()
+    return stored.where(F.col("batch") <= number).join(touched, keys, "left_semi")
+
+
+def live_events_of(stored: DataFrame) -> DataFrame:
+    """Event records of stored clean detections."""
+    rows = stored.drop("batch", "tile_row", "cell_row", "cell_col")
+    folded = normalize.drop_repeats(rows).withColumns(
         {"brightness": F.col("bright_ti4"), "bright_t31": F.col("bright_ti5")}
     )
     return events.live_event_records(cells.aggregate_live(folded))
 
 
+def ingested_events(spark: SparkSession, events_root: str) -> DataFrame:
+    """The newest published live events; merge them with `replace_snapshot`."""
+    return spark.read.schema(EVENTS).parquet(sinks.newest_snapshot(spark, events_root))
+
+
 def deduplicated_stream(stream: DataFrame, time_column: str, delay: str = "1 day") -> DataFrame:
     """Drop repeats of a detection key inside the watermark, for push sources."""
     return stream.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(LIVE_DEDUPE_KEY)

@@ -117,8 +117,13 @@ def test_newest_file_and_snapshots(spark, tmp_path):
     # The new version may be computed from the current one.
     sinks.publish_snapshot(current.union(one), root, "2")
     assert spark.read.parquet(sinks.newest_snapshot(spark, root)).count() == 2
-    with pytest.raises(PySparkException):
+    with pytest.raises(ValueError, match="already published"):
         sinks.publish_snapshot(one, root, "2")
+    # Leftovers of a failed attempt are no obstacle and are never read.
+    one.write.parquet(f"{root}/snapshot=3")
+    assert sinks.newest_snapshot(spark, root).endswith("snapshot=2")
+    sinks.publish_snapshot(one, root, "3")
+    assert spark.read.parquet(sinks.newest_snapshot(spark, root)).count() == 1
 
 
 def test_context_tiles_replace_only_their_tiles(spark, tmp_path):
