@@ -6,11 +6,8 @@ from pyspark.sql import functions as F
 
 from emberfield.catalog import registry as r
 from emberfield.catalog.registry import query, rounded
-from emberfield.catalog.sources import _CTX, _CTX_NAMES, EVENT_SQL, _ROUND
-from emberfield.constants import CONTEXT_FEATURES
-from emberfield.functions import distance, grid
 from emberfield.functions.ordered import keep_one
-from emberfield.operators import context, events, metrics, normalize, profile, spatial
+from emberfield.operators import context, events, metrics, profile, spatial
 from emberfield.sources import views
 
 _CTX_ALL = (

@@ -12,7 +12,6 @@ from emberfield.constants import (
     BINARY_TARGET,
     CONTEXT_UNAVAILABLE_EVIDENCE,
     DETECTION_FEATURES,
-    FEATURE_SETS,
     FINAL_FEATURES,
     MODEL_CLASS_LABELS,
     NO_MODEL_EVIDENCE,
@@ -30,7 +29,16 @@ def _split(spark, folder):
     return materialize(splits.block_split(r.labelled_cells(spark, folder)), "split")
 
 
-@query("m4_standard_scaling")
+@query(
+    "m4_standard_scaling",
+    "SELECT split, "
+    + ", ".join(
+        f"round((avg({c}) - (SELECT avg({c}) FROM {{spl}} WHERE split='train'))"
+        f" / (SELECT stddev_samp({c}) FROM {{spl}} WHERE split='train'), 6) + 0.0::double AS mean_{c}"
+        for c in DETECTION_FEATURES
+    )
+    + " FROM {spl} GROUP BY split",
+)
 def m4(spark, folder):
     table = _split(spark, folder)
     packed = VectorAssembler(inputCols=DETECTION_FEATURES, outputCol="features").transform(table)
@@ -38,7 +46,7 @@ def m4(spark, folder):
     scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(train)
     values = scaler.transform(packed).withColumn("v", vector_to_array("scaled"))
     return values.groupBy("split").agg(
-        *[F.round(F.avg(F.col("v")[i]), 6).alias(f"mean_{n}") for i, n in enumerate(DETECTION_FEATURES)]
+        *[(F.round(F.avg(F.col("v")[i]), 6) + F.lit(0.0)).alias(f"mean_{n}") for i, n in enumerate(DETECTION_FEATURES)]
     )
 
 

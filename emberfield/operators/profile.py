@@ -145,10 +145,6 @@ def dataset_report(cells: DataFrame, target: str = "target_multiclass") -> DataF
     )
 
 
-def cell_counts(clean: DataFrame) -> DataFrame:
-    return clean.groupBy("grid_id").agg(F.count(F.lit(1)).alias("observation_count"))
-
-
 def exploration_cell_counts(detections: DataFrame) -> DataFrame:
     """Counts per two-decimal cell; the text key is built after the fold."""
     row = F.rint(F.col("latitude") * F.lit(100.0)).cast("int")

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberfield.constants import TARGET
 from emberfield.functions import grid
-from emberfield.operators.profile import count_by
 
 
 def _bucket(a: Column, b: Column) -> Column:
@@ -70,7 +69,3 @@ def split_summary(split: DataFrame) -> DataFrame:
         )
         .withColumns({"share": F.col("rows") / total, "leaking_blocks": leaking})
     )
-
-
-def class_distribution(split: DataFrame) -> DataFrame:
-    return count_by(split.where(F.col(TARGET).isNotNull()), TARGET, TARGET)

@@ -1,7 +1,5 @@
 """Event table, context updates, constraints, requests."""
 
-import datetime as dt
-
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
