@@ -32,3 +32,17 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
     model = fit(docs.where(~held_out()).select("doc_id", "text", "lang"))
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
+def op5_line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Base counts of every document and the verdict of the line labels."""
+    from emberfield.llm.line_crf import fit, judge
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return judge(docs, fit(docs, _table(spark, folder, "labels"))).drop("text")
+
+
+#: Query name to function, for the driver contract.
+QUERIES = {name: function for name, function in list(globals().items()) if name.startswith("op")}
+#: Query name to DuckDB SQL over the same tables.
+CHECKS: dict[str, str] = {}
