@@ -42,6 +42,28 @@ def op5_line_crf_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judge(docs, fit(docs, _table(spark, folder, "labels"))).drop("text")
 
 
+def op3_rank_code_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents, written to code files and read back."""
+    import public_tokenizers
+
+    from emberfield.llm import rank_codes
+    from emberfield.session import scratch_path
+
+    target = scratch_path(spark, "rank-codes")
+    rank_codes.write(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, target)
+    return rank_codes.read(spark, target)
+
+
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-level BPE ids of all documents, and their bytes decoded again, as digests."""
+    import public_tokenizers
+
+    from emberfield.llm.bpe_ranks import encode_decode
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 #: Query name to function, for the driver contract.
 QUERIES = {name: function for name, function in list(globals().items()) if name.startswith("op")}
 #: Query name to DuckDB SQL over the same tables.

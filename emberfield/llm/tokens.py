@@ -83,6 +83,7 @@ class Encoder:
         # A special token between chunks keeps them apart and marks where each one ends.
         self.mark, self.mark_id = special[0]["content"], special[0]["id"]
         self.specials = [t["content"].encode() for t in special]
+        self.narrow = self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16
         self.memory = Memory()
 
     @classmethod
