@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,7 +64,144 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of all conversations, read back from their formatted windows."""
+    from emberfield.llm.chat_windows import digests, windows
+
+    said = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
+    )
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return digests(windows(turns))
+
+
+def op7_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """WARC records of all pages, and the faults that the audit finds in a damaged replica.
+
+    The replica is a stored copy in which records of some ids are altered or lost.
+    """
+    from emberfield.llm import merkle_warc
+    from emberfield.session import materialize
+
+    first = materialize(merkle_warc.archive(_table(spark, folder, "pages")), "warc")
+    place = F.pmod("page_id", F.lit(101))
+    damaged = first.withColumn(
+        "record",
+        F.when(place == 7, F.overlay("record", F.lit(b"?"), F.lit(3))).when(place == 8, F.lit(None)).otherwise(F.col("record")),
+    )
+    return merkle_warc.audited(first, materialize(damaged, "warc"))
+
+
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL, by fixed rules and by rules mined from labels."""
+    from emberfield.llm.url_rules import judge
+
+    return judge(_table(spark, folder, "pages"), _table(spark, folder, "labels"), URL_RULES)
+
+
 #: Query name to function, for the driver contract.
 QUERIES = {name: function for name, function in list(globals().items()) if name.startswith("op")}
 #: Query name to DuckDB SQL over the same tables.
-CHECKS: dict[str, str] = {}
+CHECKS = {
+    "op2_chat_windows": r"""
+        with t as (
+            select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all
+            select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), n as (
+            select *, row_number() over w as number,
+                len(regexp_extract_all(text, '\p{L}+|\p{N}+|[^ \t\n\r\f\x0B\p{L}\p{N}]')) + 4 as cost,
+                len(role) + len(text) + 15
+                    + len(text) - len(replace(replace(replace(text, '\', ''), '<', ''), '#', ''))
+                    + len(role) - len(replace(replace(replace(replace(role, '\', ''), '<', ''), '#', ''), ':', '')) as chars
+            from t window w as (partition by conv_id order by turn nulls first, role, text)
+        ), m as (
+            select *, number = 1 and role = 'system' as lead from n
+        ), p as (
+            select *, sum(case when lead then 0 else cost end) over (
+                partition by conv_id order by number rows unbounded preceding) as stop from m
+        ), q as (
+            select *, stop - cost as start, 2 * ((stop - cost) // 1024) + cast(stop > ((stop - cost) // 1024 + 1) * 1024 as int) as win
+            from p where not lead
+        ), s as (
+            select conv_id, win, min(start) as first from q group by all
+        ), f as (
+            select conv_id, chars from m
+            union all
+            select q.conv_id, q.chars from q join s on q.conv_id = s.conv_id and q.start >= s.first - 256 and q.stop <= s.first
+            union all
+            select m.conv_id, m.chars from m join s on m.conv_id = s.conv_id and m.lead and s.first > 0
+        ), c as (
+            select conv_id, cast(sum(chars) as bigint) as formatted_chars from f group by conv_id
+        )
+        select conv_id, count(*) as n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' order by number)) as turns_sha256,
+            cast(coalesce(sum(len(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+            sha256(coalesce(string_agg(text, '' order by number) filter (role = 'assistant'), '')) as loss_sha256,
+            any_value(formatted_chars) as formatted_chars
+        from n join c using (conv_id) group by conv_id
+    """,
+    "op7_merkle_fixity": r"""
+        with r as (
+            select page_id, cast(floor(page_id / 512) as bigint) as file,
+                'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+                || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+                || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+                || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as rec
+            from pages
+        )
+        select page_id, file, cast(strlen(rec) as bigint) as length, sha256(rec) as record_sha256,
+            cast(coalesce(sum(strlen(rec)) over (
+                partition by file order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset",
+            case page_id % 101 when 7 then 'altered' when 8 then 'missing' else 'ok' end as status
+        from r
+    """,
+    "op8_url_rules": r"""
+        with u as (
+            select page_id, url,
+                case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages
+        ), h as (
+            select page_id, url,
+                translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u
+        ), k as (
+            select *, case when host = '' then [] else list_sort(list_distinct(
+                ['scheme ' || lower(split_part(url, '://', 1))]
+                || [('host ' || x) for x in string_split(host, '.') if x <> '']
+                || [('path ' || x) for x in regexp_split_to_array(path, '[/._-]') if x <> '' and not regexp_full_match(x, '[0-9]+')]
+                || (case when path like '%/' then ['end /'] else [] end)
+                || [('key ' || split_part(x, '=', 1)) for x in string_split(regexp_extract(url, '\?([^#]*)', 1), '&') if x <> '']
+                || (case when instr(url, '#') > 0 then ['fragment'] else [] end))) end as toks,
+                try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) as bigint) as doc_id from h
+        ), l as (
+            select doc_id, max(coalesce(quality, 1) = 0 or coalesce(toxic, 0) = 1) as bad from labels where doc_id is not null group by doc_id
+        ), g as (
+            select toks, bad from k join l using (doc_id) where len(toks) > 0
+        ), b as (
+            select [toks[i + 1] for i in range(len(toks)) if (m >> i) & 1 = 1] as part, bad
+            from (select toks, bad, unnest(range(1, 1 << len(toks))) as m from g)
+        ), z as (
+            select greatest(20, ceil(count(*) * 0.005)) as least, count(*) as n from g
+        ), rules as (
+            select part, count(*) filter (bad) / count(*) as confidence from b, z group by part, least, n
+            having count(*) filter (bad) >= least and count(*) filter (bad) / count(*) >= 0.6 and n >= 20
+        ), d as (
+            select toks, max(confidence) as confidence from (select distinct toks from k) t join rules on list_has_all(toks, part) group by toks
+        ), j as (
+            select k.*, d.confidence,
+                case when ('.' || host) like '%.example.net' and path like '/en/%' then 'example.net/en/'
+                    when ('.' || host) like '%.example.com' and path like '/de/%' then 'example.com/de/'
+                    when ('.' || host) like '%.org' and path like '/fr/%' then 'org/fr/'
+                    when ('.' || host) like '%.net' and path like '/%' then 'net/' end as rule
+            from k left join d using (toks)
+        )
+        select page_id, host, path, rule, confidence,
+            case when rule in ('example.net/en/', 'org/fr/') then 'allow' when rule is not null then 'block'
+                when confidence is not null then 'block' else 'allow' end as verdict
+        from j
+    """,
+}
