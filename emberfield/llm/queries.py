@@ -9,6 +9,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_vector_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of all embeddings with cosine >= 0.9, whatever their labels."""
+    from emberfield.llm.vector_graph import near_duplicates
+
+    return near_duplicates(_table(spark, folder, "embeddings"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of all documents under 5-word shingle Jaccard >= 0.75."""
     from emberfield.llm.jaccard_tiles import shingle_components
