@@ -4,11 +4,11 @@ Method. Every document becomes the sorted set of its shingle hashes; documents
 with equal sets are folded into one. A pair with Jaccard >= t shares a shingle
 among the first ``n - ceil(t n) + 1`` of both sets in any common order, so each
 set is posted under these shingles only. The order puts frequent shingles last;
-it comes from heavy hitters counted over all documents and influences cost, never
+it comes from counts over all documents and influences cost, never
 results. A tile is (shingle, size band); sets near the lower end of a band
 are also guests of the band below. Inside a tile sets are compared with a pivot
 first, and only where tile members remain in different components are the other
-pairs of these components taken, a bounded number of pivots per round until none is
+pairs of these components taken, with a bounded number of comparisons per round until none is
 left. Candidate pairs pass size and position bounds, then hashed bitmap
 signatures whose bit counts bound the overlap from above, then exact intersection of
 the sorted arrays. So no link between different components is lost and
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -28,60 +29,61 @@ from emberfield.llm.components import connected
 from emberfield.llm.textbatch import Words, flat, shingle_sets, slices
 from emberfield.session import materialize
 
-#: Bounds of the table of frequent shingles: per task, and broadcast (12 bytes each).
-TASK_HITTERS = 50_000
-HITTERS = 200_000
-#: Pivots of a tile per round beyond the first.
-PIVOTS = 16
-_BAND = 4
+#: A shingle of so many documents is frequent; the most frequent ones make a table of 12 bytes each.
+FREQUENT = 8
+HITTERS = 400_000
+#: Part of the hash range in which shingles are counted. Prefixes take about a quarter of it.
+COUNTED = 0.26
+#: Tiles and counts go by the upper 48 bits of a hash; a clash only makes a tile larger.
+_TILE_SHIFT = 16
+#: Bits of the filter of wanted documents (8 MB, broadcast).
+FILTER_BITS = 1 << 26
+#: Comparisons of sizes and positions inside one tile per round; more members take more rounds.
+COMPARISONS = 1 << 26
 
 
 def _sets(column: pa.Array, width: int):
     return shingle_sets(Words(*flat(column), lower=True), width)
 
 
-def _hitters(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Frequent shingles of one task, counted over all of its documents with bounded memory."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _lowest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of every document that hash order puts into its prefix or shortly after it."""
+    limit = np.uint64(int(COUNTED * 2**64))
     for part in slices(batches, "text"):
         values, _ = _sets(part.column("text"), width)
-        some, n = np.unique(values, return_counts=True)
-        # Singles of a slice are forgotten, repeated ones are added to what is known.
-        old = np.isin(some, keys) | (n > 1)
-        every = np.concatenate((keys, some[old]))
-        keys, back = np.unique(every, return_inverse=True)
-        counts = np.bincount(back, np.concatenate((counts, n[old]))).astype(np.int64)
-        if len(keys) > 4 * TASK_HITTERS:
-            top = np.sort(np.argpartition(-counts, TASK_HITTERS)[:TASK_HITTERS])
-            keys, counts = keys[top], counts[top]
-    if len(keys) > TASK_HITTERS:
-        top = np.argpartition(-counts, TASK_HITTERS)[:TASK_HITTERS]
-        keys, counts = keys[top], counts[top]
-    yield pa.record_batch({"h": keys.view(np.int64), "n": counts})
+        yield pa.record_batch({"h": (values[values < limit] >> np.uint64(_TILE_SHIFT)).view(np.int64)})
 
 
 def _ordered(values: np.ndarray, keys: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """A set in the common order: rare shingles by hash, then frequent ones by rank."""
     if not len(keys):
         return values
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    hot = keys[at] == values
+    tiles = values >> np.uint64(_TILE_SHIFT)
+    at = np.minimum(np.searchsorted(keys, tiles), len(keys) - 1)
+    hot = keys[at] == tiles
     return np.concatenate((values[~hot], values[hot][np.argsort(ranks[at[hot]], kind="stable")]))
 
 
 def _prefixes(batches, width: int, keep: int, hitters) -> Iterator[pa.RecordBatch]:
+    """Size and digest of every set; the prefix where a task meets the set for the first time."""
     keys, ranks = hitters.value
+    met: set[bytes] = set()
     for part in slices(batches, "text"):
         values, ends = _sets(part.column("text"), width)
         d1, d2, prefix, sizes = [], [], [], np.diff(ends)
         for a, b in zip(ends[:-1], ends[1:]):
             own = values[a:b]
-            digest = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
+            raw = xxhash.xxh3_128_digest(own.tobytes())
+            digest = np.frombuffer(raw, np.int64)
             d1.append(digest[0])
             d2.append(digest[1])
             n = b - a
             need = -(-keep * n // 100)
-            prefix.append(_ordered(own, keys, ranks)[: n - need + 1].view(np.int64) if n else np.zeros(0, np.int64))
+            own = _ordered(own, keys, ranks)[: n - need + 1] if n and raw not in met else own[:0]
+            prefix.append((own >> np.uint64(_TILE_SHIFT)).view(np.int64))
+            met.add(raw)
+        if len(met) > 1_000_000:
+            met.clear()
         yield pa.record_batch(
             {
                 "doc_id": part.column("doc_id"),
@@ -102,7 +104,42 @@ def _fits(keep: int, n1, p1, n2, p2):
     return (100 * np.minimum(n1, n2) >= keep * np.maximum(n1, n2)) & (1 + np.minimum(n1 - p1, n2 - p2) - 1 >= need)
 
 
-_TILE = "h long, band int, guest int, rep long, n long, pos long"
+#: A tile row: shingle, set, and its guest mark, size and position in one number.
+_TILE = "h long, rep long, meta long"
+
+
+def _parts(meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Band, guest mark, size and position of tile rows."""
+    guest, n, pos = meta >> 62, (meta >> 31) & 0x7FFFFFFF, meta & 0x7FFFFFFF
+    return _band(n) - guest, guest, n, pos
+
+
+def _band(n: np.ndarray) -> np.ndarray:
+    """Size band: 1 to 3, 4 to 15, 16 to 63 and so on."""
+    return (np.frexp(n.astype(float))[1] - 1) // 2
+
+
+def _posted(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
+    """One tile row per prefix shingle, and one more for the band below where partners may lie there."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            part = batch.slice(at, 2000)
+            prefix = part.column("prefix")
+            h = prefix.flatten().to_numpy(zero_copy_only=False)
+            size = pc.list_value_length(prefix).to_numpy(zero_copy_only=False).astype(np.int64)
+            rep = np.repeat(part.column("rep").to_numpy(), size)
+            n = np.repeat(part.column("n").to_numpy(), size)
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            meta = (n << 31) | pos
+            band = _band(n)
+            low = (band > 0) & (keep * n < 100 * 4**band)
+            yield pa.record_batch(
+                {
+                    "h": np.concatenate((h, h[low])),
+                    "rep": np.concatenate((rep, rep[low])),
+                    "meta": np.concatenate((meta, meta[low] | (1 << 62))),
+                }
+            )
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,15 +148,15 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Rows arrive sorted by tile, own members first; nothing but the current
     pivot is kept between batches.
     """
-    names = ["h", "band", "guest", "rep", "n", "pos"]
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        cols = [batch.column(c).to_numpy() for c in ("h", "rep", "meta")]
         if last is not None:
             cols = [np.concatenate(([x], c)) for x, c in zip(last, cols)]
-        h, band, guest, rep, n, pos = cols
+        h, rep, meta = cols
+        band, guest, _, _ = _parts(meta)
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (band[1:] != band[:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
@@ -128,12 +165,11 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = first[keep]
         if len(keep):
             yield pa.record_batch(
-                {k: c[keep] for k, c in zip(names, cols)}
-                | {"pivot": rep[at], "pivot_n": n[at], "pivot_pos": pos[at]}
+                {"h": h[keep], "rep": rep[keep], "meta": meta[keep], "pivot": rep[at], "pivot_meta": meta[at]}
             )
 
 
-def _rounds(batches: Iterator[pa.RecordBatch], keep: int, pivots: int) -> Iterator[pa.RecordBatch]:
+def _rounds(batches: Iterator[pa.RecordBatch], keep: int, comparisons: int) -> Iterator[pa.RecordBatch]:
     """Compare the next pivots of each tile with members of other components.
 
     Yields candidate pairs, and the members that remain for the next round
@@ -141,57 +177,54 @@ def _rounds(batches: Iterator[pa.RecordBatch], keep: int, pivots: int) -> Iterat
     has met every member it leaves.
     """
 
-    def tile(h, band, guest, rep, n, pos, comp):
-        _, own, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+    met: list[np.ndarray] = []
+
+    def pairs():
+        a, b = np.unique(np.concatenate(met, axis=1), axis=1)
+        none = pa.nulls(len(a), pa.int64())
+        met.clear()
+        return pa.record_batch({"a": a, "b": b, "h": none, "rep": none, "meta": none})
+
+    def tile(h, rep, meta, component):
+        _, own, sizes = np.unique(component, return_inverse=True, return_counts=True)
         if len(sizes) < 2:
             return
+        _, guest, n, pos = _parts(meta)
         # All members of the largest component stay; the others are pivots in turn.
         turn = np.lexsort((rep, guest, sizes[own]))
         turn = turn[own[turn] != np.argmax(sizes)]
         done = np.zeros(len(rep), bool)
+        pivots = max(1, comparisons // len(rep))
         for p in turn[:pivots]:
             done[p] = True
-            mate = ~done & (comp != comp[p]) & (guest + guest[p] < 2)
-            mate &= _fits(keep, n[p], pos[p], n, pos)
-            m = np.flatnonzero(mate)
+            mate = ~done & (component != component[p]) & (guest + guest[p] < 2)
+            m = np.flatnonzero(mate & _fits(keep, n[p], pos[p], n, pos))
             if len(m):
-                yield np.full(len(m), rep[p]), rep[m], None
+                met.append(np.stack((np.minimum(rep[p], rep[m]), np.maximum(rep[p], rep[m]))))
+                if len(met) >= 20_000 or len(m) > 100_000:
+                    yield pairs()
         if len(turn) > pivots:
-            yield None, None, np.flatnonzero(~done)
-
-    def out(rows):
-        h, band, guest, rep, n, pos, comp = rows
-        for a, b, rest in tile(*rows):
-            if rest is None:
-                yield pa.record_batch(
-                    {
-                        "a": np.minimum(a, b), "b": np.maximum(a, b),
-                        **{c: pa.nulls(len(a), t) for c, t in zip(["h", "band", "guest", "rep", "n", "pos"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()])},
-                    }
-                )
-            else:
-                yield pa.record_batch(
-                    {
-                        "a": pa.nulls(len(rest), pa.int64()), "b": pa.nulls(len(rest), pa.int64()),
-                        "h": h[rest], "band": band[rest], "guest": guest[rest], "rep": rep[rest], "n": n[rest], "pos": pos[rest],
-                    }
-                )
-
-    names = ["h", "band", "guest", "rep", "n", "pos", "component"]
+            m = np.flatnonzero(~done)
+            none = pa.nulls(len(m), pa.int64())
+            yield pa.record_batch({"a": none, "b": none, "h": h[m], "rep": rep[m], "meta": meta[m]})
+
     held: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        cols = [batch.column(c).to_numpy() for c in ("h", "rep", "meta", "component")]
         if held is not None:
             cols = [np.concatenate((x, c)) for x, c in zip(held, cols)]
-        edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+        band = _parts(cols[2])[0]
+        edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (band[1:] != band[:-1])) + 1
         cuts = np.concatenate(([0], edge))
         for a, b in zip(cuts[:-1], cuts[1:]):
-            yield from out([c[a:b] for c in cols])
+            yield from tile(*[c[a:b] for c in cols])
         held = [c[cuts[-1] :] for c in cols]
     if held is not None:
-        yield from out(held)
+        yield from tile(*held)
+    if met:
+        yield pairs()
 
 
 def _signature(values: np.ndarray) -> bytes:
@@ -252,13 +285,29 @@ def _exact(batches, keep: int) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
 
+def _likely(batches, bits) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        place = batch.column("place").to_numpy()
+        hit = (bits.value[place >> 6] >> (place & 63)) & 1
+        yield batch.filter(pa.array(hit.astype(bool))).select(["doc_id", "text"])
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, keep: int, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """The pairs that reach the similarity, by bitmap bound and then exactly; and the sets that were made."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     if sets is not None:
         wanted = wanted.join(sets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    # A filter of fixed size lets only wanted documents, and a few others, into the join.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    wanted = materialize(wanted, "jaccard-wanted")
+    words = wanted.select((place / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))").alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    likely = docs.withColumn("place", place).mapInArrow(lambda it: _likely(it, shared), "doc_id long, text string")
     more = materialize(
-        docs.join(wanted, "doc_id", "left_semi").mapInArrow(
+        likely.join(wanted, "doc_id", "left_semi").mapInArrow(
             lambda it: _digests(it, width), "rep long, n long, bits binary, shingles binary"
         ).dropDuplicates(["rep", "shingles"]),
         "jaccard-sets",
@@ -277,6 +326,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, keep: int, sets: Da
     return materialize(links.distinct(), "jaccard-links"), sets
 
 
+def _meta(meta: F.Column, part: int) -> F.Column:
+    """Guest mark, size or position out of a tile row's number."""
+    return F.shiftright(meta, (62, 31, 0)[part]).bitwiseAND(F.lit((1, 0x7FFFFFFF, 0x7FFFFFFF)[part]).cast("long"))
+
+
+def _named(frame: DataFrame, components: DataFrame, column: str) -> DataFrame:
+    """Add the component of a set; a set without links is its own."""
+    names = components.select(F.col("node").alias(column), F.col("component").alias(f"{column}_component"))
+    own = F.coalesce(f"{column}_component", column)
+    return frame.join(names, column, "left").withColumn(f"{column}_component", own)
+
+
 def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id``: documents linked by Jaccard >= percent / 100.
 
@@ -291,9 +352,10 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     texts = docs.where(F.col("text").isNotNull())
     top = (
-        texts.mapInArrow(lambda it: _hitters(it, width), "h long, n long")
+        texts.mapInArrow(lambda it: _lowest(it, width), "h long")
         .groupBy("h")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") >= FREQUENT)
         .orderBy(F.desc("n"), "h")
         .limit(HITTERS)
         .toPandas()
@@ -312,60 +374,47 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     )
     filled = table.where("n > 0 and doc_id is not null")
     reps = filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    folded = filled.groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min_by("prefix", "doc_id").alias("prefix")
-    )
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(_BAND)) + 1e-9).cast("int")
-    # A set is also a guest of the band below when partners of 3/4 its size may lie there.
-    below = (band > 0) & (F.col("n") * percent < 100 * F.pow(F.lit(float(_BAND)), band).cast("long"))
-    posted = (
-        folded.select("rep", "n", band.alias("band"), below.alias("below"), F.posexplode("prefix").alias("pos", "h"))
-        .select("h", "rep", "n", F.col("pos").cast("long"), F.explode(
-            F.when(F.col("below"), F.array(
-                F.struct("band", F.lit(0).alias("guest")),
-                F.struct((F.col("band") - 1).alias("band"), F.lit(1).alias("guest")),
-            )).otherwise(F.array(F.struct("band", F.lit(0).alias("guest"))))
-        ).alias("t"))
-        .select("h", "t.band", "t.guest", "rep", "n", "pos")
+    # Copies of a set post once per task; the digests link them.
+    posted = filled.where(F.size("prefix") > 0).select(F.col("doc_id").alias("rep"), "n", "prefix").mapInArrow(
+        lambda it: _posted(it, percent), _TILE
     )
+    guest, n, pos = (_meta(F.col("meta"), part) for part in range(3))
+    band = F.floor((F.length(F.bin(n)) - 1) / 2) - guest
     # Four orders of pivots, by the tile: a set far from one pivot meets others.
+    order = ["h", band, guest, F.xxhash64("rep", F.pmod("h", F.lit(4)))]
     tiles = materialize(
-        posted.repartition("h", "band")
-        .sortWithinPartitions("h", "band", "guest", F.xxhash64("rep", F.pmod("h", F.lit(4))))
-        .mapInArrow(_stars, f"{_TILE}, pivot long, pivot_n long, pivot_pos long"),
+        posted.repartition("h").sortWithinPartitions(*order).mapInArrow(_stars, f"{_TILE}, pivot long, pivot_meta long"),
         "jaccard-tiles",
     )
-    need = F.ceil((F.col("n") + F.col("pivot_n")) * percent / (100 + percent))
+    _, pivot_n, pivot_pos = (_meta(F.col("pivot_meta"), part) for part in range(3))
+    need = F.ceil((n + pivot_n) * percent / (100 + percent))
     pairs = (
-        tiles.where(100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-        .where(F.least(F.col("n") - F.col("pos"), F.col("pivot_n") - F.col("pivot_pos")) >= need)
+        tiles.where(100 * F.least(n, pivot_n) >= percent * F.greatest(n, pivot_n))
+        .where(F.least(n - pos, pivot_n - pivot_pos) >= need)
         .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         .distinct()
     )
     known = materialize(pairs, "jaccard-pairs")
     links, sets = _verified(known, texts, width, percent, None)
-    members = tiles.select("h", "band", "guest", "rep", "n", "pos").union(
-        tiles.select(
-            "h", "band", F.lit(0).alias("guest"), F.col("pivot").alias("rep"), F.col("pivot_n").alias("n"),
-            F.col("pivot_pos").alias("pos"),
-        ).distinct()
+    # Copies of a set are linked without being compared.
+    copies = filled.join(reps, ["d1", "d2"]).where("doc_id <> rep")
+    links = links.union(materialize(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "jaccard-copies"))
+    # Tiles whose members are not all in one component show by a member apart from its pivot.
+    components = connected(links, "jaccard-components")
+    stars = tiles.select("rep", "pivot").distinct()
+    apart = _named(_named(stars, components, "rep"), components, "pivot").where("rep_component <> pivot_component")
+    mixed = tiles.join(apart, ["rep", "pivot"]).select("h", "pivot", "pivot_meta").distinct()
+    # A tile has one pivot, and a pivot has one row per tile of its own.
+    open_tiles = materialize(mixed, "jaccard-mixed")
+    members = tiles.join(open_tiles, ["h", "pivot", "pivot_meta"], "left_semi").select("h", "rep", "meta").union(
+        open_tiles.select("h", F.col("pivot").alias("rep"), F.col("pivot_meta").alias("meta"))
     )
     while True:
-        components = connected(links, "jaccard-components")
-        named = members.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        mixed = (
-            named.groupBy("h", "band")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .where("low < high")
-            .select("h", "band")
-        )
+        named = _named(members, components, "rep").withColumnRenamed("rep_component", "component")
         turn = materialize(
-            named.join(mixed, ["h", "band"], "left_semi")
-            .repartition("h", "band")
-            .sortWithinPartitions("h", "band")
-            .mapInArrow(lambda it: _rounds(it, percent, PIVOTS), f"a long, b long, {_TILE}"),
+            named.repartition("h")
+            .sortWithinPartitions("h", band)
+            .mapInArrow(lambda it: _rounds(it, percent, COMPARISONS), f"a long, b long, {_TILE}"),
             "jaccard-round",
         )
         pairs = materialize(
@@ -376,12 +425,11 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
             more, sets = _verified(pairs, texts, width, percent, sets)
             links = links.union(more)
             known = known.union(pairs)
-        members = turn.where("a is null").select("h", "band", "guest", "rep", "n", "pos")
+        members = turn.where("a is null").select("h", "rep", "meta")
         if members.isEmpty():
             break
-    components = connected(links.union(
-        filled.join(reps, ["d1", "d2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    ), "jaccard-components")
+        components = connected(links, "jaccard-components")
+    components = connected(links, "jaccard-components")
     return table.select("doc_id", F.col("n").alias("n_shingles")).join(
         components.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left"
     ).withColumn("component_id", F.coalesce("component_id", "doc_id"))

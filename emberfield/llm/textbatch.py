@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _BYTES = np.arange(256)
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
