@@ -14,7 +14,7 @@ import pyarrow as pa
 from emberfield.llm.textbatch import WHITE, encoded, flat
 
 #: Entries of each of the two halves of a worker's memory of chunks.
-MEMORY = 200_000
+MEMORY = 400_000
 _JOINED = 1000
 
 
