@@ -73,7 +73,7 @@ for _key, _name in (
 def m10(spark, folder):
     table = _split(spark, folder)
     train = table.where(F.col("split") == "train")
-    forest = isolation.fit_forest(train, DETECTION_FEATURES, trees=20)
+    forest = isolation.fit_forest(train, DETECTION_FEATURES, trees=100)
     cut = isolation.threshold(isolation.score(forest, train, DETECTION_FEATURES))
     scored = isolation.score(forest, table.where(F.col("split") == "test"), DETECTION_FEATURES)
     return metrics.binary_metrics(

@@ -38,8 +38,12 @@ def coerce_live(df: DataFrame) -> DataFrame:
     """Numbers, dates, score and flags of live rows; bad values become NULL."""
     require_columns(df, LIVE_REQUIRED)
     numeric = ["latitude", "longitude", "bright_ti4", "bright_ti5", "frp"]
+    # Times as text come with and without a leading zero; both are the same minute.
+    text_time = "acq_time" in df.columns and isinstance(df.schema["acq_time"].dataType, T.StringType)
+    time = {"acq_time": number_column(df, "acq_time").cast("int")} if text_time else {}
     return df.withColumns(
         {
+            **time,
             **{name: number_column(df, name) for name in numeric},
             "acq_date": F.col("acq_date").try_cast("date"),
             "confidence_score": v.live_confidence(F.col("confidence").cast("string")),

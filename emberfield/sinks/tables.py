@@ -33,20 +33,29 @@ def publish_snapshot(df: DataFrame, root: str, version: str) -> str:
     return path
 
 
-def has_snapshot(spark: SparkSession, root: str, version: str | None = None) -> bool:
-    """Whether this version (or any version) has been announced."""
+def has_snapshot(spark: SparkSession, root: str, version: str | None = None, ending: str | None = None) -> bool:
+    """Whether this version (or any version, or one whose name ends so) has been announced."""
     if not _exists(spark, f"{root}/versions"):
         return False
     found = spark.read.schema(_VERSIONS).parquet(f"{root}/versions")
     if version is not None:
         found = found.where(F.col("version") == version)
+    if ending is not None:
+        found = found.where(F.endswith("version", F.lit(ending)))
     return not found.isEmpty()
 
 
 def newest_snapshot(spark: SparkSession, root: str) -> str:
-    """Folder of the newest announced version (by name)."""
+    """Folder of the newest announced version: longer names are newer ("10" after "9"), equal ones go by text."""
     versions = spark.read.schema(_VERSIONS).parquet(f"{root}/versions")
-    return versions.agg(F.max_by("path", "version").alias("path")).first()["path"]
+    return versions.agg(F.max_by("path", F.struct(F.length("version"), "version")).alias("path")).first()["path"]
+
+
+def count_snapshots(spark: SparkSession, root: str) -> int:
+    """Number of announced versions."""
+    if not _exists(spark, f"{root}/versions"):
+        return 0
+    return spark.read.schema(_VERSIONS).parquet(f"{root}/versions").count()
 
 
 def write_event_table(df: DataFrame, root: str, version: str) -> str:

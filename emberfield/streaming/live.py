@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -42,8 +44,9 @@ def ingest(
 ) -> StreamingQuery:
     """Drain the landing folder into clean detections and live events.
 
-    Each micro-batch is cleaned, clipped and stored under its batch number and
-    row of tiles. Then the cells it touched, and only those, are recomputed from
+    Each micro-batch is cleaned, clipped and stored under its name and row of
+    tiles; the name joins the checkpoint's id with the batch number, so a new or lost
+    checkpoint folder, which counts from 0 again, meets no stored batch. Then the cells it touched, and only those, are recomputed from
     their stored detections, and a new version of the live events is published.
     A batch that is replayed after a failure rewrites its own partitions and
     publishes at most once, so the result is exactly-once. No streaming state
@@ -55,7 +58,8 @@ def ingest(
         clean = normalize.drop_repeats(normalize.drop_incomplete(normalize.coerce_live(batch)))
         if shapes is not None:
             clean = spatial.clip_to_polygons(clean, shapes)
-        keyed = _with_place(clean).withColumn("batch", F.lit(number))
+        name = f"{_checkpoint_id(spark, checkpoint)}-{number:09d}"
+        keyed = _with_place(clean).withColumn("batch", F.lit(name))
         (
             keyed.hint("rebalance", "tile_row")
             .write.mode("overwrite")
@@ -63,10 +67,10 @@ def ingest(
             .partitionBy("batch", "tile_row")
             .parquet(store)
         )
-        version = f"{number:012d}"
-        if sinks.has_snapshot(spark, events_root, version):
+        if sinks.has_snapshot(spark, events_root, ending=name):
             return
-        fresh = live_events_of(touched_history(spark, store, keyed.schema, number))
+        version = f"{sinks.count_snapshots(spark, events_root):012d}-{name}"
+        fresh = live_events_of(touched_history(spark, store, keyed.schema, name))
         if sinks.has_snapshot(spark, events_root):
             current = spark.read.schema(EVENTS).parquet(sinks.newest_snapshot(spark, events_root))
             fresh = events.upsert_events(current, fresh)
@@ -80,6 +84,11 @@ def ingest(
     )
 
 
+def _checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gives a checkpoint folder when a query first starts in it."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()["value"])["id"]
+
+
 def _with_place(clean: DataFrame) -> DataFrame:
     """Cell indices, and the tile row (at most 720) that partitions the store."""
     return clean.withColumns(
@@ -91,16 +100,16 @@ def _with_place(clean: DataFrame) -> DataFrame:
     )
 
 
-def touched_history(spark: SparkSession, store: str, schema: T.StructType, number: int) -> DataFrame:
-    """All stored detections of the cells that batch ``number`` touched.
+def touched_history(spark: SparkSession, store: str, schema: T.StructType, name: str) -> DataFrame:
+    """All stored detections of the cells that the named batch touched.
 
     The rows of tiles in the join key are partitions of the store, so only
     those of touched tiles are read.
     """
     stored = spark.read.schema(schema).parquet(store)
     keys = ["tile_row", "cell_row", "cell_col"]
-    touched = stored.where(F.col("batch") == number).select(*keys).distinct()
-    return stored.where(F.col("batch") <= number).join(touched, keys, "left_semi")
+    touched = stored.where(F.col("batch") == name).select(*keys).distinct()
+    return stored.join(touched, keys, "left_semi")
 
 
 def live_events_of(stored: DataFrame) -> DataFrame:

@@ -143,3 +143,20 @@ def test_manifest_created_when_missing(spark, tmp_path):
     sinks.append_manifest(row, path)
     sinks.append_manifest(row, path)
     assert files.tile_manifest(spark, path).count() == 2
+
+
+def test_version_ten_is_newer_than_nine(spark, tmp_path):
+    root = str(tmp_path / "numbers")
+    for version in ("9", "10"):
+        sinks.publish_snapshot(spark.range(int(version)), root, version)
+    assert sinks.newest_snapshot(spark, root).endswith("snapshot=10")
+
+
+def test_times_with_and_without_leading_zero_are_one(spark):
+    from emberfield.operators import normalize
+
+    ddl = "latitude string, longitude string, bright_ti4 string, bright_ti5 string, frp string, acq_date string, acq_time string, satellite string, daynight string, confidence string, source_dataset string"
+    rows = [("1", "2", "300", "280", "1", "2024-01-01", time, "N", "D", "h", "s") for time in ("0930", "930")]
+    live = normalize.coerce_live(spark.createDataFrame(rows, ddl))
+    assert [r.acq_time for r in live.select("acq_time").collect()] == [930, 930]
+    assert normalize.drop_repeats(live).count() == 1

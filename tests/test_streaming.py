@@ -57,3 +57,17 @@ def test_stream_deduplication_operator(spark, tmp_path):
     )
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_new_files_after_lost_offsets_reach_the_events(spark, sf_dir, tmp_path):
+    raw = views.live_detections(spark, sf_dir)
+    landing = str(tmp_path / "landing")
+    for offsets, part in (("first", raw.where("acq_time < 1200")), ("lost", raw.where("acq_time >= 1200"))):
+        part.write.mode("append").parquet(landing)
+        live.ingest(
+            spark, landing, raw.schema, str(tmp_path / "store"), str(tmp_path / "events"), str(tmp_path / offsets)
+        ).awaitTermination()
+    got, want = live.ingested_events(spark, str(tmp_path / "events")), live.snapshot_of(raw)
+    key = ["event_id", "observation_count", "mean_frp"]
+    assert got.count() == want.count()
+    assert got.select(*key).exceptAll(want.select(*key)).count() == 0
