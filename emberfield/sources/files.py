@@ -32,8 +32,7 @@ def archive_detections(spark: SparkSession, path: str) -> DataFrame:
 def first_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, header)`` of every text file; empty files have no row.
 
-    Only the block that starts a file is looked at, and one line per task and
-    file leaves the scan.
+    The scan reads every line as text, and one line per task and file leaves it.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
