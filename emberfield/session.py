@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Whether Spark deletes the shuffle files of a query when it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _LOCAL_SCRATCH: str | None = None
 
 
@@ -37,11 +40,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to shared storage and read it back.
 
     Cuts the lineage in a way that survives the loss of executors: a consumer
-    that is re-run reads files, it does not recompute the producer.
+    that is re-run reads files, it does not recompute the producer. The shuffle
+    files of the write go as soon as it has ended.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
