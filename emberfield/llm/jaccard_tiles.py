@@ -9,10 +9,11 @@ results. A tile is (shingle, size band); sets near the lower end of a band
 are also guests of the band below. Inside a tile sets are compared with a pivot
 first, and only where tile members remain in different components are the other
 pairs of these components taken, with a bounded number of comparisons per round until none is
-left. Candidate pairs pass size and position bounds, then hashed bitmap
-signatures whose bit counts bound the overlap from above, then exact intersection of
-the sorted arrays. So no link between different components is lost and
-no group is turned into all of its pairs.
+left. Such tiles with the same members are one: the first of them in the common order has
+the tightest positions, so it alone is taken. Candidate pairs pass size and position bounds, then
+hashed bitmap signatures whose bit counts bound the overlap from above, inside the tile
+except for pivots, then exact intersection of the sorted arrays. So no link between different
+components is lost and no group is turned into all of its pairs.
 """
 
 from __future__ import annotations
@@ -169,10 +170,38 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _bounds(bits: np.ndarray, n: np.ndarray):
+    """A function that bounds the overlap of one member of a tile with some others, by their bitmaps."""
+    width = np.array([len(x) // 8 for x in bits])
+    levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def level(words: int):
+        if words not in levels:
+            rows = np.flatnonzero(width >= words)
+            place = np.full(len(bits), -1)
+            place[rows] = np.arange(len(rows))
+            folded = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[r], np.uint64).reshape(-1, words)) for r in rows])
+            levels[words] = folded, n[rows] - np.bitwise_count(folded).sum(axis=1, dtype=np.int64), place
+        return levels[words]
+
+    def bound(one: int, others: np.ndarray) -> np.ndarray:
+        out = np.empty(len(others), np.int64)
+        both = np.minimum(width[one], width[others])
+        for words in np.unique(both):
+            folded, collisions, place = level(int(words))
+            some = both == words
+            x, y = place[one], place[others[some]]
+            common = np.bitwise_count(folded[x] & folded[y]).sum(axis=1, dtype=np.int64)
+            out[some] = common + np.minimum(collisions[x], collisions[y])
+        return out
+
+    return bound
+
+
 def _rounds(batches: Iterator[pa.RecordBatch], keep: int, comparisons: int) -> Iterator[pa.RecordBatch]:
     """Compare the next pivots of each tile with members of other components.
 
-    Yields candidate pairs, and the members that remain for the next round
+    Yields the pairs that sizes, positions and bitmaps allow, and the members that remain for the next round
     (``a`` null). Pivots come from the smaller components of a tile; once a pivot
     has met every member it leaves.
     """
@@ -185,7 +214,7 @@ def _rounds(batches: Iterator[pa.RecordBatch], keep: int, comparisons: int) -> I
         met.clear()
         return pa.record_batch({"a": a, "b": b, "h": none, "rep": none, "meta": none})
 
-    def tile(h, rep, meta, component):
+    def tile(h, rep, meta, component, bits):
         _, own, sizes = np.unique(component, return_inverse=True, return_counts=True)
         if len(sizes) < 2:
             return
@@ -194,11 +223,13 @@ def _rounds(batches: Iterator[pa.RecordBatch], keep: int, comparisons: int) -> I
         turn = np.lexsort((rep, guest, sizes[own]))
         turn = turn[own[turn] != np.argmax(sizes)]
         done = np.zeros(len(rep), bool)
+        bound = _bounds(bits, n)
         pivots = max(1, comparisons // len(rep))
         for p in turn[:pivots]:
             done[p] = True
             mate = ~done & (component != component[p]) & (guest + guest[p] < 2)
             m = np.flatnonzero(mate & _fits(keep, n[p], pos[p], n, pos))
+            m = m[(100 + keep) * bound(p, m) >= keep * (n[p] + n[m])]
             if len(m):
                 met.append(np.stack((np.minimum(rep[p], rep[m]), np.maximum(rep[p], rep[m]))))
                 if len(met) >= 20_000 or len(m) > 100_000:
@@ -212,7 +243,7 @@ def _rounds(batches: Iterator[pa.RecordBatch], keep: int, comparisons: int) -> I
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = [batch.column(c).to_numpy() for c in ("h", "rep", "meta", "component")]
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "rep", "meta", "component", "bits")]
         if held is not None:
             cols = [np.concatenate((x, c)) for x, c in zip(held, cols)]
         band = _parts(cols[2])[0]
@@ -249,6 +280,11 @@ def overlap_bound(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
     return common + min(n_a - int(np.bitwise_count(x).sum()), n_b - int(np.bitwise_count(y).sum()))
 
 
+def _bitmaps(batches, width: int) -> Iterator[pa.RecordBatch]:
+    for made in _digests(batches, width):
+        yield made.select(["rep", "n", "bits"])
+
+
 def _digests(batches, width: int) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         values, ends = _sets(part.column("text"), width)
@@ -292,11 +328,8 @@ def _likely(batches, bits) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(hit.astype(bool))).select(["doc_id", "text"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, keep: int, sets: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """The pairs that reach the similarity, by bitmap bound and then exactly; and the sets that were made."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if sets is not None:
-        wanted = wanted.join(sets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
+def _made(wanted: DataFrame, docs: DataFrame, width: int, shingles: bool = True) -> DataFrame:
+    """Bitmap, and shingles if asked, of the documents whose ``doc_id`` is wanted."""
     # A filter of fixed size lets only wanted documents, and a few others, into the join.
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     wanted = materialize(wanted, "jaccard-wanted")
@@ -306,24 +339,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, keep: int, sets: Da
     bits[words["word"].to_numpy(np.int64)] = words["bits"]
     shared = docs.sparkSession.sparkContext.broadcast(bits)
     likely = docs.withColumn("place", place).mapInArrow(lambda it: _likely(it, shared), "doc_id long, text string")
-    more = materialize(
-        likely.join(wanted, "doc_id", "left_semi").mapInArrow(
-            lambda it: _digests(it, width), "rep long, n long, bits binary, shingles binary"
-        ).dropDuplicates(["rep", "shingles"]),
-        "jaccard-sets",
-    )
-    sets = more if sets is None else sets.union(more)
+    make, schema = (_digests, "rep long, n long, bits binary, shingles binary") if shingles else (_bitmaps, "rep long, n long, bits binary")
+    # Repeated rows go while they are texts: the join has dealt them by doc_id already, and sets are larger.
+    found = likely.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return materialize(found.mapInArrow(lambda it: make(it, width), schema), "jaccard-sets")
 
-    def side(column: str, end: str, frame: DataFrame) -> DataFrame:
-        cols = [F.col("n").alias(f"n_{end}")] if column == "bits" else []
-        return frame.join(sets.select(F.col("rep").alias(end), *cols, F.col(column).alias(f"{column}_{end}")), end)
 
-    near = side("bits", "b", side("bits", "a", pairs)).mapInArrow(lambda it: _bounded(it, keep), "a long, b long")
-    near = materialize(near.distinct(), "jaccard-bounded")
-    links = side("shingles", "b", side("shingles", "a", near)).mapInArrow(
-        lambda it: _exact(it, keep), "a long, b long"
-    )
-    return materialize(links.distinct(), "jaccard-links"), sets
+def _lacking(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """Distinct ``doc_id`` without a row in the sets."""
+    return ids.distinct().join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
+
+
+def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Attach columns of the sets to both ends of pairs."""
+    for end in ("a", "b"):
+        own = sets.select(F.col("rep").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+        pairs = pairs.join(own, end)
+    return pairs
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, keep: int) -> DataFrame:
+    """The pairs whose sets, intersected exactly, reach the similarity."""
+    links = _sides(pairs, sets, "shingles").mapInArrow(lambda it: _exact(it, keep), "a long, b long")
+    return materialize(links.distinct(), "jaccard-links")
 
 
 def _meta(meta: F.Column, part: int) -> F.Column:
@@ -351,15 +389,8 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     texts = docs.where(F.col("text").isNotNull())
-    top = (
-        texts.mapInArrow(lambda it: _lowest(it, width), "h long")
-        .groupBy("h")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= FREQUENT)
-        .orderBy(F.desc("n"), "h")
-        .limit(HITTERS)
-        .toPandas()
-    )
+    shared = texts.mapInArrow(lambda it: _lowest(it, width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = materialize(shared.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(HITTERS), "jaccard-frequent").toPandas()
     keys, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(keys)
     ranks = np.empty(len(keys), np.int32)
@@ -395,7 +426,9 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
         .distinct()
     )
     known = materialize(pairs, "jaccard-pairs")
-    links, sets = _verified(known, texts, width, percent, None)
+    sets = _made(known.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), texts, width)
+    near = _sides(known, sets, "n", "bits").mapInArrow(lambda it: _bounded(it, percent), "a long, b long")
+    links = _linked(materialize(near.distinct(), "jaccard-bounded"), sets, percent)
     # Copies of a set are linked without being compared.
     copies = filled.join(reps, ["d1", "d2"]).where("doc_id <> rep")
     links = links.union(materialize(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "jaccard-copies"))
@@ -409,11 +442,25 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     members = tiles.join(open_tiles, ["h", "pivot", "pivot_meta"], "left_semi").select("h", "rep", "meta").union(
         open_tiles.select("h", F.col("pivot").alias("rep"), F.col("pivot_meta").alias("meta"))
     )
-    while True:
+    # Of tiles with the same members the first in the common order stays.
+    members = members.withColumns({"band": band, "n": n, "pos": pos})
+    same = {
+        "size": F.count(F.lit(1)),
+        "mark": F.bit_xor(F.xxhash64("rep")),
+        "total": F.sum(F.shiftright(F.xxhash64("rep", F.lit(1)), 32)),
+    }
+    alike = members.groupBy("h", "band").agg(F.min("pos").alias("first"), *[c.alias(k) for k, c in same.items()])
+    alike = alike.groupBy("band", *same).agg(F.min_by("h", "first").alias("h")).select("h", "band")
+    members = materialize(members.join(alike, ["h", "band"], "left_semi").select("h", "rep", "meta", "band", "n"), "jaccard-members")
+    missing = _lacking(members.select(F.col("rep").alias("doc_id")), sets)
+    bitmaps = sets.select("rep", "n", "bits").union(_made(missing, texts, width, shingles=False))
+    while not members.isEmpty():
         named = _named(members, components, "rep").withColumnRenamed("rep_component", "component")
         turn = materialize(
-            named.repartition("h")
-            .sortWithinPartitions("h", band)
+            named.join(bitmaps, ["rep", "n"])
+            .select("h", "rep", "meta", "component", "bits", "band")
+            .repartition("h")
+            .sortWithinPartitions("h", "band")
             .mapInArrow(lambda it: _rounds(it, percent, COMPARISONS), f"a long, b long, {_TILE}"),
             "jaccard-round",
         )
@@ -421,15 +468,13 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
             turn.where("a is not null").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"),
             "jaccard-pairs",
         )
+        # A doc_id with several sets stands in a tile once for each of one size.
+        members = turn.where("a is null").select("h", "rep", "meta").distinct().withColumns({"band": band, "n": n})
         if not pairs.isEmpty():
-            more, sets = _verified(pairs, texts, width, percent, sets)
-            links = links.union(more)
+            sets = sets.union(_made(_lacking(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), sets), texts, width))
+            links = links.union(_linked(pairs, sets, percent))
             known = known.union(pairs)
-        members = turn.where("a is null").select("h", "rep", "meta")
-        if members.isEmpty():
-            break
-        components = connected(links, "jaccard-components")
-    components = connected(links, "jaccard-components")
+            components = connected(links, "jaccard-components")
     return table.select("doc_id", F.col("n").alias("n_shingles")).join(
         components.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left"
     ).withColumn("component_id", F.coalesce("component_id", "doc_id"))
