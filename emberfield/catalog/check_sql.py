@@ -279,7 +279,7 @@ FROM {cells}
 TABLES["spl"] = """
 SELECT *, concat(CAST(lb AS VARCHAR), '_', CAST(ob AS VARCHAR)) AS block,
        CASE WHEN h < 60 THEN 'train' WHEN h < 80 THEN 'validation' ELSE 'test' END AS split FROM (
-SELECT *, (lb*73856093 + ob*19349663) % 100 AS h FROM (
+SELECT *, CAST('0x' || substr(md5(concat_ws('|', 'emberfield', lb, ob)), 1, 8) AS BIGINT) % 100 AS h FROM (
 SELECT *, CAST(floor(lat_grid/0.1::double) AS BIGINT) AS lb, CAST(floor(lon_grid/0.1::double) AS BIGINT) AS ob FROM {cells}))
 """
 

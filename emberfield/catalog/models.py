@@ -183,9 +183,9 @@ _MODEL_TEXT = " ".join(f"WHEN {k} THEN '{t}'" for k, t in MODEL_CLASS_LABELS.ite
     f"""SELECT c.grid_id, concat_ws(chr(10),
         'Model classification: ' || (CASE prediction {_MODEL_TEXT} END) || '.',
         'Predicted-class model score: ' || printf('%.4f', score) || '. {SCORE_NOTE}',
-        'Observed active days: ' || active_days || '.', 'Observed persistence days: ' || persistence_days || '.',
-        'Observed FIRMS count: ' || observation_count || '.',
-        CASE WHEN osm_context_available THEN 'Mapped industrial features in OSM context: ' || osm_industrial_count || '.' END,
+        'Days with detections: ' || active_days || '.', 'Days between first and last detection: ' || persistence_days || '.',
+        'Number of detections: ' || observation_count || '.',
+        CASE WHEN osm_context_available THEN 'Industrial map objects nearby: ' || osm_industrial_count || '.' END,
         CASE WHEN NOT osm_context_available THEN '{CONTEXT_UNAVAILABLE_EVIDENCE}' END) AS explanation_summary
       FROM {{pred}} c JOIN {{assembled}} a USING (grid_id)""",
 )

@@ -144,8 +144,8 @@ def m2(spark, folder):
 @query(
     "m3_cell_split",
     """SELECT grid_id, CASE WHEN h < 70 THEN 'train' WHEN h < 85 THEN 'validation' ELSE 'test' END AS split FROM (
-       SELECT grid_id, (CAST(round_even(lat_grid/0.01::double,0) AS BIGINT)*73856093
-                      + CAST(round_even(lon_grid/0.01::double,0) AS BIGINT)*19349663) % 100 AS h FROM {cells})""",
+       SELECT grid_id, CAST('0x' || substr(md5(concat_ws('|', 'emberfield', CAST(round_even(lat_grid/0.01::double,0) AS BIGINT),
+              CAST(round_even(lon_grid/0.01::double,0) AS BIGINT))), 1, 8) AS BIGINT) % 100 AS h FROM {cells})""",
 )
 def m3(spark, folder):
     return splits.cell_split(r.labelled_cells(spark, folder)).select("grid_id", "split")

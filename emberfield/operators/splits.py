@@ -1,6 +1,6 @@
 """Splits by place: hashes of block keys instead of random shuffles.
 
-The rule is a pure function of the place, so it needs no shuffle and no seed,
+The rule is a pure function of the place and a seed, so it needs no shuffle,
 and a new detection never moves an old block to another split.
 """
 
@@ -12,9 +12,14 @@ from emberfield.constants import TARGET
 from emberfield.functions import grid
 
 
-def _bucket(a: Column, b: Column) -> Column:
-    mixed = a.cast("long") * F.lit(73856093) + b.cast("long") * F.lit(19349663)
-    return F.pmod(mixed, F.lit(100))
+#: Another seed gives another, unrelated split.
+SEED = "emberfield"
+
+
+def _bucket(a: Column, b: Column, seed: str) -> Column:
+    """0 to 99 from the first 8 hex digits of an md5 over seed and place."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), a.cast("long").cast("string"), b.cast("long").cast("string")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100
 
 
 def _named(bucket: Column, train: int, validation: int) -> Column:
@@ -25,9 +30,9 @@ def _named(bucket: Column, train: int, validation: int) -> Column:
     )
 
 
-def block_split(cells: DataFrame, train: int = 60, validation: int = 20) -> DataFrame:
+def block_split(cells: DataFrame, train: int = 60, validation: int = 20, seed: str = SEED) -> DataFrame:
     """60/20/20 by 0.1 degree block: all cells of a block share a split."""
-    bucket = _bucket(grid.block_index(F.col("lat_grid")), grid.block_index(F.col("lon_grid")))
+    bucket = _bucket(grid.block_index(F.col("lat_grid")), grid.block_index(F.col("lon_grid")), seed)
     return cells.withColumns(
         {
             "block": grid.block_key(F.col("lat_grid"), F.col("lon_grid")),
@@ -36,9 +41,9 @@ def block_split(cells: DataFrame, train: int = 60, validation: int = 20) -> Data
     )
 
 
-def cell_split(cells: DataFrame, train: int = 70, validation: int = 15) -> DataFrame:
+def cell_split(cells: DataFrame, train: int = 70, validation: int = 15, seed: str = SEED) -> DataFrame:
     """70/15/15 by cell, the older protocol (a cell is one row)."""
-    bucket = _bucket(grid.cell_index(F.col("lat_grid")), grid.cell_index(F.col("lon_grid")))
+    bucket = _bucket(grid.cell_index(F.col("lat_grid")), grid.cell_index(F.col("lon_grid")), seed)
     return cells.withColumn("split", _named(bucket, train, validation))
 
 

@@ -70,9 +70,9 @@ def test_evidence_and_labels(spark):
     )
     got = {r["grid_id"]: r for r in scoring.describe_predictions(rows, "v").collect()}
     assert got["a"]["evidence"][1].startswith("Predicted-class model score: 0.8000.")
-    assert got["a"]["evidence"][-1] == "Mapped industrial features in OSM context: 3."
+    assert got["a"]["evidence"][-1] == "Industrial map objects nearby: 3."
     assert got["b"]["classification"] == "Class 9"
-    assert got["b"]["evidence"][-1].startswith("OSM context is marked unavailable")
+    assert got["b"]["evidence"][-1].startswith("Map context was not queried")
     assert len(got["c"]["evidence"]) == 3
     none = scoring.without_model(rows).first()
     assert none["classification"] == "MODEL_NOT_AVAILABLE" and none["model_score"] is None and none["is_mock"]
