@@ -8,8 +8,8 @@ it comes from counts over all documents and influences cost, never
 results. A tile is (shingle, size band); sets near the lower end of a band
 are also guests of the band below. Inside a tile sets are compared with a pivot
 first, and only where tile members remain in different components are the other
-pairs of these components taken, with a bounded number of comparisons per round until none is
-left. Such tiles with the same members are one: the first of them in the common order has
+pairs of these components taken, the likeliest first and with bounded numbers of pairs and comparisons per round,
+between which components are named anew, until none is left. Such tiles with the same members are one: the first of them in the common order has
 the tightest positions, so it alone is taken. Candidate pairs pass size and position bounds, then
 hashed bitmap signatures whose bit counts bound the overlap from above, inside the tile
 except for pivots, then exact intersection of the sorted arrays. So no link between different
@@ -41,6 +41,12 @@ _TILE_SHIFT = 16
 FILTER_BITS = 1 << 26
 #: Comparisons of sizes and positions inside one tile per round; more members take more rounds.
 COMPARISONS = 1 << 26
+#: Every so many-th tile, by hash, is taken in the first round; the others see the components it has found.
+FIRST_TILES = 8
+#: Partners that a pivot is paired with per tile in the first round, likeliest first; ``GROWTH`` times as many in each
+#: further round, until the pivot has met all of them.
+REACH = 4
+GROWTH = 8
 
 
 def _sets(column: pa.Array, width: int):
@@ -198,12 +204,12 @@ def _bounds(bits: np.ndarray, n: np.ndarray):
     return bound
 
 
-def _rounds(batches: Iterator[pa.RecordBatch], keep: int, comparisons: int) -> Iterator[pa.RecordBatch]:
+def _rounds(batches: Iterator[pa.RecordBatch], keep: int, comparisons: int, reach: int) -> Iterator[pa.RecordBatch]:
     """Compare the next pivots of each tile with members of other components.
 
-    Yields the pairs that sizes, positions and bitmaps allow, and the members that remain for the next round
-    (``a`` null). Pivots come from the smaller components of a tile; once a pivot
-    has met every member it leaves.
+    Yields the pairs that sizes, positions and bitmaps allow, ``reach`` per pivot and those with the largest
+    bound first, and the members that remain for the next round (``a`` null). Pivots come from the smaller
+    components of a tile; once a pivot has met every member it leaves.
     """
 
     met: list[np.ndarray] = []
@@ -225,16 +231,23 @@ def _rounds(batches: Iterator[pa.RecordBatch], keep: int, comparisons: int) -> I
         done = np.zeros(len(rep), bool)
         bound = _bounds(bits, n)
         pivots = max(1, comparisons // len(rep))
+        more = len(turn) > pivots
         for p in turn[:pivots]:
-            done[p] = True
             mate = ~done & (component != component[p]) & (guest + guest[p] < 2)
             m = np.flatnonzero(mate & _fits(keep, n[p], pos[p], n, pos))
-            m = m[(100 + keep) * bound(p, m) >= keep * (n[p] + n[m])]
+            common = bound(p, m)
+            some = (100 + keep) * common >= keep * (n[p] + n[m])
+            m, common = m[some], common[some]
+            if len(m) > reach:
+                m = m[np.lexsort((rep[m], -common / (n[p] + n[m])))[:reach]]
+                more = True
+            else:
+                done[p] = True
             if len(m):
                 met.append(np.stack((np.minimum(rep[p], rep[m]), np.maximum(rep[p], rep[m]))))
                 if len(met) >= 20_000 or len(m) > 100_000:
                     yield pairs()
-        if len(turn) > pivots:
+        if more:
             m = np.flatnonzero(~done)
             none = pa.nulls(len(m), pa.int64())
             yield pa.record_batch({"a": none, "b": none, "h": h[m], "rep": rep[m], "meta": meta[m]})
@@ -454,27 +467,40 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     members = materialize(members.join(alike, ["h", "band"], "left_semi").select("h", "rep", "meta", "band", "n"), "jaccard-members")
     missing = _lacking(members.select(F.col("rep").alias("doc_id")), sets)
     bitmaps = sets.select("rep", "n", "bits").union(_made(missing, texts, width, shingles=False))
-    while not members.isEmpty():
+    # The first round takes some tiles, so that the others find most of their members in one component.
+    chosen = F.pmod(F.shiftright("h", 2), F.lit(FIRST_TILES)) == 0
+    members, later = members.where(chosen), members.where(~chosen)
+    reach = REACH
+    while later is not None or not members.isEmpty():
         named = _named(members, components, "rep").withColumnRenamed("rep_component", "component")
+        # Bitmaps go only to tiles that have members in different components.
+        named = materialize(named, "jaccard-named")
+        several = named.groupBy("h", "band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        named = named.join(several.select("h", "band"), ["h", "band"], "left_semi")
         turn = materialize(
             named.join(bitmaps, ["rep", "n"])
             .select("h", "rep", "meta", "component", "bits", "band")
             .repartition("h")
             .sortWithinPartitions("h", "band")
-            .mapInArrow(lambda it: _rounds(it, percent, COMPARISONS), f"a long, b long, {_TILE}"),
+            .mapInArrow(lambda it, reach=reach: _rounds(it, percent, COMPARISONS, reach), f"a long, b long, {_TILE}"),
             "jaccard-round",
         )
+        reach *= GROWTH
         pairs = materialize(
             turn.where("a is not null").select("a", "b").distinct().join(known, ["a", "b"], "left_anti"),
             "jaccard-pairs",
         )
         # A doc_id with several sets stands in a tile once for each of one size.
         members = turn.where("a is null").select("h", "rep", "meta").distinct().withColumns({"band": band, "n": n})
+        if later is not None:
+            members, later = members.unionByName(later), None
         if not pairs.isEmpty():
             sets = sets.union(_made(_lacking(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), sets), texts, width))
-            links = links.union(_linked(pairs, sets, percent))
             known = known.union(pairs)
-            components = connected(links, "jaccard-components")
+            links = _linked(pairs, sets, percent)
+            if not links.isEmpty():
+                stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
+                components = connected(stars.union(links), "jaccard-components")
     return table.select("doc_id", F.col("n").alias("n_shingles")).join(
         components.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left"
     ).withColumn("component_id", F.coalesce("component_id", "doc_id"))

@@ -38,8 +38,8 @@ def _docs(spark, texts):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words string")
 
 
-def test_jaccard_components_equal_brute_force(spark):
-    texts = _texts(1, 60)
+def _components(texts):
+    """Set size and component of every text, by comparing all pairs."""
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -49,8 +49,39 @@ def test_jaccard_components_equal_brute_force(spark):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
             x, y = root[a], root[b]
             root = [min(x, y) if r in (x, y) else r for r in root]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_tiles.shingle_components(_docs(spark, texts)).collect()}
-    assert got == {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, root))}
+    return {i: (len(s), r) for i, (s, r) in enumerate(zip(sets, root))}
+
+
+def _joined(spark, texts):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_tiles.shingle_components(_docs(spark, texts)).collect()}
+
+
+def test_jaccard_components_equal_brute_force(spark):
+    texts = _texts(1, 60)
+    assert _joined(spark, texts) == _components(texts)
+
+
+def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
+    """A large group of copies, many just above or below the similarity, with one partner per pivot in a round."""
+    for name, value in (("REACH", 1), ("GROWTH", 3), ("FIRST_TILES", 2)):
+        monkeypatch.setattr(jaccard_tiles, name, value)
+    rounds, reaches = jaccard_tiles._rounds, spark.sparkContext.accumulator(0)
+
+    def counted(batches, keep, comparisons, reach):
+        reaches.add(reach)
+        return rounds(batches, keep, comparisons, reach)
+
+    monkeypatch.setattr(jaccard_tiles, "_rounds", counted)
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(150):
+        own = list(base)
+        for k in rng.sample(range(200), rng.choice((2, 5, 6, 7))):
+            own[k] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    assert _joined(spark, texts) == _components(texts)
+    assert reaches.value > 0
 
 
 def test_bitmaps_bound_the_overlap():
