@@ -42,16 +42,19 @@ SEED = 42
 class Size:
     """How large the models are; the defaults are the published settings."""
 
-    def __init__(self, iterations=300, trees=300, tree_depth=30, boost_depth=5, boost_depth_wide=6, linear_iterations=1000):
+    def __init__(self, iterations=300, trees=300, tree_depth=30, boost_depth=5, boost_depth_wide=6, linear_iterations=1000,
+                 binary_iterations=100, isolation_trees=100):
         self.iterations = iterations
         self.trees = trees
         self.tree_depth = tree_depth
         self.boost_depth = boost_depth
         self.boost_depth_wide = boost_depth_wide
         self.linear_iterations = linear_iterations
+        self.binary_iterations = binary_iterations
+        self.isolation_trees = isolation_trees
 
 
-SMALL = Size(iterations=2, trees=8, tree_depth=6, boost_depth=3, boost_depth_wide=3, linear_iterations=20)
+SMALL = Size(iterations=2, trees=8, tree_depth=6, boost_depth=3, boost_depth_wide=3, binary_iterations=2)
 
 
 def prepare_checkpoints(spark: SparkSession) -> None:
@@ -94,7 +97,7 @@ def estimator(name: str, rows: int, size: Size = Size()):
     if name == "random_forest":
         return [
             RandomForestClassifier(
-                numTrees=size.trees, maxDepth=min(size.tree_depth, 30), seed=SEED, **common
+                numTrees=size.trees, maxDepth=size.tree_depth, seed=SEED, **common
             )
         ]
     if name == "hist_gradient_boosting":
@@ -104,7 +107,7 @@ def estimator(name: str, rows: int, size: Size = Size()):
     if name == "binary_boosting":
         return [
             GBTClassifier(
-                maxIter=min(size.iterations, 100),
+                maxIter=size.binary_iterations,
                 maxDepth=size.boost_depth,
                 stepSize=0.1,
                 checkpointInterval=10,
@@ -309,7 +312,7 @@ def binary_baseline(cells: DataFrame, size: Size = Size(trees=100, tree_depth=12
         one = row(name, scored.select("label", "prediction", "score"))
         out = one if out is None else out.unionByName(one)
 
-    forest = isolation.fit_forest(train, names, trees=min(size.trees, 100))
+    forest = isolation.fit_forest(train, names, trees=size.isolation_trees)
     scored = isolation.score(forest, test, names)
     cut = isolation.threshold(isolation.score(forest, train, names), contamination=0.015)
     flagged = scored.select(
