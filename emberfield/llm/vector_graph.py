@@ -3,9 +3,10 @@
 Method. Vectors are assigned to their nearest cluster and to others that are nearly as near, so shards overlap.
 On each shard a flat graph is built: the nearest neighbours of a node, pruned so that a neighbour that lies
 closer to a kept one goes (with a slack factor). A vector's adjacency lists from all of its shards are united. A
-range-expanding greedy search starts at the shard's medoid, follows the best nodes, and goes on through
-all nodes inside the range. Found pairs are verified in double precision. The recall is
-audited against all rows for a bounded set of vectors, and clusters overlap more until it is high enough.
+range-expanding greedy search starts at the medoids of the connected parts of the shard's graph and of its groups of near copies, follows the best
+nodes, and goes on through all nodes inside the range. Found pairs are verified in double precision. The recall is
+audited against all rows for a bounded set of vectors. Where it falls short, shards are compared block by block without
+a graph, and clusters overlap more until it is high enough or no link can be missing.
 
 Equal vectors are folded first. A cluster of many vectors is split into pieces of bounded size: each has its own graph, and blocks of
 the cluster's vectors search every piece, so no task holds a whole cluster. Tasks return counts and
@@ -95,12 +96,42 @@ def robust_graph(x: np.ndarray, candidates: int = CANDIDATES, degree: int = DEGR
     for i, own in enumerate(out):
         for j in own:
             back[j].append(i)
-    # Reverse links keep every node reachable; all of them stay, at most DEGREE per node on average.
+    # Reverse links make every node of a connected part reachable; all of them stay, at most DEGREE per node on average.
     return [np.union1d(own, np.array(some, np.int64)) for own, some in zip(out, back)]
 
 
+def _medoids(x: np.ndarray, src: np.ndarray, dst: np.ndarray, least: int) -> np.ndarray:
+    """The node next to the mean of all, of every connected part with ``least`` nodes or more."""
+    n = len(x)
+    part = np.arange(n)
+    while True:
+        low = part.copy()
+        np.minimum.at(low, src, part[dst])
+        np.minimum.at(low, dst, part[src])
+        low = low[low]
+        if (low == part).all():
+            break
+        part = low
+    order = np.lexsort((-(x @ x.mean(axis=0)), part))
+    _, first, size = np.unique(part[order], return_index=True, return_counts=True)
+    return order[first[size >= least]]
+
+
+def entries(x: np.ndarray, links: list[np.ndarray], low: float) -> np.ndarray:
+    """Where searches enter a graph: the medoids of its connected parts and of what links inside the range connect.
+
+    The lists of a large group of near copies name the group alone, so that only others' links lead there,
+    and a search whose best nodes are in one such group would never see the next one.
+    """
+    if not len(x):
+        return np.zeros(0, np.int64)
+    src, dst = np.repeat(np.arange(len(x)), [len(v) for v in links]), np.concatenate(links)
+    near = np.einsum("ij,ij->i", x[src], x[dst]) >= low
+    return np.union1d(_medoids(x, src, dst, 1), _medoids(x, src[near], dst[near], 2))
+
+
 def range_search(x: np.ndarray, links: list[np.ndarray], queries: np.ndarray, low: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, node) with cosine >= low that a search from the medoid reaches.
+    """Pairs (query, node) with cosine >= low that a search from the entries reaches.
 
     All queries advance together: in each round every query expands its newly seen nodes that are
     inside the range or among its best ``beam``.
@@ -110,11 +141,13 @@ def range_search(x: np.ndarray, links: list[np.ndarray], queries: np.ndarray, lo
     flat = np.concatenate(links) if n else np.zeros(0, np.int64)
     seen = np.zeros((q, n), bool)
     near = np.full((q, n), -2.0)
-    start = int(np.argmax(x @ x.mean(axis=0)))
-    near[:, start] = queries @ x[start]
-    seen[:, start] = True
-    todo_q, todo_n = np.arange(q), np.full(q, start)
     take = min(beam, n)
+    start = entries(x, links, low)
+    near[:, start] = queries @ x[start].T
+    seen[:, start] = True
+    worst = np.partition(near, n - take, axis=1)[:, n - take] if n else np.zeros(q)
+    todo_q, at = np.nonzero((near[:, start] >= low) | (near[:, start] >= worst[:, None]))
+    todo_n = start[at]
     while len(todo_q):
         lengths = ends[todo_n + 1] - ends[todo_n]
         at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(ends[todo_n], lengths)
@@ -171,8 +204,8 @@ def _build(piece: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": ids, "links": [ids[own] for own in links]})
 
 
-def _search(low: float):
-    """Search the graph of a piece with a block of its cluster's vectors."""
+def _search(low: float, compare: bool):
+    """Search the graph of a piece with a block of its cluster's vectors, or compare the two without it."""
 
     def run(key: tuple, index: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = {"vec_id": [], "found": [], "other": []}
@@ -181,12 +214,15 @@ def _search(low: float):
             index = index.sort_values("vec_id", ignore_index=True)
             ids = index["vec_id"].to_numpy()
             x, y = unit(_matrix(index["vector"])), unit(_matrix(block["vector"]))
-            # United lists name nodes of other shards too; here those of this piece count.
-            links = []
-            for own in index["links"]:
-                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-                links.append(np.unique(at[ids[at] == own]))
-            q, n = range_search(x, links, y, low - 1e-9)
+            if compare:
+                q, n = np.nonzero(y @ x.T >= low - 1e-9)
+            else:
+                # United lists name nodes of other shards too; here those of this piece count.
+                links = []
+                for own in index["links"]:
+                    at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+                    links.append(np.unique(at[ids[at] == own]))
+                q, n = range_search(x, links, y, low - 1e-9)
             # Verification in double precision, and each pair in one cluster of the two only.
             exact = np.einsum("ij,ij->i", y[q], x[n]) >= low
             q, n = q[exact], n[exact]
@@ -218,7 +254,7 @@ def _assign(batches: Iterator[pd.DataFrame], middle, overlap: int, margin: float
             yield frame.assign(clusters=shards(unit(_matrix(frame["vector"])), middle.value, overlap, margin))
 
 
-def _searched(folded: DataFrame, middle, low: float, overlap: int, margin: float) -> DataFrame:
+def _searched(folded: DataFrame, middle, low: float, overlap: int, margin: float, compare: bool) -> DataFrame:
     sharded = materialize(
         folded.mapInPandas(
             lambda it: _assign(it, middle, overlap, margin), "vec_id long, weight long, vector array<double>, clusters array<int>"
@@ -233,18 +269,22 @@ def _searched(folded: DataFrame, middle, low: float, overlap: int, margin: float
     graphs, searches = (max(1, min(MAX_TASKS, int(n or 0))) for n in (graphs, searches))
     placed = member.join(F.broadcast(pieces), "cluster")
     indexed = placed.withColumn("piece", F.pmod(F.xxhash64("vec_id"), F.col("pieces")).cast("int"))
-    lists = materialize(
-        indexed.select("cluster", "piece", "vec_id", "vector")
-        .repartition(graphs, "cluster", "piece")
-        .groupBy("cluster", "piece")
-        .applyInPandas(_build, "vec_id long, links array<long>")
-        .groupBy("vec_id")
-        .agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links")),
-        "vector-links",
-    )
+    if compare:
+        linked = indexed.withColumn("links", F.lit(None).cast("array<long>"))
+    else:
+        lists = materialize(
+            indexed.select("cluster", "piece", "vec_id", "vector")
+            .repartition(graphs, "cluster", "piece")
+            .groupBy("cluster", "piece")
+            .applyInPandas(_build, "vec_id long, links array<long>")
+            .groupBy("vec_id")
+            .agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links")),
+            "vector-links",
+        )
+        linked = indexed.join(lists, "vec_id")
     block = placed.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("pieces")).cast("int"))
     span = lambda f: f.withColumn("pair", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    left = span(indexed.join(lists, "vec_id")).select("cluster", "piece", F.col("pair").alias("block"), "vec_id", "weight", "vector", "clusters", "links")
+    left = span(linked).select("cluster", "piece", F.col("pair").alias("block"), "vec_id", "weight", "vector", "clusters", "links")
     right = span(block).select("cluster", F.col("pair").alias("piece"), "block", "vec_id", "vector", "clusters")
     # Fresh column names keep the two uses of the table apart.
     right = right.toDF(*right.columns)
@@ -253,7 +293,7 @@ def _searched(folded: DataFrame, middle, low: float, overlap: int, margin: float
         left.repartition(searches, *keys)
         .groupBy(*keys)
         .cogroup(right.repartition(searches, *keys).groupBy(*keys))
-        .applyInPandas(_search(low), "vec_id long, found long, other long")
+        .applyInPandas(_search(low, compare), "vec_id long, found long, other long")
     )
 
 
@@ -310,13 +350,16 @@ def near_duplicates(vectors: DataFrame, low: float = 0.9) -> DataFrame:
         count = int(min(MAX_CLUSTERS, max(1, total // CLUSTER)))
         fit = own.orderBy(F.xxhash64("vec_id", F.lit("fit")), "vec_id").limit(min(FIT_VECTORS, 40 * count + 100)).select("vector").toPandas()
         middle = spark.sparkContext.broadcast(centres(unit(_matrix(fit["vector"])), min(count, len(fit))))
-        overlap, margin = 2, 0.15
+        overlap, margin, compare = 2, 0.15, False
+        # A vector is at most twice the range's angle farther from a partner's nearest centre than from its own.
+        enough = 2 * float(np.arccos(np.clip(low, -1, 1)))
         while True:
-            found = materialize(_searched(own, middle, low, overlap, margin), "vector-found")
+            found = materialize(_searched(own, middle, low, overlap, margin, compare), "vector-found")
             counts = found.groupBy("vec_id").agg(F.sum("found").alias("found"))
-            if overlap >= count or _recall(own, counts, low) >= RECALL:
+            whole = compare and overlap >= count and (count == 1 or margin >= enough)
+            if whole or _recall(own, counts, low) >= RECALL:
                 break
-            overlap, margin = 2 * overlap, 2 * margin
+            overlap, margin, compare = 2 * overlap, 2 * margin, True
         results.append(counts)
         links.append(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     none = spark.createDataFrame([], "vec_id long, found long")

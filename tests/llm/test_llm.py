@@ -273,6 +273,40 @@ def test_vectors_equal_brute_force(spark):
     assert all((got[i].n_links, got[i].component_id) == (0, i) for i in range(900, 905))
 
 
+def _near_copies(sizes, dim, lone, seed=4):
+    """Groups of distinct near copies among lone vectors, shuffled; links and components by comparing all pairs."""
+    rng = np.random.default_rng(seed)
+    x = [np.repeat(rng.normal(size=(1, dim)), k, 0) + 0.05 * rng.normal(size=(k, dim)) for k in sizes]
+    x = rng.permutation(np.concatenate([*x, rng.normal(size=(lone, dim))]))
+    near = vector_graph.unit(x) @ vector_graph.unit(x).T >= 0.9
+    root = np.arange(len(x))
+    while (low := np.where(near, root[None, :], len(x)).min(axis=1)).tolist() != root.tolist():
+        root = low
+    return x, near.sum(axis=1) - 1, root
+
+
+def _vectors(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_searches_reach_every_large_group_of_near_copies(spark):
+    x, links, root = _near_copies([100, 200, 300, 150], 64, 200)
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(_vectors(spark, x)).collect()}
+    assert [got[i].component_id for i in range(len(x))] == root.tolist()
+    assert sum(r.n_links for r in got.values()) >= 0.999 * links.sum()
+    # The graph itself finds them, without the comparison that follows a failed audit.
+    y = vector_graph.unit(x)
+    assert len(vector_graph.range_search(y, vector_graph.robust_graph(y), y, 0.9)[0]) >= 0.999 * (links.sum() + len(x))
+
+
+def test_vectors_are_compared_exactly_where_the_audit_falls_short(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "CLUSTER", 100)
+    monkeypatch.setattr(vector_graph, "_recall", lambda *_: 0.0)
+    x, links, root = _near_copies([70, 90, 2, 3], 16, 235)
+    got = {r.vec_id: r for r in vector_graph.near_duplicates(_vectors(spark, x)).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == list(zip(links.tolist(), root.tolist()))
+
+
 @pytest.mark.parametrize("made", ["jaccard", "pack", "bpe", "crf", "lang", "vectors", "chat"])
 def test_empty_tables(spark, made):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
