@@ -298,7 +298,11 @@ def _searched(folded: DataFrame, middle, low: float, overlap: int, margin: float
 
 
 def _recall(folded: DataFrame, counts: DataFrame, low: float) -> float:
-    """Share of the links of a bounded set of vectors that were found; all rows are compared, in blocks."""
+    """Share of the links of a bounded set of vectors that were found; all rows are compared, in blocks.
+
+    The lowest of: the share of all these links, and the mean share per vector among vectors with 1, 2 to 3,
+    4 to 7 links and so on. So a large group does not hide what small ones lack.
+    """
     spark = folded.sparkSession
     asked = folded.orderBy(F.xxhash64("vec_id", F.lit("audit")), "vec_id").limit(AUDITED).select("vec_id", "vector").toPandas()
     if not len(asked):
@@ -315,8 +319,15 @@ def _recall(folded: DataFrame, counts: DataFrame, low: float) -> float:
         yield pd.DataFrame({"vec_id": ids, "true": total.astype(np.int64)})
 
     truth = folded.mapInPandas(exact, "vec_id long, true long").groupBy("vec_id").agg(F.sum("true").alias("true"))
-    row = truth.join(counts, "vec_id", "left").agg(F.sum("true"), F.sum(F.coalesce("found", F.lit(0)))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    found = F.coalesce("found", F.lit(0))
+    strata = (
+        truth.join(counts, "vec_id", "left")
+        .where(F.col("true") > 0)
+        .groupBy(F.floor(F.log2(F.col("true"))).alias("size"))
+        .agg(F.sum("true").alias("true"), F.sum(found).alias("found"), F.avg(found / F.col("true")).alias("mean"))
+    )
+    row = strata.agg(F.sum("true"), F.sum("found"), F.min("mean")).first()
+    return 1.0 if not row[0] else min(row[1] / row[0], row[2])
 
 
 def near_duplicates(vectors: DataFrame, low: float = 0.9) -> DataFrame:

@@ -307,6 +307,22 @@ def test_vectors_are_compared_exactly_where_the_audit_falls_short(spark, monkeyp
     assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == list(zip(links.tolist(), root.tolist()))
 
 
+def test_recall_audit_sees_small_groups_beside_a_large_one(spark):
+    x, links, _ = _near_copies([250, 2, 2, 2, 2], 16, 100)
+    own = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "vec_id long, weight long, vector array<double>")
+    some = lambda least: spark.createDataFrame([(i, int(n)) for i, n in enumerate(links) if n >= least], "vec_id long, found long")
+    assert vector_graph._recall(own, some(1), 0.9) == 1.0
+    # The links of the pairs are less than a thousandth of all.
+    assert vector_graph._recall(own, some(100), 0.9) == 0.0
+
+
+def test_recall_is_audited_at_every_size(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(vector_graph, "_recall", lambda own, counts, low: asked.append(own.count()) or 1.0)
+    vector_graph.near_duplicates(_vectors(spark, _near_copies([5], 8, 20)[0])).collect()
+    assert asked == [25]
+
+
 @pytest.mark.parametrize("made", ["jaccard", "pack", "bpe", "crf", "lang", "vectors", "chat"])
 def test_empty_tables(spark, made):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
