@@ -72,13 +72,17 @@ def _ordered(values: np.ndarray, keys: np.ndarray, ranks: np.ndarray) -> np.ndar
 
 
 def _prefixes(batches, width: int, keep: int, hitters) -> Iterator[pa.RecordBatch]:
-    """Size and digest of every set; the prefix where a task meets the set for the first time."""
+    """Size and digest of every set; the prefix where a task meets the set for the first time.
+
+    Rows without a doc_id post nothing, so they do not count as a meeting.
+    """
     keys, ranks = hitters.value
     met: set[bytes] = set()
     for part in slices(batches, "text"):
         values, ends = _sets(part.column("text"), width)
         d1, d2, prefix, sizes = [], [], [], np.diff(ends)
-        for a, b in zip(ends[:-1], ends[1:]):
+        named = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        for a, b, posts in zip(ends[:-1], ends[1:], named):
             own = values[a:b]
             raw = xxhash.xxh3_128_digest(own.tobytes())
             digest = np.frombuffer(raw, np.int64)
@@ -86,9 +90,10 @@ def _prefixes(batches, width: int, keep: int, hitters) -> Iterator[pa.RecordBatc
             d2.append(digest[1])
             n = b - a
             need = -(-keep * n // 100)
-            own = _ordered(own, keys, ranks)[: n - need + 1] if n and raw not in met else own[:0]
+            own = _ordered(own, keys, ranks)[: n - need + 1] if n and posts and raw not in met else own[:0]
             prefix.append((own >> np.uint64(_TILE_SHIFT)).view(np.int64))
-            met.add(raw)
+            if posts:
+                met.add(raw)
         if len(met) > 1_000_000:
             met.clear()
         yield pa.record_batch(

@@ -84,6 +84,15 @@ def test_jaccard_rounds_lose_no_link(spark, monkeypatch):
     assert reaches.value > 0
 
 
+def test_a_row_without_id_hides_no_link(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text.replace("w59", "edit")
+    assert _components([text, near])[1][1] == 0
+    docs = spark.createDataFrame([(None, text), (5, text), (7, near)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_tiles.shingle_components(docs).collect()}
+    assert got == {None: (56, None), 5: (56, 5), 7: (56, 5)}
+
+
 def test_bitmaps_bound_the_overlap():
     rng = np.random.default_rng(3)
     for _ in range(200):
