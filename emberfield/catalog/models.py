@@ -19,7 +19,6 @@ from emberfield.constants import (
 )
 from emberfield.operators import metrics, splits
 from emberfield.plans import isolation, scoring, training
-from emberfield.plans.training import SMALL
 from emberfield.session import materialize, scratch_path
 
 
@@ -53,7 +52,7 @@ def m4(spark, folder):
 def _one_model(name):
     def run(spark, folder):
         table = _split(spark, folder)
-        model, _ = training.fit(name, table.where(F.col("split") == "train"), DETECTION_FEATURES, SMALL)
+        model, _ = training.fit(name, table.where(F.col("split") == "train"), DETECTION_FEATURES)
         return training.evaluate(name, model, table.where(F.col("split") == "validation"))
 
     return run
@@ -96,7 +95,7 @@ def m11(spark, folder):
 @query("m12_evaluate_on_split")
 def m12(spark, folder):
     table = _split(spark, folder)
-    model, _ = training.fit("decision_tree", table.where(F.col("split") == "train"), DETECTION_FEATURES, SMALL)
+    model, _ = training.fit("decision_tree", table.where(F.col("split") == "train"), DETECTION_FEATURES)
     scored = training.predict(model, table.where(F.col("split") == "validation"))
     report = metrics.class_report(scored)
     matrix = metrics.confusion_matrix(scored)
@@ -106,7 +105,7 @@ def m12(spark, folder):
 @query("m13_benchmark_models")
 def m13(spark, folder):
     table = materialize(r.labelled_cells(spark, folder), "cells")
-    return metrics.ranked(training.run_experiments(table, ["full"], size=SMALL), "macro_f1", "model")
+    return metrics.ranked(training.run_experiments(table, ["full"]), "macro_f1", "model")
 
 
 def _matched(spark, folder):
@@ -116,14 +115,14 @@ def _matched(spark, folder):
 @query("m14_ablation")
 def m14(spark, folder):
     results = training.run_experiments(
-        _matched(spark, folder), ["full", "reduced", "reduced_context"], size=SMALL
+        _matched(spark, folder), ["full", "reduced", "reduced_context"]
     )
     return metrics.compare_experiments(materialize(results, "results"))
 
 
 @query("m15_context_comparison")
 def m15(spark, folder):
-    results = training.run_experiments(_matched(spark, folder), ["full", "full_context"], size=SMALL)
+    results = training.run_experiments(_matched(spark, folder), ["full", "full_context"])
     return metrics.pivot_with_delta(materialize(results, "results"), "full", "full_context")
 
 
@@ -131,24 +130,24 @@ def m15(spark, folder):
 def m16(spark, folder):
     return training.run_experiments(
         _matched(spark, folder), ["full", "reduced", "reduced_context"],
-        models=["decision_tree", "xgboost"], size=SMALL, held_out=True,
+        held_out=True,
     )
 
 
 @query("m17_final_model")
 def m17(spark, folder):
-    _, metadata = training.train_final(materialize(r.labelled_cells(spark, folder), "cells"), SMALL)
+    _, metadata = training.train_final(materialize(r.labelled_cells(spark, folder), "cells"))
     return metadata.drop("feature_names", "class_mapping")
 
 
 @query("m18_feature_importance")
 def m18(spark, folder):
-    return training.compare_importance(_matched(spark, folder), SMALL)
+    return training.compare_importance(_matched(spark, folder))
 
 
 def _final(spark, folder):
     table = materialize(r.cells_with_context(r.stored_cells(spark, folder), folder), "cells")
-    model, metadata = training.train_final(table, SMALL)
+    model, metadata = training.train_final(table)
     return table, model, metadata
 
 
@@ -214,12 +213,12 @@ def m21(spark, folder):
 
 @query("m22_binary_baseline")
 def m22(spark, folder):
-    return training.binary_baseline(_matched(spark, folder), SMALL)
+    return training.binary_baseline(_matched(spark, folder))
 
 
 @query("m23_baseline_summary")
 def m23(spark, folder):
-    results = materialize(training.binary_baseline(_matched(spark, folder), SMALL), "baseline")
+    results = materialize(training.binary_baseline(_matched(spark, folder)), "baseline")
     return metrics.ranked(results, "f1_score", "model").select(
         "model", "accuracy", "precision", "recall", "f1_score", "specificity", "roc_auc", "pr_auc", "tn", "fp", "fn", "tp"
     )

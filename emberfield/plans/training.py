@@ -54,6 +54,7 @@ class Size:
         self.isolation_trees = isolation_trees
 
 
+#: For tests of the functions alone; no registered query is fitted with it.
 SMALL = Size(iterations=2, trees=8, tree_depth=6, boost_depth=3, boost_depth_wide=3, binary_iterations=2)
 
 

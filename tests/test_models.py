@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberfield.catalog import QUERIES
 from emberfield.constants import FEATURE_SETS, FINAL_FEATURES
 from emberfield.plans import isolation, scoring, training
 
@@ -97,3 +98,21 @@ def test_isolation_forest_ranks_outliers_first(spark):
 def test_feature_sets():
     assert [len(FEATURE_SETS[k]) for k in ("full", "reduced", "reduced_context", "full_context", "final")] == [18, 10, 15, 23, 10]
     assert FEATURE_SETS["reduced"] == FEATURE_SETS["final"]
+
+
+@pytest.mark.parametrize("name", [f"m{i}" for i in (5, 6, 7, 8, 9, 12, 13, 14, 15, 16, 17, 18, 19, 22, 23)] + ["k5"])
+def test_registered_queries_train_at_published_sizes(spark, sf_dir, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def fit_many(models, train, names, size=training.Size(), label=None):
+        raise Asked(models, vars(size))
+
+    monkeypatch.setattr(training, "fit_many", fit_many)
+    query = next(q for n, q in QUERIES.items() if n.startswith(f"{name}_"))
+    with pytest.raises(Asked) as asked:
+        query(spark, sf_dir)
+    models, size = asked.value.args
+    assert size == vars(training.Size(trees=100, tree_depth=12) if name in ("m22", "m23") else training.Size())
+    if name in ("m13", "m14", "m15", "m16"):
+        assert models == training.MODEL_NAMES
