@@ -13,6 +13,7 @@ from emberfield.constants import (
     IDENTIFIERS,
     TARGETS,
 )
+from emberfield.functions import values as v
 from emberfield.functions.ordered import keep_one
 from emberfield.operators.context import unique_by
 from emberfield.operators.normalize import number_column, prepare_archive
@@ -24,9 +25,25 @@ def _csv(spark: SparkSession, path, schema: T.StructType, **options) -> DataFram
     return spark.read.schema(schema).csv(path, header=True, enforceSchema=False, **options)
 
 
+#: Texts that the published reader takes for a missing value.
+_MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+
+
 def archive_detections(spark: SparkSession, path: str) -> DataFrame:
-    """Archive CSV with flags and confidence score."""
-    return prepare_archive(_csv(spark, path, schemas.ARCHIVE_DETECTIONS))
+    """Archive CSV with flags and confidence score.
+
+    Confidence is a number when every value of the file set that is not missing is one, and
+    is then the score itself; a missing one has no score. Else it is text, scored by its letters.
+    Letters end the look at their first row; numbers take one more scan of the column.
+    """
+    table = _csv(spark, path, schemas.ARCHIVE_DETECTIONS)
+    number = v.to_number(F.col("confidence"))
+    if table.where(number.isNull() & ~F.col("confidence").isin(*_MISSING)).isEmpty() and not table.isEmpty():
+        table = table.withColumn("confidence", number)
+    return prepare_archive(table)
 
 
 def first_lines(spark: SparkSession, path: str) -> DataFrame:

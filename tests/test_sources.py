@@ -50,6 +50,30 @@ def test_lenient_tiles_keep_the_last_duplicate(spark, tmp_path):
     assert [(r["grid_id"], r["osm_feature_count"]) for r in rows] == [("a", 7)]
 
 
+def _archive(folder, name, confidences):
+    head = ",".join(f.name for f in schemas.ARCHIVE_DETECTIONS.fields)
+    rows = [f"1.0,2.0,300.0,0.4,0.4,2024-01-02,130,N,VIIRS,{c},2,290.0,1.5,D,0" for c in confidences]
+    (folder / name).mkdir()
+    for i, row in enumerate(rows):
+        _put(folder / name, f"{i}.csv", f"{head}\n{row}\n")
+    return str(folder / name)
+
+
+@pytest.mark.parametrize(
+    "confidences, scores",
+    [
+        # Numbers throughout are the scores themselves; a missing one stays missing.
+        (["85", "7.5", "NA", ""], [None, None, 7.5, 85.0]),
+        (["", ""], [None, None]),
+        # One letter makes the column text: letters by their score, all else medium.
+        (["85", "h", "l", ""], [30.0, 50.0, 50.0, 80.0]),
+    ],
+)
+def test_archive_confidence_of_a_file_set(spark, tmp_path, confidences, scores):
+    rows = files.archive_detections(spark, _archive(tmp_path, "a", confidences)).collect()
+    assert sorted((r["confidence_score"] for r in rows), key=lambda x: (x is not None, x or 0)) == scores
+
+
 def test_map_json(spark, tmp_path):
     elements = [
         {"type": "node", "id": 1, "lat": 1.0, "lon": 2.0, "tags": {"power": "x"}},
