@@ -79,7 +79,8 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, terms: int = TERMS)
     Fitted on about ``documents`` texts per language, chosen by a hash of ``doc_id``.
     Returns languages in order and, per n-gram length (0: words), the terms and
     their log frequency per language. The model has at most ``terms`` entries
-    per language and length. No labelled text gives a model without languages.
+    per language and length. No labelled text gives a model without languages. More than ``MAX_LANGUAGES``
+    different values of ``lang`` raise ValueError.
     """
     known = labelled.where("text is not null and lang is not null")
     sizes = {lang: n for lang, n in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
