@@ -110,6 +110,20 @@ def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(_table(spark, folder, "pages"), _table(spark, folder, "labels"), URL_RULES)
 
 
+def op12_path_copying_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Merkle manifest of all documents, and the root that each document's tampered version ends in."""
+    from emberfield.llm import path_manifest
+
+    chars, key = F.col("n_chars"), F.col("doc_id").cast("string")
+    picked = F.coalesce(F.crc32(key.cast("binary")) % 7 == 0, F.lit(False))
+    # One more than the largest long is still written out in full.
+    tampered = F.when(picked, (chars.cast("decimal(20,0)") + F.lit(1)).cast("string")).otherwise(chars.cast("string"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    return path_manifest.digests(
+        path_manifest.manifest(_table(spark, folder, "documents"), "lang", "doc_id", fields, {"n_chars": tampered})
+    )
+
+
 #: Query name to function, for the driver contract.
 QUERIES = {name: function for name, function in list(globals().items()) if name.startswith("op")}
 #: Query name to DuckDB SQL over the same tables.
@@ -152,6 +166,54 @@ CHECKS = {
             any_value(formatted_chars) as formatted_chars
         from n join c using (conv_id) group by conv_id
     """,
+    "op12_path_copying_manifest": r"""
+        with recursive f as (
+            select doc_id, lang, n_chars,
+                xor(list_reduce([4294967295::bigint] || [ascii(x)::bigint for x in string_split(doc_id::varchar, '')],
+                    lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 7 = 0 as picked,
+                [coalesce(strlen(v) || ':' || v, '-') for v in [doc_id::varchar, source, lang]] as a,
+                coalesce(strlen(text) || ':' || text, '-') as z
+            from documents
+        ), g as (
+            select doc_id, lang, sha256(list_aggregate(a, 'string_agg', '') || coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-') || z) as leaf,
+                sha256(list_aggregate(a, 'string_agg', '') || coalesce(strlen(c::varchar) || ':' || c, '-') || z) as changed
+            from (select *, case when coalesce(picked, false) then n_chars::hugeint + 1 else n_chars end as c from f)
+        ), l as (
+            select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place, coalesce('+' || lang, '') as t from g
+        ), up as (
+            select 0 as level, t, place, leaf as h, count(*) over (partition by t) as n from l
+            union all
+            select level + 1, t, place // 2, sha256(string_agg(h, '' order by place)), any_value((n + 1) // 2)
+            from up where n > 1 group by level, t, place // 2
+        ), s as (
+            select t, h, row_number() over (order by t) - 1 as place, count(*) over () as n from up where n = 1
+        ), top as (
+            select 0 as level, place, h, n from s
+            union all
+            select level + 1, place // 2, sha256(string_agg(h, '' order by place)), any_value((n + 1) // 2) from top where n > 1 group by level, place // 2
+        ), heights as (
+            select t, max(level) as height from up group by t
+        ), path as (
+            select l.doc_id, l.t, l.place, u.level, u.place as at, u.h from l join up u on u.t = l.t and u.n > 1 and u.place = xor(l.place >> u.level, 1)
+            union all
+            select l.doc_id, l.t, l.place, e.height + x.level, x.place, x.h
+            from l join s using (t) join heights e using (t) join top x on x.n > 1 and x.place = xor(s.place >> x.level, 1)
+        ), proofs as (
+            select t, place, sha256(string_agg(h, '' order by level)) as proof from path group by t, place
+        ), fold as (
+            select l.t, l.place, 0 as level, l.changed as h, e.height + (select max(level) from top) as steps, e.height, s.place as own
+            from l join heights e using (t) join s using (t)
+            union all
+            select f.t, f.place, f.level + 1,
+                sha256(case when p.h is null then f.h
+                    when ((case when f.level < f.height then f.place >> f.level else f.own >> (f.level - f.height) end) & 1) = 0 then f.h || p.h
+                    else p.h || f.h end), f.steps, f.height, f.own
+            from fold f left join path p on p.t = f.t and p.place = f.place and p.level = f.level where f.level < f.steps
+        )
+        select l.doc_id, l.leaf, s.h as subroot, r.h as root, coalesce(p.proof, sha256('')) as proof_sha256, d.h as folded_root, d.h = r.h as verified
+        from l join s using (t) join (select h from top where n = 1) r on true left join proofs p on p.t = l.t and p.place = l.place
+        join fold d on d.t = l.t and d.place = l.place and d.level = d.steps
+    """,
     "op7_merkle_fixity": r"""
         with r as (
             select page_id, cast(floor(page_id / 512) as bigint) as file,
