@@ -110,6 +110,13 @@ def op8_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judge(_table(spark, folder, "pages"), _table(spark, folder, "labels"), URL_RULES)
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2000 collocations of two to three words per language, over all documents."""
+    from emberfield.llm.collocations import collocations
+
+    return collocations(_table(spark, folder, "documents"))
+
+
 def op12_path_copying_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Merkle manifest of all documents, and the root that each document's tampered version ends in."""
     from emberfield.llm import path_manifest
@@ -124,6 +131,14 @@ def op12_path_copying_manifest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_disclosure_control(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents, and the terms beside it that disclose it."""
+    from emberfield.llm import disclosure
+
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return disclosure.digests(disclosure.private_spans(docs, "doc_id"), "doc_id")
+
+
 #: Query name to function, for the driver contract.
 QUERIES = {name: function for name, function in list(globals().items()) if name.startswith("op")}
 #: Query name to DuckDB SQL over the same tables.
@@ -166,6 +181,44 @@ CHECKS = {
             any_value(formatted_chars) as formatted_chars
         from n join c using (conv_id) group by conv_id
     """,
+    "op11_collocations": r"""
+        with p as (
+            select row_number() over () as piece, lang, regexp_extract_all(piece, '[^ \t]+') as w
+            from (
+                select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) as piece
+                from documents where text is not null)
+        ), w as (
+            select piece, lang, unnest(w) as w1, unnest(range(len(w))) as i from p
+        ), x as (
+            select lang, w1, lead(w1) over q as w2, lead(w1, 2) over q as w3 from w window q as (partition by piece order by i)
+        ), f as (
+            select lang, 1 as k, w1 as phrase, w1, null as w2, null as w3, count(*)::hugeint as a from x group by all
+            union all
+            select lang, 2, w1 || ' ' || w2, w1, w2, null, count(*) from x where w2 is not null group by all having count(*) >= 10
+            union all
+            select lang, 3, w1 || ' ' || w2 || ' ' || w3, w1, w2, w3, count(*) from x where w3 is not null group by all having count(*) >= 10
+        ), n as (
+            select lang, sum(a)::bigint as n from f where k = 1 group by lang
+        ), cuts as (
+            select *, (lang, w1) as head, (lang, case k when 2 then w2 else w2 || ' ' || w3 end) as tail, 1 as cut from f where k > 1
+            union all
+            select *, (lang, w1 || ' ' || w2), (lang, w3), 2 from f where k = 3
+        ), scored as (
+            select c.lang, c.k, c.phrase, c.w1, c.w2, c.w3, c.a, l.a as l, r.a as r, (1000000 * c.a * c.a) // (l.a * r.a) as score
+            from cuts c join f l on (l.lang, l.phrase) = c.head join f r on (r.lang, r.phrase) = c.tail
+            qualify row_number() over (partition by c.lang, c.phrase order by score, c.cut) = 1
+        ), inside as (
+            select lang, phrase, max(a) as a from (
+                select lang, a, unnest([w1 || ' ' || w2, w2 || ' ' || w3]) as phrase from f where k = 3) group by all
+        ), kept as (
+            select s.* from scored s left join inside i on i.lang = s.lang and i.phrase = s.phrase and s.k = 2
+            where i.a is null or 100 * i.a < 50 * s.a
+        )
+        select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase,
+            a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+        from kept join n using (lang) qualify rank <= 2000
+    """,
     "op12_path_copying_manifest": r"""
         with recursive f as (
             select doc_id, lang, n_chars,
@@ -214,6 +267,77 @@ CHECKS = {
         from l join s using (t) join (select h from top where n = 1) r on true left join proofs p on p.t = l.t and p.place = l.place
         join fold d on d.t = l.t and d.place = l.place and d.level = d.steps
     """,
+    "op13_disclosure_control": r"""
+        with d as (
+            select row_number() over () as row, doc_id, coalesce(text, '') as text from documents
+        ), p as (
+            select * from (values (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'),
+                (2, 'card', '[0-9]([\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')) as p(ord, kind, pattern)
+        ), f as (
+            select row, text, ord, kind, regexp_extract_all(text, pattern) as found, regexp_split_to_array(text, pattern) as pieces from d cross join p
+        ), i as (
+            select *, found[i] as v, regexp_replace(found[i], '[^0-9]', '', 'g') as digits,
+                (list_sum([len(x) for x in pieces[1:i]]) + coalesce(list_sum([len(x) for x in found[1:i - 1]]), 0))::bigint as a
+            from (select *, unnest(range(1, len(found) + 1)) as i from f)
+        ), w as (
+            select row, text, ord, kind, v, digits, a, a + len(v) as z,
+                coalesce(lag(a + len(v)) over (partition by row, ord order by a), 0) as prev,
+                coalesce(lead(a) over (partition by row, ord order by a), len(text)) as next
+            from i where ord <> 2 or len(digits) between 12 and 19
+        ), e as (
+            select row, text, ord, kind, a, z, prev, next,
+                kind || ':' || case when ord < 2 then translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else digits end as entity,
+                substr(text, greatest(prev, a - 80) + 1, a - greatest(prev, a - 80)) as lw, a - prev > 80 as lcut,
+                substr(text, z + 1, least(next, z + 80) - z) as rw, next - z > 80 as rcut
+            from w where case ord when 0 then true
+                when 1 then len([x for x in string_split(v, '.') if len(ltrim(x, '0')) > 3 or try_cast(('0' || right(x, 3)) as int) > 255]) = 0
+                when 2 then list_sum([case when k % 2 = 0 then substr(digits, len(digits) - k, 1)::int
+                    else (2 * substr(digits, len(digits) - k, 1)::int) // 10 + (2 * substr(digits, len(digits) - k, 1)::int) % 10 end
+                    for k in range(len(digits))]) % 10 = 0
+                else len(digits) between 9 and 15 end
+        ), side as (
+            select row, entity, lw, rw, a - len(lw) as base, lw as win, lcut as cut_a, false as cut_z from e
+            union all
+            select row, entity, lw, rw, z, rw, false, rcut from e
+        ), t as (
+            select *, found[i] as v, (list_sum([len(x) for x in pieces[1:i]]) + coalesce(list_sum([len(x) for x in found[1:i - 1]]), 0))::bigint as a
+            from (select *, unnest(range(1, len(found) + 1)) as i from (
+                select *, regexp_extract_all(win, '\p{L}+') as found, regexp_split_to_array(win, '\p{L}+') as pieces from side))
+        ), near as (
+            select row, entity, lw, rw, base + a as a, base + a + len(v) as z, translate(v, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term
+            from t where not (cut_a and a = 0) and not (cut_z and a + len(v) = len(win))
+        ), pairs as (
+            select entity, form, count(distinct row) as together, count(distinct (lw, rw)) as contexts
+            from (select *, unnest([term] || case when len(term) > 3 then [left(term, 3) || '*'] else [] end) as form from near)
+            group by all having count(distinct (lw, rw)) >= 3
+        ), counts as (
+            select form, count(*) as n from (
+                select unnest(list_distinct(x || [left(y, 3) || '*' for y in x if len(y) > 3])) as form
+                from (select regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\p{L}+') as x from d)) group by form
+        ), holders as (
+            select entity, count(distinct row) as held from e group by entity
+        ), strong as (
+            select entity, form from pairs join holders using (entity) join counts using (form) cross join (select count(*) as total from d)
+            where held < total and ln(together::double / n) >= (0.9::double - 1) * ln(total::double / held)
+        ), told as (
+            select s.entity, s.form as term, g.form is null and len(s.form) > 3 as general
+            from strong s left join strong g on g.entity = s.entity and g.form = left(s.form, 3) || '*' where s.form not like '%*'
+        ), hits as (
+            select row, a, z, bool_and(general) as general from near join told using (entity, term) group by row, a, z
+        ), spans as (
+            select row, ord, kind, a, z from e
+            union all
+            select row, case when general then 4 else 5 end, case when general then 'general' else 'remove' end, a, z from hits h
+            where not exists (select 1 from e where e.row = h.row and h.a < e.z and e.a < h.z)
+        ), s as (
+            select row, count(*) filter (ord = 0) as n_email, count(*) filter (ord = 1) as n_ip, count(*) filter (ord = 2) as n_card, count(*) filter (ord = 3) as n_phone,
+                string_agg(kind || ':' || a || ':' || z, ',' order by a, ord, z) filter (ord < 4) as base, string_agg(kind || ':' || a || ':' || z, ',' order by a, ord, z) as spans
+            from spans group by row
+        )
+        select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
+            sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+        from d left join s using (row)
+    """,
     "op7_merkle_fixity": r"""
         with r as (
             select page_id, cast(floor(page_id / 512) as bigint) as file,
