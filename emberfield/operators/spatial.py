@@ -13,6 +13,7 @@ from emberfield.constants import (
     TILE_SIZE,
 )
 from emberfield.functions import distance as d, grid
+from emberfield.session import materialize
 
 # --- tiles ----------------------------------------------------------------
 
@@ -304,8 +305,10 @@ def nearest_context(
 
 # --- polygons -------------------------------------------------------------
 
-# At four numbers per edge, the largest broadcast index is about 16 MB.
-_BROADCAST_EDGES = 500_000
+#: Edges that one row of the tile index holds at most.
+TILE_EDGES = 256
+# Widens the columns that an edge is listed in, far more than rounding can move a crossing.
+_SLACK = 1e-9
 
 
 def polygon_edges(shapes: DataFrame) -> DataFrame:
@@ -334,30 +337,63 @@ def polygon_edges(shapes: DataFrame) -> DataFrame:
     )
 
 
-def _edge_bands(edges: DataFrame, band: float) -> DataFrame:
-    """Per latitude band, the polygons' edges that can cross it."""
+def _odd_runs(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Columns that have an odd number of ``cmin`` to their right, one row per column (``col``).
+
+    Sorted, the places pair up; the columns between the two of a pair are the odd ones.
+    """
+    order = Window.partitionBy(*by).orderBy("cmin", "edge")
+    paired = rows.withColumns({"n": F.row_number().over(order), "next": F.lead("cmin").over(order)})
+    run = F.when(F.col("next") > F.col("cmin"), F.sequence(F.col("cmin"), F.col("next") - 1))
+    return paired.where("n % 2 = 1").select(*by, F.explode(run).alias("col"))
+
+
+def tile_index(shapes: DataFrame, size: float) -> DataFrame:
+    """Per lattice tile (``row, col``) and ring: what decides whether a point of the tile is inside.
+
+    A point is inside a ring when an odd number of edges crosses the ray to its right. Edges listed in the tile
+    are tested; those wholly to the right cross the ray or not whatever the point's longitude, and their
+    number is odd or even by ``base``, the parity of those that come from below the row, and by ``turns``, the latitudes in the tile's row
+    at which it changes. Edges that meet at a vertex cancel there, so turns are only left where one of them is listed and the other is
+    not. Tiles without edges or turns are wholly inside (listed) or outside (not listed). A row holds at most
+    ``TILE_EDGES`` edges; further edges of a tile are in further rows (``chunk``).
+    """
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    spread = edges.where("y1 <> y2").withColumn(
-        "_band",
-        F.explode(
-            F.sequence(
-                F.floor(low / F.lit(band)).cast("int"), F.floor(high / F.lit(band)).cast("int")
-            )
-        ),
+    step = F.lit(size)
+    by = ["poly", "ring_no", "row"]
+    rows = (
+        polygon_edges(shapes)
+        .where("y1 <> y2")
+        .withColumns({"edge": F.monotonically_increasing_id(), "low": low, "high": high})
+        .withColumn("row", F.explode(F.sequence(F.floor(F.col("low") / step).cast("int"), F.floor(F.col("high") / step).cast("int"))))
+    )
+    slope = (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    at = lambda y: F.col("x1") + (y - F.col("y1")) * slope
+    bottom, top = F.col("row") * step, (F.col("row") + 1) * step
+    x_low, x_high = at(F.greatest("low", bottom)), at(F.least("high", top))
+    rows = rows.withColumns(
+        {
+            "cmin": F.floor((F.least(x_low, x_high) - F.lit(_SLACK)) / step).cast("int"),
+            "cmax": F.floor((F.greatest(x_low, x_high) + F.lit(_SLACK)) / step).cast("int"),
+        }
     )
-    rings = spread.groupBy("_band", "poly", "ring_no").agg(
-        F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges")
+    listed = rows.withColumn("col", F.explode(F.sequence("cmin", "cmax"))).select(
+        *by, "col", F.struct("x1", "y1", "x2", "y2").alias("e"),
+        F.floor((F.row_number().over(Window.partitionBy(*by, "col").orderBy("edge")) - 1) / F.lit(TILE_EDGES)).cast("int").alias("chunk"),
     )
-    outer = F.col("ring_no") == 0
-    polys = rings.groupBy("_band", "poly").agg(
-        F.max_by("edges", outer.cast("int")).alias("_first"),
-        F.max(outer.cast("int")).alias("_has_outer"),
-        F.collect_list(F.when(~outer, F.col("edges"))).alias("holes"),
+    # An edge counts from its lower to its upper end: ends in the row are turns, an edge from below is base.
+    ends = rows.select(*by, "cmin", "edge", F.explode(F.array("low", "high")).alias("y"))
+    turns = _odd_runs(ends.where(F.floor(F.col("y") / step) == F.col("row")), [*by, "y"])
+    base = _odd_runs(rows.where(F.floor(F.col("low") / step) < F.col("row")), by)
+    none = lambda t: F.lit(None).cast(t)
+    edge = "struct<x1:double,y1:double,x2:double,y2:double>"
+    parts = (
+        listed.select(*by, "col", "chunk", "e", none("double").alias("y"), F.lit(0).alias("base"))
+        .unionByName(turns.select(*by, "col", F.lit(0).alias("chunk"), none(edge).alias("e"), "y", F.lit(0).alias("base")))
+        .unionByName(base.select(*by, "col", F.lit(0).alias("chunk"), none(edge).alias("e"), none("double").alias("y"), F.lit(1).alias("base")))
     )
-    return (
-        polys.where("_has_outer = 1")
-        .groupBy("_band")
-        .agg(F.collect_list(F.struct(F.col("_first").alias("outer"), "holes")).alias("polys"))
+    return parts.groupBy("row", "col", "poly", "ring_no", "chunk").agg(
+        F.collect_list("e").alias("edges"), F.collect_list("y").alias("turns"), F.max("base").alias("base")
     )
 
 
@@ -371,41 +407,56 @@ def clip_to_polygons(
     shapes: DataFrame,
     lat: str = "latitude",
     lon: str = "longitude",
-    band: float = 0.05,
+    size: float = 0.05,
 ) -> DataFrame:
     """Rows whose point lies in any polygon: inside its outer ring, in no hole.
 
-    A horizontal ray meets only edges that span its latitude. The edges are
-    therefore grouped by latitude band, and a point meets its own band only.
-    The band table is broadcast when its counted size allows; otherwise both
-    sides are shuffled by band and adaptive execution splits a crowded band.
+    Points meet their lattice tile by an equi-join on (row, col); the index of the tiles is written first, so its
+    size is known when the join is planned. Tiles whose edges fill one row per ring are decided in that row;
+    in denser tiles the crossings of a point are added up over the rows.
     """
-    edges = polygon_edges(shapes)
-    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    spans = F.floor(high / F.lit(band)) - F.floor(low / F.lit(band)) + F.lit(1)
-    # One small job gives the box for the scan and the exact size of the index.
-    box = edges.agg(
-        F.min("x1").alias("w"), F.max("x1").alias("e"), F.min("y1").alias("s"), F.max("y1").alias("n"),
-        F.sum(spans).alias("entries"),
-    ).first()
-    if box["w"] is None:
+    index = materialize(tile_index(shapes, size), "polygon-tiles")
+    extent = index.agg(*[f(c).alias(n) for n, f, c in (("s", F.min, "row"), ("n", F.max, "row"), ("w", F.min, "col"), ("e", F.max, "col"))]).first()
+    if extent["s"] is None:
         return points.limit(0)
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
-    inside_box = F.col(lon).between(box["w"], box["e"]) & F.col(lat).between(box["s"], box["n"])
-    odd = lambda ring: F.pmod(F.size(F.filter(ring, lambda e: _crosses(e, x, y))), F.lit(2)) == 1
-    inside = F.exists(
-        "polys", lambda p: odd(p["outer"]) & ~F.exists(p["holes"], lambda hole: odd(hole))
-    )
-    bands = _edge_bands(edges, band)
-    if box["entries"] <= _BROADCAST_EDGES:
-        bands = F.broadcast(bands)
-    return (
-        points.where(inside_box)
-        .withColumn("_band", F.floor(y / F.lit(band)).cast("int"))
-        .join(bands, "_band")
-        .where(inside)
-        .select(*points.columns)
+    # The literal box reaches the scan of the points.
+    box = F.col(lon).between(extent["w"] * size - size, (extent["e"] + 2) * size) & F.col(lat).between(
+        extent["s"] * size - size, (extent["n"] + 2) * size
+    )
+    tiled = points.where(box).withColumns(
+        {"_row": F.floor(y / F.lit(size)).cast("int"), "_col": F.floor(x / F.lit(size)).cast("int")}
     )
+    crossings = lambda ring: (
+        ring["base"]
+        + F.size(F.filter(ring["turns"], lambda t: t <= y))
+        + F.size(F.filter(ring["edges"], lambda e: _crosses(e, x, y)))
+    )
+    outer = F.col("ring_no") == 0
+    ring = F.struct("base", "turns", "edges").alias("ring")
+    tile = [F.col("row").alias("_row"), F.col("col").alias("_col")]
+    dense = index.where("chunk > 0").select("row", "col").distinct()
+    sparse = index.join(dense, ["row", "col"], "left_anti").select(*tile, "poly", outer.alias("outer"), ring)
+    polys = sparse.groupBy("_row", "_col", "poly").agg(
+        F.max_by("ring", F.col("outer")).alias("first"),
+        F.max("outer").alias("has_outer"),
+        F.collect_list(F.when(~F.col("outer"), F.col("ring"))).alias("holes"),
+    )
+    polys = polys.where("has_outer").groupBy("_row", "_col").agg(F.collect_list(F.struct("first", "holes")).alias("_polys"))
+    odd = lambda one: crossings(one) % 2 == 1
+    inside = F.exists("_polys", lambda p: odd(p["first"]) & ~F.exists(p["holes"], odd))
+    easy = tiled.join(polys, ["_row", "_col"]).where(inside).select(*points.columns)
+
+    numbered = tiled.withColumn("_point", F.monotonically_increasing_id())
+    chunks = index.join(dense, ["row", "col"], "left_semi").select(*tile, "poly", outer.alias("_outer"), "ring_no", ring)
+    met = numbered.join(chunks, ["_row", "_col"]).withColumn("_n", crossings(F.col("ring")))
+    keep = F.struct(*points.columns)
+    rings = met.groupBy("_point", "poly", "ring_no", "_outer").agg((F.sum("_n") % 2 == 1).alias("_odd"), F.any_value(keep).alias("_kept"))
+    hits = rings.groupBy("_point", "poly").agg(
+        (F.max(F.col("_outer") & F.col("_odd")) & ~F.max(~F.col("_outer") & F.col("_odd"))).alias("_in"), F.any_value("_kept").alias("_kept")
+    )
+    hard = hits.where("_in").groupBy("_point").agg(F.any_value("_kept").alias("_kept")).select("_kept.*")
+    return easy.unionByName(hard)
 
 
 # --- nearby search --------------------------------------------------------

@@ -128,11 +128,43 @@ def test_polygon_clip_equals_ray_casting(spark):
     assert 9000 in got and 3000 not in got
 
 
-def test_polygon_clip_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(spatial, "_BROADCAST_EDGES", 0)
+def test_polygon_clip_with_rows_of_few_edges(spark, monkeypatch):
+    """Tiles with more edges than a row holds: the crossings of a point are added up over the rows."""
+    monkeypatch.setattr(spatial, "TILE_EDGES", 2)
     test_polygon_clip_equals_ray_casting(spark)
 
 
+def test_polygon_clip_on_lattice_lines_and_vertices(spark):
+    """Vertices, horizontal edges and points that lie exactly on tile borders."""
+    steps = [[0.0, 0.0], [1.0, 0.0], [1.0, 0.25], [0.5, 0.25], [0.5, 0.5], [1.0, 0.5], [1.0, 1.0], [0.25, 1.0], [0.25, 0.75], [0.0, 0.75]]
+    polygons = [[steps, [[0.25, 0.25], [0.5, 0.5], [0.25, 0.5]]]]
+    shapes = spark.createDataFrame([(polygons,)], "polygons array<array<array<array<double>>>>")
+    points = [(100 * i + j, i / 32, j / 32) for i in range(-3, 37) for j in range(-3, 37)]
+    frame = spark.createDataFrame(points, "id int, latitude double, longitude double")
+    for size in (0.25, 0.05, 2.0):
+        got = {r["id"] for r in spatial.clip_to_polygons(frame, shapes, size=size).collect()}
+        assert got == {i for i, lat, lon in points if _inside(lon, lat, polygons)}
+
+
+def test_polygon_clip_with_many_edges(spark):
+    """100,000 edges: equal to ray casting, and no index row above its bound."""
+    n = 100_000
+    angle = np.arange(n) * (2 * math.pi / n)
+    far = 1 + 0.2 * np.sin(37 * angle) + np.random.default_rng(3).uniform(0, 0.02, n)
+    x, y = 10 + far * np.cos(angle), 20 + far * np.sin(angle)
+    shapes = spark.createDataFrame([([[np.c_[x, y].tolist()]],)], "polygons array<array<array<array<double>>>>")
+    index = spatial.tile_index(shapes, 0.05).select(F.size("edges").alias("n"), "chunk").collect()
+    assert max(r["n"] for r in index) <= spatial.TILE_EDGES and sum(r["n"] == 0 for r in index) > 100
+    rng = np.random.default_rng(4)
+    px, py = rng.uniform(8.7, 11.3, 3000), rng.uniform(18.7, 21.3, 3000)
+    frame = spark.createDataFrame([(i, float(b), float(a)) for i, (a, b) in enumerate(zip(px, py))], "id int, latitude double, longitude double")
+    got = {r["id"] for r in spatial.clip_to_polygons(frame, shapes).collect()}
+    xj, yj = np.roll(x, 1), np.roll(y, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        want = {i for i in range(3000) if (((y > py[i]) != (yj > py[i])) & (px[i] < (xj - x) * (py[i] - y) / (yj - y) + x)).sum() % 2}
+    assert got == want and 500 < len(want) < 2500
+
+
 def test_tiles_half_open_and_closed(spark):
     cells = _cells(spark, [(10.0, 70.0), (10.25, 70.0), (10.24, 70.24)]).withColumn("observation_count", F.lit(5))
     tiles = spatial.active_tiles(cells, 1)
