@@ -8,7 +8,7 @@ around it over the whole corpus. When ``top`` phrases at or above the level surv
 be among them or tie with them, and the language is settled; otherwise its level goes down to where
 four times as many phrases lie, in the end to 0.
 
-Counting passes fold n-grams per slice of texts and per task before the shuffle. Which n-grams can matter at all
+Texts become slices of word numbers once; the counting passes read these and fold n-grams per slice and per task before the shuffle. Which n-grams can matter at all
 is sent to the tasks as bit filters of at most ``FILTER_BITS`` bits: a false hit only costs a counted row, its
 count is exact all the same, and a missing hit is impossible.
 
@@ -37,7 +37,7 @@ SCALE = 1_000_000
 FILTER_BITS = 1 << 27
 _PROBES = 4
 #: Text that is folded at once, and how much deeper each round goes.
-_SLICE = 16 << 20
+_SLICE = 8 << 20
 _DEEPER = 4
 _COUNTS = "lang string, phrase string, c long"
 
@@ -46,45 +46,86 @@ _BLANK = (_BYTES == 32) | (_BYTES == 9)
 _BREAK = np.isin(_BYTES, np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8))
 
 
-class Grams:
-    """Words of a slice of texts, and which of them follow each other inside a piece.
+_SLICES = "langs array<string>, words array<string>, lang_of binary, ids binary, next binary"
+
+
+def _unique(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes below ``size``, sorted, and the place of each code among them."""
+    if size > 16 * max(len(codes), 1):
+        return np.unique(codes, return_inverse=True)
+    met = np.zeros(size, bool)
+    met[codes] = True
+    return np.flatnonzero(met), (np.cumsum(met, dtype=np.int32) - 1)[codes]
+
+
+def _split(part: pa.RecordBatch) -> list:
+    """Words of a slice of texts as numbers, and which of them follow each other inside a piece.
 
-    ``ids`` numbers equal words of one language alike; ``next[i]`` tells that word ``i + 1`` continues the piece of word ``i``.
+    Equal words of one language have one number; ``next[i]`` tells that word ``i + 1`` continues the piece of word ``i``.
     """
+    data, offsets = flat(part.column("text"))
+    data = LOWER[data]
+    breaks = _BREAK[data]
+    solid = ~(breaks | _BLANK[data])
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    # A word ends with its text.
+    cut = offsets[1:-1]
+    cut = cut[(cut > 0) & (cut < len(data))]
+    first[cut] = solid[cut]
+    last[cut - 1] = solid[cut - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    words, distinct = encoded(data[solid], np.concatenate(([0], np.cumsum(ends - starts))))
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    piece = np.searchsorted(np.flatnonzero(breaks), starts)
+    follows = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
+    coded = pc.fill_null(part.column("lang"), "und").cast(pa.string()).dictionary_encode()
+    lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+    vocabulary = max(len(distinct), 1)
+    codes, ids = _unique(lang * vocabulary + words, len(coded.dictionary) * vocabulary)
+    texts = pa.array(distinct, pa.binary()).cast(pa.string()).take(pa.array(codes % vocabulary))
+    return [
+        coded.dictionary, texts, (codes // vocabulary).astype(np.int32).tobytes(), ids.astype(np.int32).tobytes(), np.packbits(follows).tobytes(),
+    ]
+
+
+def _encoded(docs: DataFrame) -> DataFrame:
+    """Texts as slices of word numbers, written out: every pass reads them instead of the texts."""
 
-    def __init__(self, texts: pa.Array, langs: pa.Array):
-        data, offsets = flat(texts)
-        data = LOWER[data]
-        solid = ~(_BLANK | _BREAK)[data]
-        before = np.zeros(len(data), bool)
-        if len(data):
-            before[1:] = solid[:-1]
-            before[offsets[:-1][offsets[:-1] < len(data)]] = False
-        starts = np.flatnonzero(solid & ~before)
-        kept = np.concatenate(([0], np.cumsum(solid)))
-        word_offsets = np.concatenate((kept[starts], kept[-1:])) if len(starts) else np.zeros(1, np.int64)
-        words, distinct = encoded(data[solid], word_offsets)
-        row = np.searchsorted(offsets, starts, side="right") - 1
-        piece = np.cumsum(_BREAK[data])[starts] if len(starts) else np.zeros(0, np.int64)
-        self.next = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
-        coded = pc.fill_null(langs, "und").cast(pa.string()).dictionary_encode()
-        self.langs = coded.dictionary
-        lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
-        vocabulary = max(len(distinct), 1)
-        codes, self.ids = np.unique(lang * vocabulary + words, return_inverse=True)
-        self.lang_of = codes // vocabulary
-        self.words = pa.array([distinct[i] for i in codes % vocabulary], pa.binary()).cast(pa.string())
-        of_word = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
-        of_lang = np.fromiter((xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs.to_pylist()), np.uint64, len(self.langs))
-        self.hash = mixed([of_lang[self.lang_of], of_word[codes % vocabulary]]) if len(codes) else np.zeros(0, np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = _SLICES.split(", ")
+        for part in slices(batches, "text", _SLICE):
+            langs, words, *rest = _split(part)
+            lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (langs, words)]
+            yield pa.RecordBatch.from_arrays([*lists, *[pa.array([x], pa.binary()) for x in rest]], [n.split(" ")[0] for n in names])
+
+    return materialize(docs.select("text", "lang").mapInArrow(run, _SLICES), "collocation-slices")
+
+
+class Grams:
+    """A slice of word numbers: ``ids`` per place, ``words`` and ``lang_of`` per number."""
+
+    def __init__(self, row: pa.RecordBatch):
+        self.langs, self.words = (row.column(c)[0].values for c in ("langs", "words"))
+        self.lang_of, self.ids = (np.frombuffer(row.column(c)[0].as_buffer(), np.int32).astype(np.int64) for c in ("lang_of", "ids"))
+        bits = np.frombuffer(row.column("next")[0].as_buffer(), np.uint8)
+        self.next = np.unpackbits(bits, count=max(len(self.ids) - 1, 0)).astype(bool)
+
+    @property
+    def hash(self) -> np.ndarray:
+        """A hash per word and language."""
+        of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words.to_pylist()), np.uint64, len(self.words))
+        of_lang = np.fromiter(map(xxhash.xxh3_64_intdigest, self.langs.to_pylist()), np.uint64, len(self.langs))
+        return mixed([of_lang[self.lang_of], of_word])
 
     def pairs(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pairs of following words as (first, second), and the pair's number per word (-1: none).
+        """Distinct pairs of following words as (first, second), and the pair's number per place (-1: none).
 
-        ``keep`` says per word id whether pairs may hold it.
+        ``keep`` says per word number whether pairs may hold it.
         """
         held = self.next & keep[self.ids[:-1]] & keep[self.ids[1:]]
-        size = max(len(self.words), 1)
+        size = len(self.words)
         codes, inverse = np.unique(self.ids[:-1][held] * size + self.ids[1:][held], return_inverse=True)
         number = np.full(len(self.ids), -1, np.int64)
         number[:-1][held] = inverse
@@ -97,17 +138,22 @@ def _rows(langs: pa.Array, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBa
     )
 
 
-def _counted(docs: DataFrame, make: Callable[[Grams], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """Fold the n-grams that ``make`` finds in slices to one exact count per language and phrase."""
+def _found(parts: DataFrame, make: Callable[[Grams], Iterator[pa.RecordBatch]], schema: str = _COUNTS) -> DataFrame:
+    """What ``make`` finds in the slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", _SLICE):
-            grams = Grams(part.column("text"), part.column("lang"))
-            if len(grams.ids):
-                yield from make(grams)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                grams = Grams(batch.slice(i, 1))
+                if len(grams.ids):
+                    yield from make(grams)
 
-    found = docs.select("text", "lang").mapInArrow(run, _COUNTS)
-    return found.groupBy("lang", "phrase").agg(F.sum("c").alias("a"))
+    return parts.mapInArrow(run, schema)
+
+
+def _counted(parts: DataFrame, make: Callable[[Grams], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Fold the n-grams of the slices to one exact count per language and phrase."""
+    return _found(parts, make).groupBy("lang", "phrase").agg(F.sum("c").alias("a"))
 
 
 def _words(grams: Grams) -> Iterator[pa.RecordBatch]:
@@ -139,18 +185,22 @@ class Filter:
         return ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
 
     @classmethod
-    def of(cls, phrases: DataFrame) -> Filter:
-        """Fold phrases (``lang, phrase``) to a filter; only its bits reach the driver."""
-        rows = phrases.count()
-        size = min(max(1 << 15, 1 << (16 * max(rows, 1) - 1).bit_length()), FILTER_BITS)
+    def of(cls, rows: DataFrame) -> Filter:
+        """Fold phrases (``lang, phrase``) or hashes (``h``) to a filter; only its bits reach the driver."""
+        count = rows.count()
+        size = min(max(1 << 15, 1 << (16 * max(count, 1) - 1).bit_length()), FILTER_BITS)
+        hashed = "h" in rows.columns
 
         def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = cls.places(phrase_hashes(batch.column("lang"), batch.column("phrase")), size)
-                yield pa.RecordBatch.from_arrays([pa.array(at.ravel().astype(np.int64) + 1)], ["at"])
+                if hashed:
+                    h = batch.column("h").to_numpy().astype(np.int64).view(np.uint64)
+                else:
+                    h = phrase_hashes(batch.column("lang"), batch.column("phrase"))
+                yield pa.RecordBatch.from_arrays([pa.array(cls.places(h, size).ravel().astype(np.int64) + 1)], ["at"])
 
         folded = (
-            phrases.select("lang", "phrase")
+            rows.select(*(["h"] if hashed else ["lang", "phrase"]))
             .mapInArrow(probes, "at long")
             .groupBy(F.bitmap_bucket_number("at").alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
@@ -236,21 +286,34 @@ def _triples(counted: DataFrame, pairs: DataFrame, words: DataFrame) -> DataFram
 def collocations(docs: DataFrame, min_count: int = 10, top: int = 2000) -> DataFrame:
     """The first ``top`` phrases of 2 to 3 words per language: ``lang, rank, phrase, a, l, r, n, score``."""
     context = docs.sparkSession.sparkContext
+    parts = _encoded(docs)
     frequent = F.col("phrase").isNull() | (F.col("a") >= min_count)
-    words = materialize(_counted(docs, _words).where(frequent), "collocation-words")
+    words = materialize(_counted(parts, _words).where(frequent), "collocation-words")
     totals = words.where("phrase is null").select("lang", F.col("a").alias("n"))
     words = words.where("phrase is not null")
     word_filter = context.broadcast(Filter.of(words))
 
+    def hashed(grams: Grams) -> tuple:
+        """Pairs of frequent words, their hashes, and the pairs' numbers per place."""
+        h = grams.hash
+        first, second, number = grams.pairs(word_filter.value.has(h))
+        return first, second, number, mixed([h[first], h[second]])
+
+    def rough(grams: Grams) -> Iterator[pa.RecordBatch]:
+        *_, number, hashes = hashed(grams)
+        counts = np.bincount(number[number >= 0], minlength=len(hashes))
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int32))], ["h", "c"])
+
     def two(grams: Grams) -> Iterator[pa.RecordBatch]:
-        first, second, number = grams.pairs(word_filter.value.has(grams.hash))
-        counts = np.bincount(number[number >= 0], minlength=len(first))
+        first, second, number, hashes = hashed(grams)
+        kept = pair_filter.value.has(hashes)
+        counts = np.bincount(number[number >= 0], minlength=len(first))[kept]
+        first, second = first[kept], second[kept]
         phrases = _joined(grams.words.take(pa.array(first)), grams.words.take(pa.array(second)))
         yield _rows(grams.langs.take(pa.array(grams.lang_of[first])), phrases, counts)
 
     def three(grams: Grams) -> Iterator[pa.RecordBatch]:
-        first, second, number = grams.pairs(word_filter.value.has(grams.hash))
-        hashes = mixed([grams.hash[first], grams.hash[second]]) if len(first) else np.zeros(0, np.uint64)
+        first, second, number, hashes = hashed(grams)
         known = pair_filter.value.has(hashes)
         grown, inside = known & prefix_filter.value.has(hashes), known & inside_filter.value.has(hashes)
         a, b = number[:-1], number[1:]
@@ -266,7 +329,10 @@ def collocations(docs: DataFrame, min_count: int = 10, top: int = 2000) -> DataF
     def lookup(side: str, value: str) -> DataFrame:
         return words.select("lang", F.col("phrase").alias(side), F.col("a").alias(value))
 
-    pairs = _counted(docs, two).where(F.col("a") >= min_count)
+    # Most pairs are rare: a first count by hash alone, never too low, leaves few whose text must be counted.
+    often = _found(parts, rough, "h long, c int").groupBy("h").agg(F.sum("c").alias("a")).where(F.col("a") >= min_count)
+    pair_filter = context.broadcast(Filter.of(materialize(often.select("h"), "collocation-hashes")))
+    pairs = _counted(parts, two).where(F.col("a") >= min_count)
     pairs = pairs.withColumns({"first": F.substring_index("phrase", " ", 1), "second": F.substring_index("phrase", " ", -1)})
     pairs = pairs.join(lookup("first", "l"), ["lang", "first"]).join(lookup("second", "r"), ["lang", "second"])
     pairs = pairs.select(
@@ -275,7 +341,6 @@ def collocations(docs: DataFrame, min_count: int = 10, top: int = 2000) -> DataF
         F.call_function("div", F.lit(SCALE).cast("decimal(7,0)") * F.col("a").cast("decimal(18,0)"), F.col("l").cast("decimal(18,0)")).alias("bound"),
     )
     pairs = materialize(pairs, "collocation-pairs")
-    pair_filter = context.broadcast(Filter.of(pairs))
 
     out, open_langs, wanted = None, None, top
     while True:
@@ -287,7 +352,7 @@ def collocations(docs: DataFrame, min_count: int = 10, top: int = 2000) -> DataF
         # A phrase's own score never exceeds the bound of what grows from it.
         prefix_filter = context.broadcast(Filter.of(frontier))
         inside_filter = context.broadcast(Filter.of(frontier.where(F.col("score") >= F.col("level"))))
-        counted = materialize(_counted(docs, three).where(F.col("a") >= min_count), "collocation-triples")
+        counted = materialize(_counted(parts, three).where(F.col("a") >= min_count), "collocation-triples")
         longer = counted.select("lang", "a", F.explode(F.array(_part(1, 2), _part(2, 3))).alias("phrase"))
         longer = longer.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
         alone = frontier.where(F.col("score") >= F.col("level")).join(longer, ["lang", "phrase"], "left")
