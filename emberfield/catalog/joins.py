@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from emberfield.catalog import registry as r
 from emberfield.catalog.registry import query, rounded
+from emberfield.functions import grid
 from emberfield.functions.ordered import keep_one
 from emberfield.operators import context, events, metrics, profile, spatial
+from emberfield.schemas import EVENTS
+from emberfield.sinks import store
 from emberfield.sources import views
 
 _CTX_ALL = (
@@ -192,7 +195,8 @@ _NEARBY_SQL = (
 
 def _nearby(spark, folder, limit):
     events.check_search(_LAT, _LON, _RADIUS)
-    rows = spatial.nearby(r.event_table(spark, folder), _LAT, _LON, _RADIUS, limit)
+    table = store.read(spark, r.event_store(spark, folder), EVENTS, grid.search_box(_LAT, _LON, _RADIUS))
+    rows = spatial.nearby(table, _LAT, _LON, _RADIUS, limit)
     return rounded(rows.select("grid_id", "latitude", "longitude", "distance_m"), "distance_m", digits=4)
 
 

@@ -10,6 +10,9 @@ from emberfield.catalog.sources import EVENT_SQL, _ROUND
 from emberfield.constants import DISPLAY_CLASS_LABELS, FEATURE_SETS
 from emberfield.functions import grid, values as v
 from emberfield.operators import cells, events, normalize, quality, spatial, splits
+from emberfield.schemas import EVENTS
+from emberfield.session import scratch_path
+from emberfield.sinks import store
 from emberfield.sources import views
 
 
@@ -250,10 +253,12 @@ def p19(spark, folder):
 )
 def p20(spark, folder):
     cell_table = r.stored_cells(spark, folder)
-    table = r.events_of(cell_table, folder)
+    root = scratch_path(spark, "event-store")
+    store.rewrite(r.events_of(cell_table, folder), root, "1")
     key = cell_table.agg(
         F.max(grid.lattice_id(F.col("lat_grid"), F.col("lon_grid"))).alias("id")
     ).first()["id"]
+    table = store.read(spark, root, EVENTS, events.key_box(key))
     return rounded(events.find_hotspot(table, key), *_ROUND)
 
 

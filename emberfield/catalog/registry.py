@@ -10,7 +10,8 @@ from emberfield.catalog.check_sql import with_tables
 from emberfield.constants import CONTEXT_FEATURES
 from emberfield.functions import grid
 from emberfield.operators import cells, context, events, normalize, spatial
-from emberfield.session import materialize
+from emberfield.session import materialize, scratch_path
+from emberfield.sinks import store
 from emberfield.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +134,13 @@ def event_table(spark: SparkSession, folder: str) -> DataFrame:
     return events_of(stored_cells(spark, folder), folder)
 
 
+def event_store(spark: SparkSession, folder: str) -> str:
+    """The event table, stored by place."""
+    root = scratch_path(spark, "event-store")
+    store.rewrite(event_table(spark, folder), root, "1")
+    return root
+
+
 def events_of(cell_table: DataFrame, folder: str) -> DataFrame:
     rows = cells_with_context(cell_table, folder)
     place = grid.cell_index(F.col("lat_grid")) + grid.cell_index(F.col("lon_grid"))

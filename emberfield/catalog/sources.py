@@ -224,7 +224,7 @@ EVENT_SQL = ", ".join(f"round({c}, 6) AS {c}" if c in _ROUND else c for c in _EV
 def s9(spark, folder):
     path = scratch_path(spark, "events")
     sinks.write_event_table(r.event_table(spark, folder), path, "1")
-    return rounded(files.event_table(spark, sinks.newest_snapshot(spark, path)), *_ROUND)
+    return rounded(files.event_table(spark, path), *_ROUND)
 
 
 @query(
@@ -253,7 +253,7 @@ def k1(spark, folder):
     sinks.write_context_tiles(rows, path)
     # Writing some tiles again replaces those tiles and keeps their neighbours.
     sinks.write_context_tiles(rows.where("lat_grid >= 20 and lon_grid < 85"), path)
-    return rounded(spark.read.parquet(path).select(*_CTX_NAMES, "tile_id"), "osm_min_distance_m")
+    return rounded(sinks.stored_tiles(spark, path).select(*_CTX_NAMES, "tile_id"), "osm_min_distance_m")
 
 
 @query(

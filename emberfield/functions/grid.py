@@ -52,6 +52,12 @@ def lattice_id(lat: Column, lon: Column, size: float = GRID_SIZE) -> Column:
     return row * F.lit(columns) + col
 
 
+def lattice_position(number: int, size: float = GRID_SIZE) -> tuple[float, float]:
+    """Latitude and longitude of the cell with a lattice id."""
+    row, col = divmod(number, int(round(360 / size)) + 1)
+    return row * size - 90.0, col * size - 180.0
+
+
 def tile_edge(coordinate: Column, size: float = TILE_SIZE) -> Column:
     return F.floor(coordinate / F.lit(size)) * F.lit(size)
 
@@ -115,3 +121,67 @@ def search_box(lat: float, lon: float, radius_m: float) -> dict[str, object]:
     else:
         ranges = [(west, east)]
     return {"lat": (south, north), "lon": ranges}
+
+
+# --- space-filling curve --------------------------------------------------
+
+_ROWS, _COLUMNS = int(round(90 / GRID_SIZE)), int(round(180 / GRID_SIZE))
+_CURVE_BITS = 16
+
+
+def _spread(x: Column) -> Column:
+    """The 16 low bits of a number with a zero bit after each."""
+    for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+        x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
+    return x
+
+
+def place_code(lat: Column, lon: Column) -> Column:
+    """Position of a cell on a Z-shaped curve: near cells mostly have near codes. -1 without a position."""
+    usable = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+    row = F.greatest(F.least(cell_index(lat) + F.lit(_ROWS), F.lit(2 * _ROWS)), F.lit(0)).cast("long")
+    col = F.greatest(F.least(cell_index(lon) + F.lit(_COLUMNS), F.lit(2 * _COLUMNS)), F.lit(0)).cast("long")
+    return F.when(usable, F.shiftleft(_spread(row), 1).bitwiseOR(_spread(col))).otherwise(F.lit(-1).cast("long"))
+
+
+def place_ranges(box: dict[str, object], most: int = 16) -> list[tuple[int, int]]:
+    """At most ``most`` ranges of place codes that cover all cells of a search box.
+
+    Squares of the curve that lie in the box are ranges; those on its edge are cut into four. Ranges with the
+    smallest gaps between them are joined.
+    """
+    size = GRID_SIZE
+    bounds = lambda a, b, shift, top: (
+        max(0, min(top, math.floor(a / size) + shift)), max(0, min(top, math.ceil(b / size) + shift))
+    )
+    south, north = bounds(*box["lat"], _ROWS, 2 * _ROWS)
+    found: list[tuple[int, int]] = []
+
+    def cover(row: int, col: int, bits: int, code: int, west: int, east: int) -> None:
+        side = 1 << bits
+        if row > north or row + side <= south or col > east or col + side <= west:
+            return
+        inside = row >= south and row + side - 1 <= north and col >= west and col + side - 1 <= east
+        if inside or side <= small:
+            found.append((code, code + (1 << (2 * bits)) - 1))
+            return
+        half = side // 2
+        for k in range(4):
+            cover(row + half * (k >> 1), col + half * (k & 1), bits - 1, code + (k << (2 * bits - 2)), west, east)
+
+    for west_degrees, east_degrees in box["lon"]:
+        west, east = bounds(west_degrees, east_degrees, _COLUMNS, 2 * _COLUMNS)
+        # Squares far smaller than the box are not told apart.
+        small = max(1, (max(north - south, east - west) + 1) // 32)
+        cover(0, 0, _CURVE_BITS, 0, west, east)
+    found.sort()
+    ranges = [list(found[0])] if found else []
+    for a, b in found[1:]:
+        if a <= ranges[-1][1] + 1:
+            ranges[-1][1] = max(b, ranges[-1][1])
+        else:
+            ranges.append([a, b])
+    while len(ranges) > most:
+        i = min(range(len(ranges) - 1), key=lambda i: ranges[i + 1][0] - ranges[i][1])
+        ranges[i : i + 2] = [[ranges[i][0], ranges[i + 1][1]]]
+    return [tuple(r) for r in ranges]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberfield.constants import (
@@ -105,16 +107,44 @@ def list_hotspots(
 
 
 def find_hotspot(events: DataFrame, key: str | int) -> DataFrame:
-    """At most one row whose id, event id or grid id equals the key."""
+    """At most one row whose id, event id or grid id equals the key.
+
+    Plain comparisons of stored columns, which reach the scan.
+    """
     text = str(key)
-    match = (
-        (F.col("id").cast("string") == text)
-        | (F.col("event_id") == text)
-        | (F.col("grid_id") == text)
-    )
+    match = (F.col("event_id") == text) | (F.col("grid_id") == text)
+    number = _whole_number(text)
+    if number is not None:
+        match = match | (F.col("id") == F.lit(number).cast("long"))
     return events.where(match).orderBy("id").limit(1)
 
 
+def _whole_number(text: str) -> int | None:
+    """The number that is written exactly like this."""
+    digits = text.removeprefix("-")
+    if not (digits.isascii() and digits.isdigit()) or len(digits) > 18 or str(int(text)) != text:
+        return None
+    return int(text)
+
+
+def key_box(key: str | int) -> dict[str, object] | None:
+    """A search box around the cell that a key names; None where the key tells no place.
+
+    Ids number the cells of the world, and grid ids, which end event ids, hold the position.
+    """
+    number = _whole_number(str(key))
+    if number is not None:
+        lat, lon = grid.lattice_position(number)
+    else:
+        found = re.fullmatch(r"(?:[A-Za-z]+-)?(-?[0-9]+(?:\.[0-9]+)?)_(-?[0-9]+(?:\.[0-9]+)?)", str(key))
+        if not found:
+            return None
+        lat, lon = float(found[1]), float(found[2])
+    if abs(lat) > 90 or abs(lon) > 180:
+        return None
+    return grid.search_box(lat, lon, 2000.0)
+
+
 def identity() -> Column:
     return F.coalesce(F.col("event_id"), F.col("grid_id"), F.col("id").cast("string"))
 
@@ -131,7 +161,8 @@ def search_events(
             hit = hit | F.coalesce(F.lower(field).contains(wanted), F.lit(False))
         out = out.where(hit)
     if classification != "all":
-        out = out.where(F.col(TARGET).cast("string") == classification)
+        wanted_class = _whole_number(classification)
+        out = out.where(F.lit(False) if wanted_class is None else F.col(TARGET) == F.lit(wanted_class))
     if need_position:
         out = out.where(v.is_finite(F.col("latitude")) & v.is_finite(F.col("longitude")))
     return out

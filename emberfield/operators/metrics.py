@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberfield.constants import CLASSES
 from emberfield.functions.ordered import running_totals, with_share
-from emberfield.session import broadcast_if_small
 
 
 def _matrix_row(df: DataFrame, label: str, prediction: str, by: list[str] | None = None) -> DataFrame:
@@ -145,10 +144,11 @@ def with_class_weight(df: DataFrame, label: str = "label", name: str = "weight")
     """Attach the weight of each row's class.
 
     Counting first and joining the few class rows back keeps a dominant class
-    spread over all tasks; a window by class would not.
+    spread over all tasks; a window by class would not. The broadcast has one
+    row per class.
     """
     weights = class_weights(df, label).select(label, F.col("weight").alias(name))
-    return df.join(broadcast_if_small(weights, max_rows=10_000), label)
+    return df.join(F.broadcast(weights), label)
 
 
 def pivot_with_delta(results: DataFrame, base: str, other: str) -> DataFrame:

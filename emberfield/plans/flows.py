@@ -8,7 +8,7 @@ from emberfield import schemas
 from emberfield.constants import RADIUS_M
 from emberfield.operators import cells, context, events, normalize, spatial
 from emberfield.session import materialize
-from emberfield.sinks import tables as sinks
+from emberfield.sinks import store, tables as sinks
 from emberfield.sources import files
 
 
@@ -92,7 +92,7 @@ def refresh_live_events(
     spark = raw.sparkSession
     clean = spatial.clip_to_polygons(normalize.normalize_live(raw), shapes)
     fresh = events.live_event_records(cells.aggregate_live(clean))
-    if sinks.has_snapshot(spark, events_root):
+    if store.has_version(spark, events_root):
         fresh = events.replace_snapshot(_events(spark, events_root), fresh)
     sinks.write_event_table(fresh, events_root, version)
     return _events(spark, events_root)
@@ -110,4 +110,4 @@ def enrich_events(spark: SparkSession, events_root: str, tiles_root: str, versio
 
 
 def _events(spark: SparkSession, events_root: str) -> DataFrame:
-    return spark.read.schema(schemas.EVENTS).parquet(sinks.newest_snapshot(spark, events_root))
+    return store.read(spark, events_root, schemas.EVENTS)

@@ -3,30 +3,26 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    OneVsRestModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberfield.constants import (
     BINARY_TARGET,
+    CLASSES,
     FEATURE_SETS,
     FINAL_FEATURES,
     MODEL_CLASS_LABELS,
     TARGET,
 )
 from emberfield.operators import metrics, quality, splits
-from emberfield.plans import isolation
+from emberfield.plans import boosting, isolation
 from emberfield.session import materialize, scratch_root
 
 MODEL_NAMES = [
@@ -37,50 +33,44 @@ MODEL_NAMES = [
     "xgboost",
 ]
 SEED = 42
+#: Fits whose Spark jobs run side by side.
+PARALLEL_FITS = 4
 
 
 class Size:
     """How large the models are; the defaults are the published settings."""
 
-    def __init__(self, iterations=300, trees=300, tree_depth=30, boost_depth=5, boost_depth_wide=6, linear_iterations=1000,
+    def __init__(self, iterations=300, trees=300, tree_depth=30, leaves=31, boost_depth=6, linear_iterations=1000,
                  binary_iterations=100, isolation_trees=100):
         self.iterations = iterations
         self.trees = trees
         self.tree_depth = tree_depth
+        self.leaves = leaves
         self.boost_depth = boost_depth
-        self.boost_depth_wide = boost_depth_wide
         self.linear_iterations = linear_iterations
         self.binary_iterations = binary_iterations
         self.isolation_trees = isolation_trees
 
 
-#: For tests of the functions alone; no registered query is fitted with it.
-SMALL = Size(iterations=2, trees=8, tree_depth=6, boost_depth=3, boost_depth_wide=3, binary_iterations=2)
-
-
 def prepare_checkpoints(spark: SparkSession) -> None:
-    """Let long boosting runs cut their lineage in the shared folder."""
+    """Let long fits cut their lineage in the shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(scratch_root(spark))
 
 
-def _boosting(size: Size, depth: int, subsample: float, columns: str) -> OneVsRest:
-    # Spark's boosted trees are binary, so one booster per class is fitted; the
-    # class scores are normalised in `class_scores`.
-    booster = GBTClassifier(
-        maxIter=size.iterations,
-        maxDepth=depth,
-        stepSize=0.08,
-        subsamplingRate=subsample,
-        featureSubsetStrategy=columns,
-        checkpointInterval=10,
-        seed=SEED,
-    )
-    return OneVsRest(classifier=booster, weightCol="weight", parallelism=4, labelCol="label")
+def booster(name: str, size: Size = Size()) -> boosting.Settings | None:
+    """How a boosted model grows its trees; None for other models."""
+    if name == "xgboost":
+        return replace(boosting.SOFTPROB, rounds=size.iterations, depth=size.boost_depth, seed=SEED)
+    if name == "hist_gradient_boosting":
+        return replace(boosting.LEAF_WISE, rounds=size.iterations, leaves=size.leaves, seed=SEED)
+    if name == "binary_boosting":
+        return replace(boosting.LEAF_WISE, rounds=size.binary_iterations, leaves=size.leaves, rate=0.1, seed=SEED)
+    return None
 
 
 def estimator(name: str, rows: int, size: Size = Size()):
-    """One of the benchmark classifiers as an unfitted stage list."""
+    """One of the other benchmark classifiers as an unfitted stage list."""
     common = {"labelCol": "label", "weightCol": "weight"}
     if name == "logistic_regression":
         scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
@@ -101,52 +91,61 @@ def estimator(name: str, rows: int, size: Size = Size()):
                 numTrees=size.trees, maxDepth=size.tree_depth, seed=SEED, **common
             )
         ]
-    if name == "hist_gradient_boosting":
-        return [_boosting(size, size.boost_depth, 1.0, "all")]
-    if name == "xgboost":
-        return [_boosting(size, size.boost_depth_wide, 0.9, "0.9")]
-    if name == "binary_boosting":
-        return [
-            GBTClassifier(
-                maxIter=size.binary_iterations,
-                maxDepth=size.boost_depth,
-                stepSize=0.1,
-                checkpointInterval=10,
-                seed=SEED,
-                **common,
-            )
-        ]
     raise ValueError(f"unknown model {name}")
 
 
 def _training_table(rows: DataFrame, names: list[str], label: str) -> DataFrame:
-    base = rows.select(F.col(label).cast("double").alias("label"), *[F.col(n).cast("double") for n in names])
+    # The key decides which rows a boosting round samples: the place, so that it does not depend on partitions.
+    key = F.xxhash64("grid_id") if "grid_id" in rows.columns else F.xxhash64(*names)
+    base = rows.select(
+        F.col(label).cast("double").alias("label"), key.alias("key"), *[F.col(n).cast("double") for n in names]
+    )
     return metrics.with_class_weight(base, "label")
 
 
 def fit_many(
-    models: list[str], train: DataFrame, names: list[str], size: Size = Size(), label: str = TARGET
-) -> dict[str, tuple[PipelineModel, float]]:
-    """Weighted fits on one prepared table: model and wall seconds by name.
+    models: list[str], train: DataFrame, names: list[str] | dict[str, list[str]], size: Size = Size(), label: str = TARGET
+) -> dict:
+    """Weighted fits on one prepared table: model and wall seconds by name, or by (feature set, name).
 
-    The weights and the feature vector are made once and kept on the executors
-    while the fits read them; a lost block is recomputed from the input.
+    ``names`` is a list of features or several of them by name. The table has the weights and the columns of all
+    sets, and stays on the executors while the fits read it. All boosters are fitted together, on the same passes
+    over one binned matrix of all columns; the other models are fitted side by side. The seconds of a booster are those of the common fit.
     """
     prepare_checkpoints(train.sparkSession)
-    assembler = VectorAssembler(inputCols=names, outputCol="features")
-    packed = assembler.transform(_training_table(train, names, label))
-    table = packed.select("label", "weight", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    sets = names if isinstance(names, dict) else {"": names}
+    columns = list(dict.fromkeys(c for own in sets.values() for c in own))
+    table = _training_table(train, columns, label).persist(StorageLevel.MEMORY_AND_DISK)
     fitted = {}
+
+    def boosted() -> None:
+        wanted = [(s, m) for s in sets for m in models if booster(m)]
+        if not wanted:
+            return
+        started = time.time()
+        matrix = boosting.binned(table, columns, len(CLASSES) if label == TARGET else 2)
+        try:
+            found = boosting.fit(matrix, [(booster(m, size), sets[s]) for s, m in wanted])
+        finally:
+            matrix.release()
+        for (s, m), model in zip(wanted, found):
+            assembler = VectorAssembler(inputCols=sets[s], outputCol="features")
+            fitted[s, m] = PipelineModel([assembler, model]), round(time.time() - started, 2)
+
+    def single(s: str, m: str) -> None:
+        started = time.time()
+        stages = [VectorAssembler(inputCols=sets[s], outputCol="features"), *estimator(m, count, size)]
+        fitted[s, m] = Pipeline(stages=stages).fit(table), round(time.time() - started, 2)
+
     try:
         count = table.count()
-        for name in models:
-            started = time.time()
-            model = Pipeline(stages=estimator(name, count, size)).fit(table)
-            whole = PipelineModel([assembler, *model.stages])
-            fitted[name] = (whole, round(time.time() - started, 2))
+        jobs = [boosted, *[lambda s=s, m=m: single(s, m) for s in sets for m in models if not booster(m)]]
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            for job in [pool.submit(inheritable_thread_target(train.sparkSession)(j)) for j in jobs]:
+                job.result()
     finally:
         table.unpersist()
-    return fitted
+    return fitted if isinstance(names, dict) else {m: fitted["", m] for m in models}
 
 
 def fit(
@@ -157,19 +156,8 @@ def fit(
 
 
 def class_scores(model: PipelineModel | Transformer) -> Column:
-    """Class probabilities as an array, one element per class.
-
-    One-vs-rest keeps a margin per class: each becomes a probability by the
-    logistic link of the boosted trees, then the row is scaled to sum to 1.
-    """
-    last = model.stages[-1] if isinstance(model, PipelineModel) else model
-    if not isinstance(last, OneVsRestModel):
-        return vector_to_array("probability")
-    single = F.transform(
-        vector_to_array("rawPrediction"), lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-2.0) * m))
-    )
-    total = F.aggregate(single, F.lit(0.0), lambda acc, p: acc + p)
-    return F.transform(single, lambda p: p / total)
+    """Class probabilities as an array, one element per class."""
+    return vector_to_array("probability")
 
 
 def predict(model: PipelineModel, rows: DataFrame, label: str = TARGET) -> DataFrame:
@@ -209,42 +197,41 @@ def run_experiments(
 
     Fits on train and scores validation; with ``held_out`` fits on train plus
     validation and scores the untouched test split once. The split table is
-    persisted because every fit reads it. Only metric rows are unioned.
+    persisted while the fits and scores read it. Only metric rows are unioned.
     """
     split = splits.block_split(data).persist(StorageLevel.MEMORY_AND_DISK)
     train = splits.development(split) if held_out else split.where(F.col("split") == "train")
     test = split.where(F.col("split") == ("test" if held_out else "validation"))
-    out = None
-    for experiment in feature_sets:
-        names = FEATURE_SETS[experiment]
+    sets = {experiment: FEATURE_SETS[experiment] for experiment in feature_sets}
+    for names in sets.values():
         quality.require_clean(split, names)
-        for name, (model, seconds) in fit_many(models, train, names, size).items():
-            row = _result(experiment, name, names, seconds, model, test)
-            out = row if out is None else out.unionByName(row)
+    fitted = fit_many(models, train, sets, size)
+    rows = [
+        _result(experiment, name, names, fitted[experiment, name][1], fitted[experiment, name][0], test)
+        for experiment, names in sets.items() for name in models
+    ]
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    # A few metric rows; with them written the split table can go.
+    out = materialize(out, "results")
+    split.unpersist()
     return out
 
 
 def feature_importances(model: PipelineModel, names: list[str], spark: SparkSession) -> DataFrame:
-    """Importance per feature; for one-vs-rest the mean over the class models."""
-    last = model.stages[-1]
-    parts = last.models if isinstance(last, OneVsRestModel) else [last]
-    sums = [0.0] * len(names)
-    for part in parts:
-        for i, x in enumerate(part.featureImportances.toArray()):
-            sums[i] += float(x) / len(parts)
-    rows = spark.createDataFrame(list(zip(names, sums)), "feature string, importance double")
+    """Importance per feature, and its share in percent."""
+    values = model.stages[-1].featureImportances.toArray()
+    rows = spark.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, importance double")
     return metrics.importance_shares(rows)
 
 
 def compare_importance(data: DataFrame, size: Size = Size()) -> DataFrame:
     """Importances without and with context, side by side, by feature."""
-    spark = data.sparkSession
     dev = splits.development(splits.block_split(data))
-    tables = {}
-    for experiment in ("reduced", "reduced_context"):
-        names = FEATURE_SETS[experiment]
-        model, _ = fit("xgboost", dev, names, size)
-        tables[experiment] = feature_importances(model, names, spark)
+    sets = {experiment: FEATURE_SETS[experiment] for experiment in ("reduced", "reduced_context")}
+    fitted = fit_many(["xgboost"], dev, sets, size)
+    tables = {e: feature_importances(fitted[e, "xgboost"][0], names, data.sparkSession) for e, names in sets.items()}
     return metrics.compare_importances(tables["reduced_context"], tables["reduced"])
 
 

@@ -1,38 +1,45 @@
-"""Where intermediate tables go, and the size rule for broadcasts."""
+"""Where intermediate tables go, and who deletes them."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: Whether Spark deletes the shuffle files of a query when it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_LOCAL_SCRATCH: str | None = None
+#: Run folders that have an owner, by application.
+_OWNED: set[str] = set()
+
+
+def _path(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(context._jsc.hadoopConfiguration())
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The folder of this run, below the shared folder that ``spark.checkpoint.dir`` names.
 
-    Only a local-mode session (tests, laptop) may fall back to a temporary
-    folder of the machine; on a cluster that folder would not be shared, so an
-    unset folder is an error there.
+    Where the setting is missing, the run folder lies in the warehouse, which a cluster shares as well. The
+    application owns the folder: it is deleted when the driver's JVM ends.
     """
-    global _LOCAL_SCRATCH
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    if _LOCAL_SCRATCH is None:
-        _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="emberfield-")
-    return _LOCAL_SCRATCH
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{shared.rstrip('/')}/_emberfield-{spark.sparkContext.applicationId}"
+    if folder not in _OWNED:
+        _OWNED.add(folder)
+        place, files = _path(spark, folder)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        # Once for the session, so that writes in several threads do not undo each other's setting.
+        spark.conf.set(_CLEANUP, "true")
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path under the scratch root."""
+    """A new, unused path under the run folder."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -45,20 +52,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting the rows (up to the limit).
+def exists(spark: SparkSession, path: str) -> bool:
+    place, files = _path(spark, path)
+    return files.exists(place)
 
-    Above the limit the table is returned without a hint and the join is
-    planned as a shuffle join, with adaptive skew handling.
-    """
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder."""
+    place, files = _path(spark, path)
+    files.delete(place, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if f"/_emberfield-{spark.sparkContext.applicationId}/" in folder:
+            remove(spark, folder)

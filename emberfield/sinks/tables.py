@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from emberfield import schemas
 from emberfield.constants import TILE_SIZE
 from emberfield.functions import grid
-from emberfield.session import materialize
+from emberfield.session import exists, materialize
+from emberfield.sinks import store
 
 
 _VERSIONS = T.StructType(
-    [T.StructField("version", T.StringType()), T.StructField("path", T.StringType())]
+    [T.StructField("version", T.StringType()), T.StructField("path", T.StringType()), T.StructField("number", T.LongType())]
 )
 
 
@@ -28,106 +28,64 @@ def publish_snapshot(df: DataFrame, root: str, version: str) -> str:
     if has_snapshot(df.sparkSession, root, version):
         raise ValueError(f"version {version} is already published")
     df.write.mode("overwrite").parquet(path)
-    row = df.sparkSession.createDataFrame([(version, path)], _VERSIONS)
+    row = df.sparkSession.createDataFrame([(version, path, count_snapshots(df.sparkSession, root) + 1)], _VERSIONS)
     row.coalesce(1).write.mode("append").parquet(f"{root}/versions")
     return path
 
 
-def has_snapshot(spark: SparkSession, root: str, version: str | None = None, ending: str | None = None) -> bool:
-    """Whether this version (or any version, or one whose name ends so) has been announced."""
-    if not _exists(spark, f"{root}/versions"):
+def has_snapshot(spark: SparkSession, root: str, version: str | None = None) -> bool:
+    """Whether this version (or any version) has been announced."""
+    if not exists(spark, f"{root}/versions"):
         return False
     found = spark.read.schema(_VERSIONS).parquet(f"{root}/versions")
     if version is not None:
         found = found.where(F.col("version") == version)
-    if ending is not None:
-        found = found.where(F.endswith("version", F.lit(ending)))
     return not found.isEmpty()
 
 
 def newest_snapshot(spark: SparkSession, root: str) -> str:
-    """Folder of the newest announced version: longer names are newer ("10" after "9"), equal ones go by text."""
+    """Folder of the version that was announced last, whatever its name."""
     versions = spark.read.schema(_VERSIONS).parquet(f"{root}/versions")
-    return versions.agg(F.max_by("path", F.struct(F.length("version"), "version")).alias("path")).first()["path"]
+    return versions.agg(F.max_by("path", "number").alias("path")).first()["path"]
 
 
 def count_snapshots(spark: SparkSession, root: str) -> int:
     """Number of announced versions."""
-    if not _exists(spark, f"{root}/versions"):
+    if not exists(spark, f"{root}/versions"):
         return 0
     return spark.read.schema(_VERSIONS).parquet(f"{root}/versions").count()
 
 
-def write_event_table(df: DataFrame, root: str, version: str) -> str:
-    """Publish events ordered by place inside range partitions.
-
-    Files then hold narrow latitude bands, and the box filter of the nearby
-    query skips files and row groups by their min/max statistics.
-    """
-    placed = df.repartitionByRange("latitude", "longitude").sortWithinPartitions("latitude", "longitude")
-    return publish_snapshot(placed, root, version)
+def write_event_table(df: DataFrame, root: str, version: str) -> int:
+    """Publish the whole event table, clustered by place (see `store`)."""
+    return store.rewrite(df, root, version)
 
 
 def write_context_tiles(context: DataFrame, root: str) -> None:
     """Store context tiles; tiles in the input replace their stored version.
 
-    Files are grouped by row of tiles (at most 720 on the globe) and not by
-    tile, which would leave a million tiny files. Rows of tiles that the input
-    touches are rewritten with their other tiles kept, and swapped in by one
-    dynamic-overwrite commit.
+    Rows of tiles that the input touches are written again with their other tiles kept. All tiles of a write become visible
+    with one announcement, so a write that dies half-way leaves the old state, and readers never see a mix.
     """
-    spark = context.sparkSession
     lat, lon = F.col("lat_grid"), F.col("lon_grid")
-    fresh = materialize(
-        context.withColumns(
-            {"tile_id": grid.tile_key(lat, lon, TILE_SIZE), "tile_row": grid.tile_edge(lat, TILE_SIZE)}
-        ),
-        "fresh-tiles",
-    )
-    rows = fresh
-    if _exists(spark, root):
-        stored = stored_tiles(spark, root)
-        touched = fresh.select("tile_row").distinct()  # at most 720 values
-        kept = stored.join(F.broadcast(touched), "tile_row", "left_semi").join(
-            fresh.select("tile_id").distinct(), "tile_id", "left_anti"
-        )
-        rows = fresh.unionByName(materialize(kept.select(*fresh.columns), "kept-tiles"))
-    # The rebalance hint writes few files per row and splits a crowded row.
-    (
-        rows.hint("rebalance", "tile_row")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("tile_row")
-        .parquet(root)
-    )
-
-
-_TILE_TABLE = T.StructType(
-    [*schemas.CONTEXT_TILE.fields, T.StructField("tile_id", T.StringType()), T.StructField("tile_row", T.DoubleType())]
-)
+    fresh = materialize(context.withColumn("tile_id", grid.tile_key(lat, lon, TILE_SIZE)), "fresh-tiles")
+    spark = context.sparkSession
+    store.merge(fresh, root, f"tiles-{store.newest(spark, root) + 1}", "tile_id", "lat_grid", "lon_grid")
+    store.expire(spark, root)
+
+
+_TILE_TABLE = T.StructType([*schemas.CONTEXT_TILE.fields, T.StructField("tile_id", T.StringType())])
 
 
 def stored_tiles(spark: SparkSession, root: str) -> DataFrame:
     """Context rows of all stored tiles (none when nothing was stored yet)."""
-    if not _exists(spark, root):
-        return spark.createDataFrame([], _TILE_TABLE)
-    return spark.read.schema(_TILE_TABLE).parquet(root)
+    return store.read(spark, root, _TILE_TABLE)
 
 
 def stored_tile_ids(spark: SparkSession, root: str) -> DataFrame:
     return stored_tiles(spark, root).select("tile_id").distinct()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-    return True
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 

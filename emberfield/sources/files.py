@@ -252,8 +252,10 @@ def tile_manifest(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], schemas.TILE_MANIFEST)
 
 
-def event_table(spark: SparkSession, path: str) -> DataFrame:
+def event_table(spark: SparkSession, root: str) -> DataFrame:
+    """The newest version of a stored event table, with the alias columns."""
     from emberfield.operators.events import scan_events
+    from emberfield.sinks import store
 
-    return scan_events(spark.read.schema(schemas.EVENTS).parquet(path))
+    return scan_events(store.read(spark, root, schemas.EVENTS))
 

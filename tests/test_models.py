@@ -8,6 +8,9 @@ from emberfield.catalog import QUERIES
 from emberfield.constants import FEATURE_SETS, FINAL_FEATURES
 from emberfield.plans import isolation, scoring, training
 
+#: Small models, for the tests of the functions alone.
+SMALL = training.Size(iterations=8, trees=8, tree_depth=6, leaves=8, boost_depth=3, binary_iterations=2)
+
 
 @pytest.fixture(scope="module")
 def table(spark):
@@ -24,7 +27,7 @@ def table(spark):
 
 @pytest.mark.parametrize("name", training.MODEL_NAMES)
 def test_models_learn_and_give_probabilities(table, name):
-    model, seconds = training.fit(name, table, FINAL_FEATURES, training.SMALL)
+    model, seconds = training.fit(name, table, FINAL_FEATURES, SMALL)
     scored = training.predict(model, table)
     right = scored.where("label = prediction").count() / 800
     assert right > 0.9 and seconds >= 0
@@ -33,7 +36,7 @@ def test_models_learn_and_give_probabilities(table, name):
 
 
 def test_contract_artifact_and_score(spark, table, tmp_path):
-    model, metadata = training.train_final(table, training.SMALL)
+    model, metadata = training.train_final(table, SMALL)
     training.save_artifact(model, metadata, str(tmp_path / "a"))
     loaded, contract = training.load_artifact(spark, str(tmp_path / "a"))
     assert contract["feature_names"] == FINAL_FEATURES

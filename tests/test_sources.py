@@ -156,7 +156,7 @@ def test_context_tiles_replace_only_their_tiles(spark, tmp_path):
     rows = [("a", 10.1, 70.1, 1, 0, 0, 0, 5.0), ("b", 10.1, 70.4, 1, 0, 0, 0, 5.0), ("c", 11.1, 70.1, 1, 0, 0, 0, 5.0)]
     sinks.write_context_tiles(spark.createDataFrame(rows, ddl), root)
     sinks.write_context_tiles(spark.createDataFrame([("a", 10.1, 70.1, 9, 0, 0, 0, 4.0)], ddl), root)
-    got = {r["grid_id"]: r["osm_feature_count"] for r in spark.read.parquet(root).collect()}
+    got = {r["grid_id"]: r["osm_feature_count"] for r in sinks.stored_tiles(spark, root).collect()}
     assert got == {"a": 9, "b": 1, "c": 1}
 
 
@@ -169,11 +169,11 @@ def test_manifest_created_when_missing(spark, tmp_path):
     assert files.tile_manifest(spark, path).count() == 2
 
 
-def test_version_ten_is_newer_than_nine(spark, tmp_path):
+def test_the_newest_version_is_the_last_announced(spark, tmp_path):
     root = str(tmp_path / "numbers")
-    for version in ("9", "10"):
-        sinks.publish_snapshot(spark.range(int(version)), root, version)
-    assert sinks.newest_snapshot(spark, root).endswith("snapshot=10")
+    for version in ("9", "10", "2026-10-01-fix", "2026-10-02"):
+        sinks.publish_snapshot(spark.range(3), root, version)
+        assert sinks.newest_snapshot(spark, root).endswith(f"snapshot={version}")
 
 
 def test_times_with_and_without_leading_zero_are_one(spark):
