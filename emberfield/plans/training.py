@@ -7,9 +7,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -22,7 +22,7 @@ from emberfield.constants import (
     TARGET,
 )
 from emberfield.operators import metrics, quality, splits
-from emberfield.plans import boosting, isolation
+from emberfield.plans import boosting, forest, isolation, linear
 from emberfield.session import materialize, scratch_root
 
 MODEL_NAMES = [
@@ -69,31 +69,6 @@ def booster(name: str, size: Size = Size()) -> boosting.Settings | None:
     return None
 
 
-def estimator(name: str, rows: int, size: Size = Size()):
-    """One of the other benchmark classifiers as an unfitted stage list."""
-    common = {"labelCol": "label", "weightCol": "weight"}
-    if name == "logistic_regression":
-        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-        # C = 1 with summed loss equals a penalty of 1/rows with averaged loss.
-        model = LogisticRegression(
-            featuresCol="scaled",
-            maxIter=size.linear_iterations,
-            regParam=1.0 / max(rows, 1),
-            standardization=False,
-            **common,
-        )
-        return [scaler, model]
-    if name == "decision_tree":
-        return [DecisionTreeClassifier(maxDepth=size.tree_depth, seed=SEED, **common)]
-    if name == "random_forest":
-        return [
-            RandomForestClassifier(
-                numTrees=size.trees, maxDepth=size.tree_depth, seed=SEED, **common
-            )
-        ]
-    raise ValueError(f"unknown model {name}")
-
-
 def _training_table(rows: DataFrame, names: list[str], label: str) -> DataFrame:
     # The key decides which rows a boosting round samples: the place, so that it does not depend on partitions.
     key = F.xxhash64("grid_id") if "grid_id" in rows.columns else F.xxhash64(*names)
@@ -110,40 +85,59 @@ def fit_many(
 
     ``names`` is a list of features or several of them by name. The table has the weights and the columns of all
     sets, and stays on the executors while the fits read it. All boosters are fitted together, on the same passes
-    over one binned matrix of all columns; the other models are fitted side by side. The seconds of a booster are those of the common fit.
+    over one binned matrix of all columns; the other models are fitted side by side, forests on at most
+    ``boosting.TASK_ROWS`` rows of it. The seconds of a booster are those of the common fit.
     """
     prepare_checkpoints(train.sparkSession)
     sets = names if isinstance(names, dict) else {"": names}
     columns = list(dict.fromkeys(c for own in sets.values() for c in own))
+    classes = len(CLASSES) if label == TARGET else 2
     table = _training_table(train, columns, label).persist(StorageLevel.MEMORY_AND_DISK)
-    fitted = {}
+    boosted = [(s, m) for s in sets for m in models if booster(m)]
+    fitted, matrices = {}, []
 
-    def boosted() -> None:
-        wanted = [(s, m) for s in sets for m in models if booster(m)]
-        if not wanted:
-            return
+    def boost() -> None:
         started = time.time()
-        matrix = boosting.binned(table, columns, len(CLASSES) if label == TARGET else 2)
-        try:
-            found = boosting.fit(matrix, [(booster(m, size), sets[s]) for s, m in wanted])
-        finally:
-            matrix.release()
-        for (s, m), model in zip(wanted, found):
-            assembler = VectorAssembler(inputCols=sets[s], outputCol="features")
-            fitted[s, m] = PipelineModel([assembler, model]), round(time.time() - started, 2)
+        found = boosting.fit(matrices[0], [(booster(m, size), sets[s]) for s, m in boosted])
+        for (s, m), model in zip(boosted, found):
+            keep(s, m, model, started)
 
     def single(s: str, m: str) -> None:
         started = time.time()
-        stages = [VectorAssembler(inputCols=sets[s], outputCol="features"), *estimator(m, count, size)]
-        fitted[s, m] = Pipeline(stages=stages).fit(table), round(time.time() - started, 2)
+        if m == "logistic_regression":
+            model = linear.fit(table, sets[s], classes, size.linear_iterations)
+        elif m == "random_forest":
+            model = forest.fit(matrices[-1], sets[s], size.trees, size.tree_depth, SEED)
+        elif m == "decision_tree":
+            tree = DecisionTreeClassifier(maxDepth=size.tree_depth, seed=SEED, labelCol="label", weightCol="weight")
+            model = tree.fit(VectorAssembler(inputCols=sets[s], outputCol="features").transform(table))
+        else:
+            raise ValueError(f"unknown model {m}")
+        keep(s, m, model, started)
+
+    def keep(s: str, m: str, model: Transformer, started: float) -> None:
+        assembler = VectorAssembler(inputCols=sets[s], outputCol="features")
+        fitted[s, m] = PipelineModel([assembler, model]), round(time.time() - started, 2)
 
     try:
         count = table.count()
-        jobs = [boosted, *[lambda s=s, m=m: single(s, m) for s in sets for m in models if not booster(m)]]
+        # A forest takes at most so many rows, picked by place; boosters take all.
+        share = boosting.TASK_ROWS / max(count, 1)
+        sampled = "random_forest" in models and share < 1
+        if boosted or ("random_forest" in models and not sampled):
+            matrices.append(boosting.binned(table, columns, classes))
+        if sampled:
+            lot = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1_000_003)) / F.lit(1_000_003)
+            matrices.append(boosting.binned(table.where(lot < share * 0.99), columns, classes))
+        # The forests leave no core idle, so the boosters, one core each, go first.
+        jobs = [boost] if boosted else []
+        jobs += [lambda s=s, m=m: single(s, m) for m in models for s in sets if not booster(m)]
         with ThreadPoolExecutor(PARALLEL_FITS) as pool:
             for job in [pool.submit(inheritable_thread_target(train.sparkSession)(j)) for j in jobs]:
                 job.result()
     finally:
+        for matrix in matrices:
+            matrix.release()
         table.unpersist()
     return fitted if isinstance(names, dict) else {m: fitted["", m] for m in models}
 
@@ -300,9 +294,9 @@ def binary_baseline(cells: DataFrame, size: Size = Size(trees=100, tree_depth=12
         one = row(name, scored.select("label", "prediction", "score"))
         out = one if out is None else out.unionByName(one)
 
-    forest = isolation.fit_forest(train, names, trees=size.isolation_trees)
-    scored = isolation.score(forest, test, names)
-    cut = isolation.threshold(isolation.score(forest, train, names), contamination=0.015)
+    trees = isolation.fit_forest(train, names, trees=size.isolation_trees)
+    scored = isolation.score(trees, test, names)
+    cut = isolation.threshold(isolation.score(trees, train, names), contamination=0.015)
     flagged = scored.select(
         F.col(BINARY_TARGET).alias("label"),
         F.col("anomaly_score").alias("score"),
