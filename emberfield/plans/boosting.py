@@ -260,11 +260,15 @@ class _Growth:
     def _split(self, sums: np.ndarray) -> tuple[float, int, int]:
         """Gain, feature and last left bin of the best split of a node (gain 0: none)."""
         s = self.settings
-        g, h, c = np.cumsum(sums, axis=2)
-        gt, ht, ct = g[:1, -1:], h[:1, -1:], c[:1, -1:]
+        _, hessian, rows = sums[:, 0].sum(axis=1)
+        if hessian < 2 * s.least_hessian or (s.least_rows > 1 and rows < 2 * s.least_rows):
+            return 0.0, -1, 0
+        g, h = np.cumsum(sums[:2], axis=2)
+        gt, ht = g[:1, -1:], h[:1, -1:]
         allowed = (h >= s.least_hessian) & (ht - h >= s.least_hessian)
         if s.least_rows > 1:
-            allowed &= (c >= s.least_rows) & (ct - c >= s.least_rows)
+            c = np.cumsum(sums[2], axis=1)
+            allowed &= (c >= s.least_rows) & (c[:1, -1:] - c >= s.least_rows)
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = g**2 / (h + s.l2) + (gt - g) ** 2 / (ht - h + s.l2) - gt**2 / (ht + s.l2)
         gain = np.where(allowed & np.isfinite(gain), gain, 0.0)

@@ -303,3 +303,11 @@ def binary_baseline(cells: DataFrame, size: Size = Size(trees=100, tree_depth=12
         (F.col("anomaly_score") > cut).cast("int").alias("prediction"),
     )
     return out.unionByName(row("isolation_forest", flagged))
+
+
+def binary_importances(cells: DataFrame, size: Size = Size(trees=100, tree_depth=12)) -> DataFrame:
+    """Importances of the baseline's forest, with shares in percent."""
+    names = FEATURE_SETS["full_context"]
+    train = splits.cell_split(quality.require_clean(cells, names)).where(F.col("split") == "train")
+    model, _ = fit("random_forest", train, names, size, BINARY_TARGET)
+    return feature_importances(model, names, cells.sparkSession)
