@@ -37,8 +37,9 @@ SCALE = 1_000_000
 FILTER_BITS = 1 << 27
 _PROBES = 4
 #: Text that is folded at once, and how much deeper each round goes.
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 _DEEPER = 4
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _COUNTS = "lang string, phrase string, c long"
 
 _BYTES = np.arange(256)
@@ -284,7 +285,20 @@ def _triples(counted: DataFrame, pairs: DataFrame, words: DataFrame) -> DataFram
 
 
 def collocations(docs: DataFrame, min_count: int = 10, top: int = 2000) -> DataFrame:
-    """The first ``top`` phrases of 2 to 3 words per language: ``lang, rank, phrase, a, l, r, n, score``."""
+    """The first ``top`` phrases of 2 to 3 words per language: ``lang, rank, phrase, a, l, r, n, score``.
+
+    All passes run here, with Arrow batches of a slice or two in place of 64 MB, which a task would hold several times over.
+    """
+    conf = docs.sparkSession.conf
+    before = conf.get(_BATCH_BYTES)
+    conf.set(_BATCH_BYTES, 2 * _SLICE)
+    try:
+        return _mined(docs, min_count, top)
+    finally:
+        conf.set(_BATCH_BYTES, before)
+
+
+def _mined(docs: DataFrame, min_count: int, top: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     parts = _encoded(docs)
     frequent = F.col("phrase").isNull() | (F.col("a") >= min_count)
