@@ -41,6 +41,8 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    # Run folders go below it; the session deletes its own when it ends.
+    scratch = os.environ.get("BENCH_SCRATCH", f"/tmp/emberfield-bench-{os.getpid()}")
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("emberfield-bench")
@@ -48,6 +50,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", f"file://{scratch}")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -212,19 +212,19 @@ def t2(spark, folder):
 
 @query(
     "j12_missing_months",
-    """SELECT CAST(m AS DATE) AS month FROM (SELECT unnest(generate_series(
-          (SELECT date_trunc('month', min(acq_date)) FROM {det}), (SELECT date_trunc('month', max(acq_date)) FROM {det}),
-          INTERVAL 1 MONTH)) AS m)
-       WHERE m NOT IN (SELECT date_trunc('month', acq_date) FROM {det} WHERE month(acq_date) NOT IN (2, 7))""",
+    """WITH m AS (SELECT DISTINCT CAST(round_even(latitude/0.01::double, 0) AS INT) AS cell_row,
+              CAST(round_even(longitude/0.01::double, 0) AS INT) AS cell_col, CAST(date_trunc('month', acq_date) AS DATE) AS month
+            FROM {det} WHERE acq_date IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL),
+          n AS (SELECT *, lead(month) OVER (PARTITION BY cell_row, cell_col ORDER BY month) AS following FROM m)
+       SELECT cell_row, cell_col, CAST(x AS DATE) AS month FROM (
+          SELECT cell_row, cell_col, unnest(generate_series(month + INTERVAL 1 MONTH, following - INTERVAL 1 MONTH, INTERVAL 1 MONTH)) AS x
+          FROM n WHERE following > month + INTERVAL 1 MONTH)""",
 )
 def j12(spark, folder):
-    rows = views.detections(spark, folder).select("acq_date")
-    first_last = rows.agg(F.min("acq_date").alias("a"), F.max("acq_date").alias("b"))
-    ends = first_last.select(F.explode(F.array("a", "b")).alias("acq_date"))
-    # Two months of each year are taken out, so that there are gaps to find.
-    seen = rows.where(~F.month("acq_date").isin(2, 7))
-    gaps = profile.missing_months(seen.unionByName(ends))
-    return gaps
+    rows = views.detections(spark, folder).select(
+        grid.cell_index(F.col("latitude")).alias("cell_row"), grid.cell_index(F.col("longitude")).alias("cell_col"), "acq_date"
+    )
+    return profile.missing_months(rows.na.drop(), by=["cell_row", "cell_col"])
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberfield.functions import grid, values as v
 from emberfield.functions.ordered import exact_quantiles, with_share
@@ -271,14 +271,17 @@ def distinct_counts(clean: DataFrame) -> DataFrame:
     )
 
 
-def missing_months(df: DataFrame, date_column: str = "acq_date") -> DataFrame:
-    """Months between the first and the last one that have no rows."""
-    month = F.trunc(F.col(date_column), "month").alias("month")
-    seen = df.select(month).distinct()
-    full = seen.agg(F.min("month").alias("a"), F.max("month").alias("b")).select(
-        F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month")
-    )
-    return full.join(seen, "month", "left_anti")
+def missing_months(df: DataFrame, date_column: str = "acq_date", by: list[str] | None = None) -> DataFrame:
+    """Months between the first and the last one that have no rows, of the table or of each group ``by``.
+
+    Months fold first, so a group sorts its months, not its rows; the gap after a month ends before the next one that is there.
+    """
+    keys = by or []
+    seen = df.select(*keys, F.trunc(F.col(date_column), "month").alias("seen")).where("seen IS NOT NULL").distinct()
+    following = F.lead("seen").over(Window.partitionBy(*keys).orderBy("seen"))
+    gaps = seen.withColumn("following", following).where(F.col("following") > F.add_months("seen", 1))
+    step = F.expr("interval 1 month")
+    return gaps.select(*keys, F.explode(F.sequence(F.add_months("seen", 1), F.add_months("following", -1), step)).alias("month"))
 
 
 def extent(df: DataFrame, lat: str = "lat_grid", lon: str = "lon_grid") -> DataFrame:

@@ -27,7 +27,11 @@ def _text(value):
     return value.isoformat() if isinstance(value, (dt.date, dt.datetime)) else repr(value)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+#: Whole experiments, minutes in all: run where EMBERFIELD_SLOW is set. The driver compares them as it does all queries.
+SLOW = [n for n in contract.oracle_sql() if n.split("_")[0] in ("m13", "m14", "m15", "m16", "m18", "m19", "m22", "m23", "k5")]
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(contract.oracle_sql()) if n not in SLOW or os.environ.get("EMBERFIELD_SLOW")])
 def test_query_matches_check_sql(spark, duck, sf_dir, name):
     df = contract.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)

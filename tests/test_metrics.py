@@ -109,6 +109,10 @@ def test_split_keeps_blocks_together(spark):
 def test_months_and_shares(spark):
     df = spark.createDataFrame([("2023-11-30",), ("2024-03-01",)], "d string").select(F.col("d").cast("date").alias("acq_date"))
     assert [str(r["month"]) for r in profile.missing_months(df).orderBy("month").collect()] == ["2023-12-01", "2024-01-01", "2024-02-01"]
+    rows = [("a", "2024-01-31"), ("a", "2024-01-02"), ("a", "2024-04-01"), ("b", "2024-02-01"), ("b", "2024-03-01"), ("c", "2023-12-31"), ("c", None)]
+    own = spark.createDataFrame(rows, "k string, d string").select("k", F.col("d").cast("date").alias("acq_date"))
+    got = [(r["k"], str(r["month"])) for r in profile.missing_months(own, by=["k"]).orderBy("k", "month").collect()]
+    assert got == [("a", "2024-02-01"), ("a", "2024-03-01")]
 
 
 def test_quality_report_counts_copies(spark):
