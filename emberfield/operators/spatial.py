@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberfield.constants import (
@@ -397,6 +399,15 @@ def tile_index(shapes: DataFrame, size: float) -> DataFrame:
     )
 
 
+def _tile_size(shapes: DataFrame) -> float:
+    row = polygon_edges(shapes).agg(
+        F.count(F.lit(1)).alias("n"), F.max("x1").alias("e"), F.min("x1").alias("w"), F.max("y1").alias("t"), F.min("y1").alias("s")
+    ).first()
+    if not row["n"]:
+        return 1.0
+    return max(math.sqrt(max(row["e"] - row["w"], 1e-6) * max(row["t"] - row["s"], 1e-6) / max(row["n"], 4096)), 1e-4)
+
+
 def _crosses(edge: Column, x: Column, y: Column) -> Column:
     x1, y1, x2, y2 = edge["x1"], edge["y1"], edge["x2"], edge["y2"]
     return ((y1 > y) != (y2 > y)) & (x < F.try_divide((x2 - x1) * (y - y1), y2 - y1) + x1)
@@ -407,14 +418,17 @@ def clip_to_polygons(
     shapes: DataFrame,
     lat: str = "latitude",
     lon: str = "longitude",
-    size: float = 0.05,
+    size: float | None = None,
 ) -> DataFrame:
     """Rows whose point lies in any polygon: inside its outer ring, in no hole.
 
+    Without a size, tiles are as large as lets the extent of the polygons hold about one per edge, 4096 at least.
     Points meet their lattice tile by an equi-join on (row, col); the index of the tiles is written first, so its
     size is known when the join is planned. Tiles whose edges fill one row per ring are decided in that row;
     in denser tiles the crossings of a point are added up over the rows.
     """
+    if size is None:
+        size = _tile_size(shapes)
     index = materialize(tile_index(shapes, size), "polygon-tiles")
     extent = index.agg(*[f(c).alias(n) for n, f, c in (("s", F.min, "row"), ("n", F.max, "row"), ("w", F.min, "col"), ("e", F.max, "col"))]).first()
     if extent["s"] is None:
