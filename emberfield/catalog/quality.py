@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
+from emberfield import schemas
 from emberfield.catalog import registry as r
 from emberfield.catalog.registry import query, rounded
 from emberfield.constants import DETECTION_FEATURES
 from emberfield.operators import context, events, quality, splits
-from emberfield.schemas import column_difference
+from emberfield.session import materialize, scratch_path
+from emberfield.sources import heads
 
 
 @query(
@@ -59,38 +61,54 @@ def v3(spark, folder):
     return quality.feature_gate(both)
 
 
+def _by_class(found):
+    """Findings per folder of a class; the files of a folder agree."""
+    label = F.regexp_extract("file", r"target_multiclass=(\d+)", 1).cast("int").alias("target_multiclass")
+    return found.select(label, *[c for c in found.columns if c != "file"]).distinct()
+
+
 @query(
     "v4_feature_schema_audit",
-    "SELECT count(*) AS row_count, CAST(18 AS INT) AS feature_count, true AS schema_safe, '' AS missing_columns FROM {cells}",
+    """SELECT DISTINCT target_multiclass, CAST(18 - (target_multiclass = 0)::INT AS INT) AS feature_count,
+        CASE WHEN target_multiclass = 0 THEN 'mean_frp' ELSE '' END AS missing_columns,
+        CASE WHEN target_multiclass = 2 THEN 'target_persistent_source' ELSE '' END AS target_in_features,
+        CASE WHEN target_multiclass = 3 THEN 'grid_id,lat_grid' ELSE '' END AS identifiers_in_features,
+        target_multiclass = 1 AS schema_safe
+      FROM {cells}""",
 )
 def v4(spark, folder):
-    found = quality.schema_audit()
-    difference = column_difference(r.labelled_cells(spark, folder), DETECTION_FEATURES)
-    # The audit looks at names; the row count ties the answer to the table.
-    return r.labelled_cells(spark, folder).agg(F.count(F.lit(1)).alias("row_count")).withColumns(
-        {
-            "feature_count": F.lit(found["feature_count"]),
-            "schema_safe": F.lit(found["schema_safe"]),
-            "missing_columns": F.lit(",".join(difference["missing"])),
-        }
-    )
+    # One feature file set per class: the first lacks a feature, two others hold what must not be one.
+    path = scratch_path(spark, "features")
+    table = materialize(r.labelled_cells(spark, folder), "cells")
+    names = {0: [c for c in DETECTION_FEATURES if c != "mean_frp"], 1: DETECTION_FEATURES}
+    names |= {2: [*DETECTION_FEATURES, "target_persistent_source"], 3: ["lat_grid", *DETECTION_FEATURES, "grid_id"]}
+    for label, columns in names.items():
+        part = table.where(F.col("target_multiclass") == label).select(*columns)
+        part.write.parquet(f"{path}/target_multiclass={label}")
+    files = heads.parquet_footers(spark, f"{path}/*/*.parquet")
+    # A class without rows leaves a file without rows, which is no part of the table.
+    present = table.select("target_multiclass").distinct()
+    return _by_class(quality.feature_file_audit(files)).join(F.broadcast(present), "target_multiclass", "left_semi")
+
+
+_EXTRA = (
+    "event_id,first_seen,grid_id,id,last_seen,latitude,longitude,osm_context_available,osm_feature_count,"
+    "osm_industrial_count,osm_manmade_count,osm_min_distance_m,osm_power_count,target_persistent_source"
+)
 
 
 @query(
     "u3_column_difference",
-    "SELECT count(*) AS row_count, 'lat_grid' AS missing, 'event_id,first_seen,grid_id,id,last_seen,latitude,longitude,"
-    "osm_context_available,osm_feature_count,osm_industrial_count,osm_manmade_count,osm_min_distance_m,osm_power_count,"
-    "target_multiclass,target_persistent_source' AS extra FROM {events_t}",
+    "SELECT DISTINCT target_multiclass, d.\"column\", d.finding FROM {events_t} CROSS JOIN (VALUES ('lat_grid', 'missing'), "
+    + ", ".join(f"('{c}', 'extra')" for c in _EXTRA.split(","))
+    + ", ('mean_frp', 'type')) d(\"column\", finding)",
 )
 def u3(spark, folder):
-    table = r.event_table(spark, folder)
-    difference = column_difference(table, [*DETECTION_FEATURES, "lat_grid"])
-    return table.agg(F.count(F.lit(1)).alias("row_count")).withColumns(
-        {
-            "missing": F.lit(",".join(difference["missing"])),
-            "extra": F.lit(",".join(difference["extra"])),
-        }
-    )
+    path = scratch_path(spark, "events")
+    table = r.event_table(spark, folder).withColumn("mean_frp", F.col("mean_frp").cast("float"))
+    table.write.partitionBy("target_multiclass").parquet(path)
+    expected = T.StructType([schemas.EVENTS[c] for c in DETECTION_FEATURES] + [schemas.CELLS["lat_grid"]])
+    return _by_class(heads.differences(heads.parquet_footers(spark, f"{path}/*/*.parquet"), expected))
 
 
 @query(

@@ -102,6 +102,31 @@ def schema_audit(names: list[str] = DETECTION_FEATURES) -> dict:
     }
 
 
+def feature_file_audit(files: DataFrame, names: list[str] = DETECTION_FEATURES) -> DataFrame:
+    """Each written feature file by the columns it says to have: features found and missing, targets and
+    identifiers among them; a safe file has all features and none of the others.
+
+    ``files`` has ``file`` and ``columns`` as :mod:`emberfield.sources.heads` reads them.
+    """
+    have = F.transform(F.coalesce(F.col("columns"), F.array().cast("array<struct<name:string,type:string>>")), lambda c: c["name"])
+
+    def listed(found: Column) -> Column:
+        return F.array_join(F.array_sort(found), ",")
+
+    def of(wanted: list[str]) -> Column:
+        return F.array(*[F.lit(c) for c in wanted])
+
+    audited = files.select(
+        "file",
+        F.size(F.array_intersect(have, of(names))).alias("feature_count"),
+        listed(F.array_except(of(names), have)).alias("missing_columns"),
+        listed(F.array_intersect(have, of(TARGETS))).alias("target_in_features"),
+        listed(F.array_intersect(have, of(IDENTIFIERS))).alias("identifiers_in_features"),
+    )
+    whole = F.concat("missing_columns", "target_in_features", "identifiers_in_features") == ""
+    return audited.withColumn("schema_safe", whole)
+
+
 def target_correlations(cells: DataFrame) -> DataFrame:
     """Correlation of each direct label input with the target."""
     one = cells.agg(

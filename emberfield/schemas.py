@@ -113,9 +113,3 @@ def require_columns(df, columns) -> None:
     missing = sorted(set(columns) - set(df.columns))
     if missing:
         raise ValueError("missing required columns: " + ", ".join(missing))
-
-
-def column_difference(df, columns) -> dict[str, list[str]]:
-    """Missing and extra columns of a table against an expected list."""
-    have, want = set(df.columns), set(columns)
-    return {"missing": sorted(want - have), "extra": sorted(have - want)}

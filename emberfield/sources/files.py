@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from emberfield import schemas
 from emberfield.constants import (
@@ -18,6 +18,7 @@ from emberfield.functions.ordered import keep_one
 from emberfield.operators.context import unique_by
 from emberfield.operators.normalize import number_column, prepare_archive
 from emberfield.schemas import require_columns
+from emberfield.sources import heads as file_heads
 
 
 def _csv(spark: SparkSession, path, schema: T.StructType, **options) -> DataFrame:
@@ -46,27 +47,9 @@ def archive_detections(spark: SparkSession, path: str) -> DataFrame:
     return prepare_archive(table)
 
 
-def first_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, header)`` of every text file; empty files have no row.
-
-    The scan reads every line as text, and one line per task and file leaves it.
-    """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("start"),
-        F.col("value"),
-        F.monotonically_increasing_id().alias("pos"),
-    )
-    return (
-        lines.where((F.col("start") == 0) & (F.trim("value") != ""))
-        .groupBy("file")
-        .agg(F.min_by("value", "pos").alias("header"))
-    )
-
-
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """Paths and sizes; file contents are not read."""
-    return spark.read.format("binaryFile").load(path).select("path", "length")
+    return file_heads.listing(spark, path).select("path", "length")
 
 
 def newest_file(spark: SparkSession, path: str) -> str:
@@ -77,87 +60,118 @@ def newest_file(spark: SparkSession, path: str) -> str:
     return found
 
 
-def _by_header(spark: SparkSession, path: str) -> list[tuple[list[str], str | list[str]]]:
-    """What to read per distinct header: the whole path when there is only one.
+def _typed(text: Column, kind: T.DataType, strict: bool) -> Column:
+    """The value of a field; a strict reading refuses what is neither a value nor missing."""
+    if kind == T.StringType():
+        return text
+    if isinstance(kind, (T.IntegerType, T.LongType)):
+        # Writers of tables with gaps put whole numbers as 3.0.
+        number = text.try_cast("double")
+        whole = F.when(number == F.floor(number), number.try_cast("bigint"))
+        value = F.coalesce(text.try_cast("bigint"), whole).try_cast(kind)
+    else:
+        value = text.try_cast(kind)
+    blank = text.isNull() | F.trim(text).isin(*_MISSING)
+    refused = F.raise_error(F.concat(F.lit(f"not a value of type {kind.simpleString()}: "), text)).cast(kind)
+    return F.when(~blank, F.when(value.isNull(), refused).otherwise(value) if strict else value)
 
-    Only when files differ are their names fetched, which is the same metadata
-    the driver already holds for planning the scan.
-    """
-    lines = first_lines(spark, path)
-    headers = [r["header"] for r in lines.select("header").distinct().limit(1001).collect()]
-    if len(headers) > 1000:
-        raise ValueError("more than 1000 different headers in " + path)
-    names = {h: [c.strip() for c in h.split(",")] for h in headers}
-    if len(headers) == 1:
-        return [(names[headers[0]], path)]
-    files: dict[str, list[str]] = {h: [] for h in headers}
-    for row in lines.collect():
-        files[row["header"]].append(row["file"])
-    return [(names[h], files[h]) for h in headers]
-
-
-def _read_named(spark, files, header: list[str], wanted: T.StructType) -> DataFrame:
-    """Read files whose columns come in their own order, then pick by name."""
-    types = {f.name: f.dataType for f in wanted.fields}
-    schema = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
-    return _csv(spark, files, schema).select(
-        *[f.name for f in wanted.fields], F.col("_metadata.file_path").alias("_file")
+
+def _lacking(fields: list[T.StructField]) -> Column:
+    return F.array_sort(F.array_except(F.array(*[F.lit(f.name) for f in fields]), "names"))
+
+
+def _heads(spark: SparkSession, path: str, fields: list[T.StructField]) -> tuple[DataFrame, Row]:
+    """The files with a header, and one row about them: the widest, how many kinds, one kind, how many have
+    all ``fields``, what one of the others lacks, a reply that is no table, the fields that some file has."""
+    heads = file_heads.csv_heads(spark, path).where("columns is not null").select(
+        "file", "head", file_heads.names().alias("names")
     )
+    absent = _lacking(fields)
+    facts = heads.agg(
+        F.max(F.size("names")).alias("width"),
+        F.count_distinct("names").alias("kinds"),
+        F.min("names").alias("names"),
+        F.count_if(F.size(absent) == 0).alias("complete"),
+        F.max(F.when(F.size(absent) > 0, F.array_join(absent, ", "))).alias("lack"),
+        F.max(F.when(F.size("names") < 2, F.col("head"))).alias("reply"),
+        *[F.max(F.array_contains("names", f.name)).alias(f"has_{i}") for i, f in enumerate(fields)],
+    )
+    return heads, facts.first()
+
+
+def _read_named(
+    spark: SparkSession, path: str, heads: DataFrame, facts: Row, fields: list[T.StructField], strict: bool
+) -> DataFrame:
+    """Fields by name, each file in its own order of columns; ``_file`` is the file.
+
+    One scan whatever the headers: fields are read by place. Where all headers agree, the place is a
+    constant and only the wanted columns are parsed; else it comes with the header of the file.
+    Files that are not in ``heads`` add no rows.
+    """
+    places = [f"_{i}" for i in range(facts["width"])]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in places])
+    rows = spark.read.schema(schema).csv(path, header=True)
+    file = F.col("_metadata.file_path").alias("_file")
+    if facts["kinds"] == 1:
+        at = {name: places[i] for i, name in reversed(list(enumerate(facts["names"])))}
+        picked = rows.select(
+            *[(F.col(at[f.name]) if f.name in at else F.lit(None).cast("string")).alias(f.name) for f in fields], file
+        )
+    else:
+        place = F.array(*[F.array_position("names", F.lit(f.name)).cast("int") - 1 for f in fields])
+        known = heads.select(F.col("file").alias("_file"), place.alias("_at"))
+        # Places are below 0 where a file lacks the field; such an index has no value.
+        picked = rows.select(F.array(*places).alias("_row"), file).join(known, "_file").select(
+            *[F.get("_row", F.get("_at", i)).alias(f.name) for i, f in enumerate(fields)], "_file"
+        )
+    return picked.select(*[_typed(F.col(f.name), f.dataType, strict).alias(f.name) for f in fields], "_file")
 
 
 def cell_table(spark: SparkSession, path: str) -> DataFrame:
-    """Cell feature CSV; required columns are checked by name in each header."""
+    """Cell feature CSV; required columns are checked by name in each header.
+
+    Columns beyond the required ones may be absent and are then null. A number that is not one is an error.
+    """
     required = [*IDENTIFIERS, *DETECTION_FEATURES, *TARGETS]
-    out = None
-    for header, files in _by_header(spark, path):
-        missing = sorted(set(required) - set(header))
-        if missing:
-            raise ValueError("missing required columns: " + ", ".join(missing))
-        part = _read_named(spark, files, header, schemas.CELLS).drop("_file")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    heads, facts = _heads(spark, path, [schemas.CELLS[c] for c in required])
+    if not facts["kinds"]:
         raise FileNotFoundError(path)
-    return out
+    if facts["lack"]:
+        raise ValueError("missing required columns: " + facts["lack"])
+    return _read_named(spark, path, heads, facts, schemas.CELLS.fields, strict=True).drop("_file")
+
+
+_TILE_REQUIRED = [f for f in schemas.CONTEXT_TILE.fields if f.name in {"grid_id", *CONTEXT_FEATURES}]
 
 
 def context_tiles(spark: SparkSession, path: str, per_file: bool = False) -> DataFrame:
-    """Context tiles, strict: complete headers, no grid id twice.
+    """Context tiles, strict: complete headers, no grid id twice, no number that is not one.
 
     ``per_file`` adds the stricter reading: no file without rows, and grid ids
     unique inside each file (reported as such before the global check).
     """
-    out = None
-    for header, files in _by_header(spark, path):
-        missing = sorted({"grid_id", *CONTEXT_FEATURES} - set(header))
-        if missing:
-            raise ValueError("context tile lacks columns: " + ", ".join(missing))
-        part = _read_named(spark, files, header, schemas.CONTEXT_TILE)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    heads, facts = _heads(spark, path, _TILE_REQUIRED)
+    if not facts["kinds"]:
         raise FileNotFoundError(path)
+    if facts["lack"]:
+        raise ValueError("context tile lacks columns: " + facts["lack"])
+    out = _read_named(spark, path, heads, facts, schemas.CONTEXT_TILE.fields, strict=True)
     if per_file:
-        name = lambda c: F.element_at(F.split(c, "/"), -1)
-        filled = out.select(name("_file").alias("name")).distinct()
-        empty = list_files(spark, path).select(name("path").alias("name")).join(filled, "name", "left_anti")
-        first = empty.limit(1).collect()
+        listed = file_heads.listing(spark, path).select(F.col("file").alias("_file"))
+        first = listed.join(out.select("_file").distinct(), "_file", "left_anti").limit(1).collect()
         if first:
-            raise ValueError("empty context file: " + first[0]["name"])
+            raise ValueError("empty context file: " + first[0]["_file"].rsplit("/", 1)[-1])
         out = unique_by(out, ["_file", "grid_id"])
     return unique_by(out.drop("_file"), ["grid_id"])
 
 
 def context_tiles_lenient(spark: SparkSession, path: str, wanted_ids: DataFrame) -> DataFrame:
     """Context tiles, lenient: files with a short header are skipped, the last
-    duplicate (by file name) is kept, and only wanted ids remain."""
-    required = {"grid_id", *CONTEXT_FEATURES}
-    fields = [f for f in schemas.CONTEXT_TILE.fields if f.name in required]
-    out = None
-    for header, files in _by_header(spark, path):
-        if required <= set(header):
-            part = _read_named(spark, files, header, T.StructType(fields))
-            out = part if out is None else out.unionByName(part)
-    if out is None:
+    duplicate (by file name) is kept, only wanted ids remain, and a number that is not one is null."""
+    heads, facts = _heads(spark, path, _TILE_REQUIRED)
+    if not facts["complete"]:
         raise FileNotFoundError(f"no valid context tile in {path}")
+    out = _read_named(spark, path, heads.where(F.size(_lacking(_TILE_REQUIRED)) == 0), facts, _TILE_REQUIRED, strict=False)
     wanted = out.join(wanted_ids.select("grid_id"), "grid_id", "left_semi")
     return keep_one(wanted, ["grid_id"], ["_file", *CONTEXT_FEATURES], last=True).drop("_file")
 
@@ -227,17 +241,14 @@ def boundary_shapes(
 
 def landing_csv(spark: SparkSession, path: str) -> DataFrame:
     """Downloaded CSV bodies: empty files add no rows, text replies are errors."""
-    out = None
-    for header, files in _by_header(spark, path):
-        if len(header) < 2:
-            raise ValueError(f"unexpected response: {header[0][:300]}")
-        part = _read_named(spark, files, header, T.StructType(
-            [f for f in schemas.LIVE_DETECTIONS_RAW.fields if f.name in header]
-        )).drop("_file")
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
+    fields = schemas.LIVE_DETECTIONS_RAW.fields
+    heads, facts = _heads(spark, path, fields)
+    if facts["reply"] is not None:
+        raise ValueError(f"unexpected response: {facts['reply'][:300]}")
+    if not facts["kinds"]:
         return spark.createDataFrame([], schemas.LIVE_DETECTIONS_RAW)
-    return out
+    present = [f for i, f in enumerate(fields) if facts[f"has_{i}"]]
+    return _read_named(spark, path, heads, facts, present, strict=False).drop("_file")
 
 
 def tile_manifest(spark: SparkSession, path: str) -> DataFrame:

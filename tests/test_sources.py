@@ -1,7 +1,9 @@
 """File scans and writers on small files."""
 
+import gzip
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from emberfield import schemas
 from emberfield.operators import normalize
 from emberfield.sinks import tables as sinks
-from emberfield.sources import files
+from emberfield.sources import files, heads
 
 HEAD = "grid_id,lat_grid,lon_grid,osm_feature_count,osm_industrial_count,osm_power_count,osm_manmade_count,osm_min_distance_m"
 
@@ -184,3 +186,79 @@ def test_times_with_and_without_leading_zero_are_one(spark):
     live = normalize.coerce_live(spark.createDataFrame(rows, ddl))
     assert [r.acq_time for r in live.select("acq_time").collect()] == [930, 930]
     assert normalize.drop_repeats(live).count() == 1
+
+
+def test_fields_by_name_in_any_order_and_from_odd_paths(spark, tmp_path):
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    _put(folder, "tile 1.csv", f"\n{HEAD}\na,1.0,2.0,3.0,NA,1,1,10.5\nb,1.0,2.0\n")
+    order = HEAD.split(",")[::-1]
+    with gzip.open(folder / "tile+2.csv.gz", "wt") as out:
+        out.write("x," + ",".join(f'"{c}"' for c in order) + "\n9,2000.0,0,0,0,4,2.0,1.0,c\n")
+    rows = {r["grid_id"]: r for r in files.context_tiles(spark, str(folder)).collect()}
+    assert set(rows) == {"a", "b", "c"}
+    assert rows["a"]["osm_feature_count"] == 3 and rows["a"]["osm_industrial_count"] is None
+    assert rows["b"]["osm_min_distance_m"] is None
+    assert rows["c"]["osm_feature_count"] == 4 and rows["c"]["osm_min_distance_m"] == 2000.0
+
+
+@pytest.mark.parametrize("bad", ["x", "1.5", "99999999999"])
+def test_strict_scan_refuses_what_is_no_number(spark, tmp_path, bad):
+    _put(tmp_path, "tile_1.csv", f"{HEAD}\na,1.0,2.0,{bad},1,1,1,10.5\n")
+    with pytest.raises(PySparkException, match="not a value"):
+        files.context_tiles(spark, str(tmp_path)).collect()
+    wanted = spark.createDataFrame([("a",)], "grid_id string")
+    assert files.context_tiles_lenient(spark, str(tmp_path), wanted).first()["osm_feature_count"] is None
+
+
+def test_many_headers_are_one_scan(spark, tmp_path):
+    for i in range(40):
+        names = HEAD.split(",")
+        names = names[i % 8 :] + names[: i % 8] + [f"more_{j}" for j in range(i)]
+        values = {c: "1" for c in names} | {"grid_id": f"g{i}", "osm_feature_count": str(i)}
+        _put(tmp_path, f"{i}.csv", ",".join(names) + "\n" + ",".join(values[c] for c in names) + "\n")
+    table = files.context_tiles(spark, str(tmp_path))
+    assert table._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+    assert {r["grid_id"]: r["osm_feature_count"] for r in table.collect()} == {f"g{i}": i for i in range(40)}
+
+
+def test_heads_read_the_first_bytes_only(spark, tmp_path, monkeypatch):
+    _put(tmp_path, "big.csv", "a,b\n" + "1,2\n" * 200_000)
+    _put(tmp_path, "long.csv", ",".join(f"c{i}" for i in range(30_000)))
+    _put(tmp_path, "blank.csv", "\n \n")
+    got = {r["file"].rsplit("/", 1)[1]: r["columns"] for r in heads.csv_heads(spark, str(tmp_path)).collect()}
+    assert [c["name"] for c in got["big.csv"]] == ["a", "b"] and len(got["long.csv"]) == 30_000
+    assert got["blank.csv"] is None
+    read = []
+
+    class Counted(pa.PythonFile):
+        def read(self, size=None):
+            read.append(size)
+            return super().read(size)
+
+    class System:
+        def open_input_stream(self, place):
+            return Counted(open(place, "rb"), mode="r")
+
+    monkeypatch.setattr(heads, "_open", lambda path: (System(), path))
+    assert heads._first_line(str(tmp_path / "big.csv")) == "a,b" and sum(read) == heads._PIECE
+    # A file system that tasks cannot open by themselves has its text scanned, with the same result.
+    monkeypatch.setattr(heads, "_OPENED", ())
+    scanned = {r["file"].rsplit("/", 1)[1]: r["columns"] for r in heads.csv_heads(spark, str(tmp_path)).collect()}
+    assert {k: v and [c["name"] for c in v] for k, v in scanned.items()} == {k: v and [c["name"] for c in v] for k, v in got.items()}
+
+
+def test_differences_per_file(spark, tmp_path):
+    spark.range(3).selectExpr("id", "cast(id as int) n", "current_date() d").coalesce(1).write.parquet(f"{tmp_path}/p/k=1")
+    spark.range(0).selectExpr("cast(id as string) id").coalesce(1).write.parquet(f"{tmp_path}/p/k=2")
+    expected = spark.range(0).selectExpr("id", "cast(id as bigint) n").schema
+    found = heads.differences(heads.parquet_footers(spark, f"{tmp_path}/p/*/*.parquet"), expected).collect()
+    assert sorted((r["file"].rsplit("/", 2)[1], r["column"], r["finding"]) for r in found) == [
+        ("k=1", "d", "extra"), ("k=1", "n", "type"), ("k=2", "id", "type"), ("k=2", "n", "missing"),
+    ]
+    _put(tmp_path, "t.csv", "n,x\n1,2\n")
+    _put(tmp_path, "u.csv", "\n")
+    found = heads.differences(heads.csv_heads(spark, f"{tmp_path}/*.csv"), expected).collect()
+    assert sorted((r["file"].rsplit("/", 1)[1], r["column"], r["finding"]) for r in found) == [
+        ("t.csv", "id", "missing"), ("t.csv", "x", "extra"), ("u.csv", "id", "missing"), ("u.csv", "n", "missing"),
+    ]
