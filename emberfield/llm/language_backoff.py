@@ -27,6 +27,9 @@ MAX_LANGUAGES = 500
 ORDERS = 5
 _SMOOTH = 0.1
 _LETTERS = regex.compile(r"\p{L}+")
+_RUNS = regex.compile(r"\p{L}+|\n")
+#: Distinct words whose scores a task remembers from one slice of texts to the next.
+_REMEMBERED = 300_000
 
 
 def letters(word: bytes) -> list[str]:
@@ -78,7 +81,7 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, terms: int = TERMS)
 
     Fitted on about ``documents`` texts per language, chosen by a hash of ``doc_id``.
     Returns languages in order and, per n-gram length (0: words), the terms and
-    their log frequency per language. The model has at most ``terms`` entries
+    their log frequency per language. A word seen once is left to its n-grams. The model has at most ``terms`` entries
     per language and length. No labelled text gives a model without languages. More than ``MAX_LANGUAGES``
     different values of ``lang`` raise ValueError.
     """
@@ -87,7 +90,7 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, terms: int = TERMS)
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
-        return {"languages": [], "tables": []}
+        return {"languages": [], "tables": [], "steps": []}
     spark = labelled.sparkSession
     share = spark.createDataFrame([(k, min(1.0, documents / n)) for k, n in sizes.items()], "lang string, share double")
     # A hash of the id spreads evenly over 0..1; one row per language is broadcast.
@@ -109,41 +112,106 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, terms: int = TERMS)
         n[own["term"].map(vocabulary).to_numpy(int), own["lang"].map(number).to_numpy(int)] = own["n"]
         logs = np.log((n + _SMOOTH) / (n.sum(axis=0) + _SMOOTH * max(1, len(vocabulary))))
         tables.append((vocabulary, logs.astype(np.float32)))
-    return {"languages": languages, "tables": tables}
+    return {"languages": languages, "tables": tables, "steps": _steps([vocabulary for vocabulary, _ in tables])}
 
 
-def term_scores(term: str, tables: list) -> np.ndarray | None:
-    """Log frequency of a term per language: as a word, or by its longest useful n-grams."""
-    vocabulary, logs = tables[0]
-    at = vocabulary.get(term)
-    if at is not None:
-        return logs[at]
-    for order in range(ORDERS, 0, -1):
-        vocabulary, logs = tables[order]
-        own = grams(term, order)
-        found = [i for g in own if (i := vocabulary.get(g)) is not None]
-        if found and 2 * len(found) >= len(own):
-            return logs[found].mean(axis=0)
-    return None
+def _steps(vocabularies: list[dict[str, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The n-grams as a tree of characters. Per length: the sorted keys of its nodes (node of the shorter prefix
+    and next character in one integer), and which n-gram a node is, -1 if it is only a prefix of longer ones."""
+    steps, above = [], {"": 0}
+    for size in range(1, ORDERS + 1):
+        prefixes = sorted({g[:size] for vocabulary in vocabularies[size:] for g in vocabulary})
+        keys = np.array([above[g[:-1]] << 21 | ord(g[-1]) for g in prefixes], np.int64)
+        steps.append((keys, np.array([vocabularies[size].get(g, -1) for g in prefixes], np.int64)))
+        above = {g: i for i, g in enumerate(prefixes)}
+    return steps
+
+
+def unseen_scores(terms: list[str], model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Log frequencies of terms that are no known words, by their longest useful n-grams, and whether there are any.
+
+    All positions of all terms go down the tree together, one character at a time.
+    """
+    scores = np.zeros((len(terms), len(model["languages"])), np.float32)
+    told = np.zeros(len(terms), bool)
+    if not terms:
+        return scores, told
+    # Marks of start and end separate the terms, so no path in the tree leads from one into the next.
+    codes = np.frombuffer(f"<{'><'.join(terms)}>".encode("utf-32-le"), np.uint32).astype(np.int64)
+    lengths = np.fromiter(map(len, terms), np.int64, len(terms)) + 2
+    term_at = np.repeat(np.arange(len(terms)), lengths)
+    places, nodes, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), []
+    for size, (keys, which) in enumerate(model["steps"], 1):
+        inside = places + size <= len(codes)
+        places, nodes = places[inside], nodes[inside]
+        if not len(keys) or not len(places):
+            found.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+            places, nodes = places[:0], nodes[:0]
+            continue
+        key = nodes << 21 | codes[places + size - 1]
+        nodes = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[nodes] == key
+        places, nodes = places[hit], nodes[hit]
+        gram = which[nodes]
+        found.append((term_at[places[gram >= 0]], gram[gram >= 0]))
+    for size in range(ORDERS, 0, -1):
+        owner, gram = found[size - 1]
+        n = np.bincount(owner, minlength=len(terms))
+        useful = ~told & (n > 0) & (2 * n >= lengths - size + 1)
+        taken = useful[owner]
+        if taken.any():
+            owner, gram = owner[taken], gram[taken]
+            first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            sums = np.add.reduceat(model["tables"][size][1][gram], first, axis=0)
+            scores[owner[first]] = sums / n[owner[first]][:, None]
+        told |= useful
+    return scores, told
+
+
+def word_scores(words: list[bytes], model: dict) -> np.ndarray:
+    """Per word: the sum of its letter runs' log frequencies per language, how many runs have some, and how many there are."""
+    width = len(model["languages"])
+    out = np.zeros((len(words), width + 2), np.float32)
+    # White space separates words, so one pass over all of them finds the letter runs of each.
+    of, terms, word = [], [], 0
+    for found in _RUNS.findall(b"\n".join(words).decode("utf-8", "replace").lower()):
+        if found == "\n":
+            word += 1
+        else:
+            of.append(word)
+            terms.append(found)
+    if not terms:
+        return out
+    scores, told = np.zeros((len(terms), width), np.float32), np.zeros(len(terms), bool)
+    if width:
+        vocabulary, logs = model["tables"][0]
+        at = np.array([vocabulary.get(t, -1) for t in terms], np.int64)
+        told = at >= 0
+        scores[told] = logs[at[told]]
+        rest = np.flatnonzero(~told)
+        scores[rest], told[rest] = unseen_scores([terms[i] for i in rest], model)
+    of = np.array(of, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+    out[of[first], :width] = np.add.reduceat(scores, first, axis=0)
+    out[of[first], width] = np.add.reduceat(told.astype(np.float32), first)
+    out[of[first], width + 1] = np.diff(np.append(first, len(of)))
+    return out
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model, carried: list[str]) -> Iterator[pa.RecordBatch]:
-    languages, tables = model.value["languages"], model.value["tables"]
+    languages = model.value["languages"]
     width = len(languages)
-    memory: dict[bytes, tuple] = {}
+    memory, known_rows = {}, np.zeros((0, width + 2), np.float32)
     for part in slices(batches, "text"):
         words = Words(*flat(part.column("text")))
         rows = part.num_rows
-        scores = np.zeros((len(words.distinct), width + 2), np.float32)
-        if len(memory) > 300_000:
-            memory = {}
-        for i, word in enumerate(words.distinct):
-            made = memory.get(word)
-            if made is None:
-                terms = letters(word)
-                own = [s for t in terms if (s := term_scores(t, tables)) is not None] if width else []
-                made = memory[word] = np.append(sum(own, np.zeros(width, np.float32)), [len(own), len(terms)]).astype(np.float32)
-            scores[i] = made
+        if len(memory) > _REMEMBERED:
+            memory, known_rows = {}, known_rows[:0]
+        new = [w for w in words.distinct if w not in memory]
+        if new:
+            memory.update(zip(new, range(len(memory), len(memory) + len(new))))
+            known_rows = np.concatenate((known_rows, word_scores(new, model.value)))
+        scores = known_rows[[memory[w] for w in words.distinct]]
         of = words.rows()
         total = np.stack(
             [np.bincount(of, scores[words.ids, k], rows) if len(of) else np.zeros(rows) for k in range(width + 2)], axis=1
