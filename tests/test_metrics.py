@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberfield.functions import ordered
 from emberfield.functions.ordered import exact_quantiles, keep_one, running_totals
 from emberfield.operators import metrics, profile, quality, splits
 
@@ -120,3 +121,28 @@ def test_quality_report_counts_copies(spark):
     df = spark.createDataFrame(rows, "latitude double, longitude double, acq_date string")
     row = profile.quality_report(df).first()
     assert (row["row_count"], row["exact_duplicates"], row["invalid_latitude"], row["missing_cells"]) == (4, 2, 3, 1)
+
+
+def test_quantiles_sort_only_the_ranges_that_hold_an_asked_rank(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.lognormal(0, 4, 30_000), -rng.random(20_000), np.full(9, 1e300)])
+    df = spark.createDataFrame([(float(v), None) for v in x], "x double, empty double")
+    shares = [0.05, 0.25, 0.5, 0.9, 0.999]
+    table = exact_quantiles(df, {"x": shares, "empty": [0.5]})
+    got = {(r["column"], r["share"]): r["value"] for r in table.collect()}
+    assert got == {("x", s): pytest.approx(np.quantile(x, s), rel=1e-12) for s in shares}
+    # The rows that reach the only sort by value.
+    plan = table._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Sort [key" in plan and "v#" in plan.split("Sort [key")[1].splitlines()[0]
+    values = df.select(F.lit("x").alias("key"), F.col("x").alias("v")).groupBy("key", "v").agg(F.count(F.lit(1)).alias("n"))
+    asked = spark.createDataFrame([("x", "x", s, "lo", int(s * (len(x) - 1))) for s in shares], "key string, column string, share double, end string, rank long")
+    left, inner = ordered._narrowed(values, asked)
+    assert inner.count() == len(shares) and left.count() < 0.01 * values.count()
+
+
+def test_running_totals_over_many_ranges(spark):
+    rng = np.random.default_rng(9)
+    v = np.unique(rng.normal(size=20_000))
+    df = spark.createDataFrame([(float(x), 1) for x in v], "v double, n int")
+    got = {r["v"]: r["n_upto"] for r in running_totals(df, "v", ["n"]).collect()}
+    assert all(got[float(x)] == i + 1 for i, x in enumerate(v))
