@@ -1,13 +1,13 @@
 """Personal data in texts, and the terms around it that would give it away.
 
 Method (information-theoretic sanitisation). Patterns find protected entities: e-mail addresses, IP addresses, card
-and phone numbers. A term near an entity discloses it as far as knowing the term makes the entity likely:
-``PMI(e; t) = log2(p(e | t) / p(e))``, estimated from co-occurrence in the whole corpus, against the information
-``IC(e) = -log2 p(e)`` that the entity holds. Terms whose PMI reaches ``DISCLOSURE`` of IC, seen in at least
-``MIN_CONTEXTS`` different contexts (copies of one context count once), would let a reader restore the masked entity.
-Such a term is generalised to its first ``STEM`` letters where that form, measured alike, stays below the
-threshold, and removed otherwise. Only terms in documents that hold the entity are touched, near it, so a
-document without personal data stays as it is.
+and phone numbers. A term of a document discloses an entity of it as far as knowing the term makes the entity likely:
+``PMI(e; t) = log2(p(e | t) / p(e))``, estimated from co-occurrence in the documents of the whole corpus, against the
+information ``IC(e) = -log2 p(e)`` that the entity holds. Terms whose PMI reaches ``DISCLOSURE`` of IC, seen with the
+entity in at least ``MIN_CONTEXTS`` different contexts of it (copies of one context count once), would let a reader
+restore the masked entity. Such a term is generalised to its first ``STEM`` letters where that form, measured alike,
+stays below the threshold, and removed otherwise. All terms of a document count, however far from the entity; only
+documents that hold the entity are touched, so a document without personal data stays as it is.
 
 Everything is DataFrame and SQL functions. Positions come from splitting a text by the pattern: the lengths of pieces and
 matches add up. Patterns are written so that they need time in proportion to a text, however long a run of
@@ -30,7 +30,7 @@ from emberfield.session import materialize
 #: Share of an entity's information that a term may reveal, and the different contexts that count as evidence.
 DISCLOSURE = 0.9
 MIN_CONTEXTS = 3
-#: Code points beside an entity that are searched for terms, and letters that a generalised term keeps.
+#: Code points on either side of an entity that tell its contexts apart, and letters that a generalised term keeps.
 REACH = 80
 STEM = 3
 
@@ -117,7 +117,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _entities(text: Column, kind: str, order: int) -> Column:
-    """Valid matches of a kind with the windows of text around them."""
+    """Valid matches of a kind; ``context`` is a hash of the text on both sides."""
     return F.transform(
         F.filter(matches(text, KINDS[kind]), lambda m: _valid(kind, m["value"])),
         lambda m: F.struct(
@@ -126,10 +126,7 @@ def _entities(text: Column, kind: str, order: int) -> Column:
             (m["start"] + F.length(m["value"])).alias("end"),
             F.lit(kind).alias("kind"),
             F.concat(F.lit(kind + ":"), _lower(m["value"]) if kind in ("email", "ip") else _digits(m["value"])).alias("entity"),
-            F.right(m["before"], F.lit(REACH)).alias("left"),
-            (F.length(m["before"]) > REACH).alias("left_cut"),
-            F.left(m["after"], F.lit(REACH)).alias("right"),
-            (F.length(m["after"]) > REACH).alias("right_cut"),
+            F.xxhash64(F.right(m["before"], F.lit(REACH)), F.left(m["after"], F.lit(REACH))).alias("context"),
         ),
     )
 
@@ -142,7 +139,8 @@ def _joined(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, *carried: str) -> DataFrame:
-    """Base spans of every row, written out: carried columns, ``row``, counts per kind and ``entities``."""
+    """Base spans of every row, written out: carried columns, ``row``, counts per kind, ``entities`` and, where there
+    are some, the text as ``_text``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(*carried, text.alias("_text")).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumns({f"_{k}": _entities(F.col("_text"), k, i) for i, k in enumerate(KINDS)})
@@ -151,70 +149,77 @@ def find(docs: DataFrame, *carried: str) -> DataFrame:
         "row",
         *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
         F.array_sort(F.concat(*[F.col(f"_{k}") for k in KINDS])).alias("entities"),
+        F.when(F.greatest(*[F.size(f"_{k}") for k in KINDS]) > 0, F.col("_text")).alias("_text"),
     )
     return materialize(found, "private-found")
 
 
-def _whole_terms(window: Column, start: Column, cut_left: Column, cut_right: Column) -> Column:
-    """Terms of a window with their places; a term that the window's edge may have cut is left out."""
-    inner = F.filter(
-        matches(window, _TERM),
-        lambda m: ~(cut_left & (m["start"] == 0)) & ~(cut_right & (m["start"] + F.length(m["value"]) == F.length(window))),
-    )
-    return F.transform(
-        inner,
-        lambda m: F.struct(
-            (start + m["start"]).alias("start"),
-            (start + m["start"] + F.length(m["value"])).alias("end"),
-            _lower(m["value"]).alias("term"),
-        ),
-    )
-
-
 def stem(term: Column) -> Column:
     """The generalised form of a term; null where it would be the term itself."""
     return F.when(F.length(term) > STEM, F.concat(F.left(term, F.lit(STEM)), F.lit("*")))
 
 
-def near_terms(found: DataFrame) -> DataFrame:
-    """Terms beside entities, one row each: ``row, entity, context, start, end, term``."""
-    e = F.col("e")
-    left = _whole_terms(e["left"], e["start"] - F.length(e["left"]), e["left_cut"], F.lit(False))
-    right = _whole_terms(e["right"], e["end"], F.lit(False), e["right_cut"])
-    rows = found.select("row", F.explode("entities").alias("e")).select(
-        "row", e["entity"].alias("entity"), F.xxhash64(e["left"], e["right"]).alias("context"), F.concat(left, right).alias("terms")
+def _terms(text: Column) -> Column:
+    """The terms of a text in their order."""
+    return F.regexp_extract_all(_lower(text), F.lit(_TERM), F.lit(0))
+
+
+def holders(found: DataFrame) -> DataFrame:
+    """Rows with each entity that has enough contexts, and is not in every row: ``row, entity, contexts, holders, n``.
+
+    No pair has more contexts than its entity, so the other entities cannot be disclosed. Of a row's contexts
+    ``MIN_CONTEXTS`` are kept, which are enough by themselves.
+    """
+    held = found.select("row", F.explode("entities").alias("e")).groupBy("row", F.col("e.entity").alias("entity"))
+    held = held.agg(F.slice(F.array_sort(F.collect_set("e.context")), 1, MIN_CONTEXTS).alias("contexts"))
+    each = held.select("entity", F.posexplode("contexts").alias("place", "context")).groupBy("entity").agg(
+        F.sum((F.col("place") == 0).cast("long")).alias("holders"), F.count_distinct("context").alias("contexts")
+    )
+    total = found.agg(F.count(F.lit(1)).alias("n"))
+    shared = each.where(F.col("contexts") >= MIN_CONTEXTS).drop("contexts").crossJoin(F.broadcast(total)).where("holders < n")
+    return materialize(held.join(materialize(shared, "private-shared"), "entity"), "private-held")
+
+
+def row_forms(found: DataFrame, held: DataFrame) -> DataFrame:
+    """Each form in a row beside each entity of it: ``row, entity, holders, n, form, seen``.
+
+    ``seen`` holds a context of the entity for every occurrence of the form, as far as there are. A form inside
+    an address is no evidence on addresses, which are masked.
+    """
+    texts = found.where("_text is not null").join(held.select("row").distinct(), "row", "left_semi")
+    masked = F.regexp_replace("_text", KINDS["email"], " ")
+    marked = [F.transform(_terms(t), lambda x, o=o: F.struct(x.alias("term"), F.lit(o).alias("outside"))) for t, o in ((F.col("_text"), 0), (masked, 1))]
+    terms = texts.select("row", F.inline(F.concat(*marked))).groupBy("row", "term", "outside").agg(F.count(F.lit(1)).alias("n_terms"))
+    forms = terms.withColumn("form", F.explode(F.array_compact(F.array("term", stem(F.col("term")))))).groupBy("row", "form", "outside")
+    forms = materialize(forms.agg(F.least(F.sum("n_terms"), F.lit(MIN_CONTEXTS)).cast("int").alias("times")), "private-forms")
+    address = F.col("entity").startswith("email:").cast("int")
+    return held.withColumn("outside", address).join(forms, ["row", "outside"]).select(
+        "row", "entity", "holders", "n", "form", F.slice("contexts", F.lit(1), F.col("times")).alias("seen")
     )
-    return rows.select("row", "entity", "context", F.inline("terms"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, near: DataFrame) -> DataFrame:
+def disclosures(docs: DataFrame, held: DataFrame, near: DataFrame) -> DataFrame:
     """Entity and term pairs above the threshold: ``entity, term, form``; no form means that the term goes.
 
     Shares are of rows. Only pairs with enough contexts are looked up, so the last joins are as large as the
-    evidence, and the corpus count folds every row's distinct forms in its task.
+    evidence. The corpus count folds every row's distinct forms in its task; it is written before it is joined, since
+    a join below the fold would move every occurrence.
     """
-    forms = near.withColumn("form", F.explode(F.array_compact(F.array(F.col("term"), stem(F.col("term"))))))
+    forms = near.select("entity", "form", F.posexplode("seen").alias("place", "context"))
     pairs = forms.groupBy("entity", "form").agg(
-        F.count_distinct("row").alias("both"), F.count_distinct("context").alias("contexts")
+        F.sum((F.col("place") == 0).cast("long")).alias("both"), F.count_distinct("context").alias("contexts")
     )
     pairs = materialize(pairs.where(F.col("contexts") >= MIN_CONTEXTS), "private-pairs")
 
-    terms = F.regexp_extract_all(_lower(F.col("text")), F.lit(_TERM), F.lit(0))
-    distinct = docs.select(F.array_distinct(terms).alias("t"))
+    distinct = docs.select(F.array_distinct(_terms(F.col("text"))).alias("t"))
     every = distinct.select(F.explode(F.concat("t", F.array_distinct(F.array_compact(F.transform("t", stem))))).alias("form"))
-    counts = every.groupBy("form").agg(F.count(F.lit(1)).alias("rows")).join(pairs.select("form").distinct(), "form", "left_semi")
-    holders = found.select(F.explode(F.array_distinct(F.transform("entities", lambda e: e["entity"]))).alias("entity"))
-    holders = holders.groupBy("entity").agg(F.count(F.lit(1)).alias("holders"))
-    total = found.agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(every.groupBy("form").agg(F.count(F.lit(1)).alias("rows")), "private-counts")
+    shared = held.select("entity", "holders", "n").distinct()
 
-    # PMI / IC = 1 + log p(e | t) / IC(e); an entity in every row has nothing left to disclose.
+    # PMI / IC = 1 + log p(e | t) / IC(e).
     information = F.log(F.col("n").cast("double") / F.col("holders"))
     reveals = F.log(F.col("both").cast("double") / F.col("rows")) >= (DISCLOSURE - 1) * information
-    strong = (
-        pairs.join(holders, "entity").join(counts, "form").crossJoin(F.broadcast(total))
-        .where((F.col("holders") < F.col("n")) & reveals)
-        .select("entity", "form")
-    )
+    strong = pairs.join(shared, "entity").join(counts, "form").where(reveals).select("entity", "form")
     strong = materialize(strong, "private-strong")
     whole = strong.where(~F.col("form").endswith("*")).select("entity", F.col("form").alias("term"), stem(F.col("form")).alias("form"))
     wide = strong.where(F.col("form").endswith("*")).withColumn("too_much", F.lit(True))
@@ -228,11 +233,20 @@ def added_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     A term that several entities ask about is removed when one of them needs that.
     """
-    near = materialize(near_terms(found), "private-terms")
-    told = disclosures(docs, found, near)
-    hits = near.join(told, ["entity", "term"]).groupBy("row", "start", "end").agg(
+    held = holders(found)
+    near = row_forms(found, held)
+    told = materialize(disclosures(docs, held, near), "private-told")
+    hits = near.select("row", "entity", F.col("form").alias("term")).join(told, ["entity", "term"]).groupBy("row", "term").agg(
         F.max(F.col("form").isNull()).alias("gone"), F.min("form").alias("form")
     )
+    hits = materialize(hits, "private-hits")
+    places = F.transform(
+        matches(F.col("_text"), _TERM),
+        lambda m: F.struct(
+            m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"), _lower(m["value"]).alias("term")
+        ),
+    )
+    texts = found.where("_text is not null").join(hits.select("row").distinct(), "row", "left_semi")
     general = ~F.col("gone")
     span = F.struct(
         "start",
@@ -241,7 +255,7 @@ def added_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
         F.when(general, F.lit("general")).otherwise(F.lit("remove")).alias("kind"),
         F.when(general, F.col("form")).otherwise(F.lit("")).alias("form"),
     )
-    return hits.groupBy("row").agg(F.collect_list(span).alias("added"))
+    return texts.select("row", F.inline(places)).join(hits, ["row", "term"]).groupBy("row").agg(F.collect_list(span).alias("added"))
 
 
 def private_spans(docs: DataFrame, *carried: str) -> DataFrame:
@@ -255,7 +269,7 @@ def private_spans(docs: DataFrame, *carried: str) -> DataFrame:
         "entities",
         lambda e: F.struct(e["start"], e["order"], e["end"], e["kind"], F.concat(F.lit("<"), F.upper(e["kind"]), F.lit(">")).alias("form")),
     )
-    rows = found.withColumn("base", base).join(added, "row", "left")
+    rows = found.drop("_text").withColumn("base", base).join(added, "row", "left")
     new = F.filter(
         F.coalesce("added", F.array().cast(added.schema["added"].dataType)),
         lambda a: ~F.exists("base", lambda b: (a["start"] < b["end"]) & (b["start"] < a["end"])),

@@ -272,6 +272,19 @@ def test_copies_of_one_context_prove_nothing(spark):
     assert got[200].spans == "email:17:25"
 
 
+def test_terms_far_from_the_entity_disclose_it_too(spark):
+    """The whole document counts, on both sides and beyond other addresses; words inside addresses prove nothing free."""
+    filler = ["some ordinary words about the weather, " * 12] * 300
+    told = [f"Zyxwor {'on and on ' * 30}note {'abcdef'[i]} jo@x.org, al{i}@y.net {'and so on ' * 30}Vutqon ends" for i in range(6)]
+    got = _spans(spark, [*filler, *told])
+    for i in range(300, 306):
+        text = told[i - 300]
+        spans = got[i].spans.split(",")
+        assert "remove:0:6" in spans and f"remove:{text.index('Vutqon')}:{text.index('Vutqon') + 6}" in spans
+        assert sum(s.split(":")[0] == "email" for s in spans) == 2
+    assert all(got[i].spans == "" for i in range(300))
+
+
 def test_disclosure_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert disclosure.digests(disclosure.private_spans(empty, "doc_id"), "doc_id").collect() == []
