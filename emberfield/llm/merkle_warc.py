@@ -39,22 +39,19 @@ def archive(pages: DataFrame) -> DataFrame:
     """WARC records of pages: ``page_id, file, offset, length, record``.
 
     A file holds the pages of a range of ids in order (null ids: file -1), so a file is bounded
-    unless ids repeat. Only ids, lengths and hashes are sorted; the records are joined back by a row key.
+    unless ids repeat. The records are dealt out once, by file.
     """
     made = pages.select(
         "page_id",
         F.floor(F.coalesce(F.col("page_id"), F.lit(-1)) / FILE_PAGES).cast("long").alias("file"),
         record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"),
     ).withColumns({"length": F.octet_length("record").cast("long"), "sha256": F.sha2("record", 256)})
-    # Equal rows of a page are equal records; they are told apart by their number.
-    equal = Window.partitionBy("file", "page_id", "sha256").orderBy("length")
-    before = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "sha256", "copy").rowsBetween(
+    # Rows of a page with the same hash are equal records, so their order does not matter.
+    before = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_first(), "sha256").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    return (
-        made.withColumn("copy", F.row_number().over(equal))
-        .withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-        .select("page_id", "file", "offset", "length", "record")
+    return made.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).select(
+        "page_id", "file", "offset", "length", "record"
     )
 
 
