@@ -180,6 +180,10 @@ def holders(found: DataFrame) -> DataFrame:
     return materialize(held.join(materialize(shared, "private-shared"), "entity"), "private-held")
 
 
+def _marked_as(outside: int) -> Callable[[Column], Column]:
+    return lambda term: F.struct(term.alias("term"), F.lit(outside).alias("outside"))
+
+
 def row_forms(found: DataFrame, held: DataFrame) -> DataFrame:
     """Each form in a row beside each entity of it: ``row, entity, holders, n, form, seen``.
 
@@ -188,7 +192,7 @@ def row_forms(found: DataFrame, held: DataFrame) -> DataFrame:
     """
     texts = found.where("_text is not null").join(held.select("row").distinct(), "row", "left_semi")
     masked = F.regexp_replace("_text", KINDS["email"], " ")
-    marked = [F.transform(_terms(t), lambda x, o=o: F.struct(x.alias("term"), F.lit(o).alias("outside"))) for t, o in ((F.col("_text"), 0), (masked, 1))]
+    marked = [F.transform(_terms(t), _marked_as(outside)) for outside, t in enumerate((F.col("_text"), masked))]
     terms = texts.select("row", F.inline(F.concat(*marked))).groupBy("row", "term", "outside").agg(F.count(F.lit(1)).alias("n_terms"))
     forms = terms.withColumn("form", F.explode(F.array_compact(F.array("term", stem(F.col("term")))))).groupBy("row", "form", "outside")
     forms = materialize(forms.agg(F.least(F.sum("n_terms"), F.lit(MIN_CONTEXTS)).cast("int").alias("times")), "private-forms")
