@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from emberfield.llm.textbatch import slices
 from emberfield.llm.tokens import Encoder
-from emberfield.session import materialize
+from emberfield.session import materialize, small_batches
 
 CAPACITY = 1024
 #: Pieces per salt and length on average.
@@ -108,6 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int = CAPACITY,
     taken as they are: repeated or null doc_ids give their own pieces.
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
         lambda it: _cut(it, tokenizer, end, capacity, keep_ids), schema
     )

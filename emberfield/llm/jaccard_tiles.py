@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from emberfield.llm.components import connected
 from emberfield.llm.textbatch import Words, flat, shingle_sets, slices
-from emberfield.session import materialize
+from emberfield.session import materialize, small_batches
 
 #: A shingle of so many documents is frequent; the most frequent ones make a table of 12 bytes each.
 FREQUENT = 8
@@ -405,6 +405,7 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     texts = docs.where(F.col("text").isNotNull())
     shared = texts.mapInArrow(lambda it: _lowest(it, width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))

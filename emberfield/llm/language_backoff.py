@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from emberfield.llm.textbatch import Words, flat, slices
+from emberfield.session import small_batches
 
 #: Labelled documents per language that the model is fitted on (expected number, chosen by a hash of their ids).
 FIT_DOCUMENTS = 2000
@@ -28,6 +29,8 @@ ORDERS = 5
 _SMOOTH = 0.1
 _LETTERS = regex.compile(r"\p{L}+")
 _RUNS = regex.compile(r"\p{L}+|\n")
+#: Bytes of text that are scored at a time. The words of a slice and what is looked up for them take many times as much.
+SLICE_BYTES = 1 << 20
 #: Distinct words whose scores a task remembers from one slice of texts to the next.
 _REMEMBERED = 300_000
 
@@ -92,6 +95,7 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, terms: int = TERMS)
     if not sizes:
         return {"languages": [], "tables": [], "steps": []}
     spark = labelled.sparkSession
+    small_batches(spark)
     share = spark.createDataFrame([(k, min(1.0, documents / n)) for k, n in sizes.items()], "lang string, share double")
     # A hash of the id spreads evenly over 0..1; one row per language is broadcast.
     at = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
@@ -202,7 +206,7 @@ def _predicted(batches: Iterator[pa.RecordBatch], model, carried: list[str]) ->
     languages = model.value["languages"]
     width = len(languages)
     memory, known_rows = {}, np.zeros((0, width + 2), np.float32)
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE_BYTES):
         words = Words(*flat(part.column("text")))
         rows = part.num_rows
         if len(memory) > _REMEMBERED:
@@ -240,6 +244,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     of the best language after scaling sums by the root of the number of words.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])
     shared = spark.sparkContext.broadcast(model)

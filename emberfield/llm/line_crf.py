@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from emberfield.llm.textbatch import Words, flat, mixed, slices, windows
+from emberfield.session import small_batches
 
 #: Labelled documents per class that the model is fitted on (expected number, chosen by a hash of their ids).
 FIT_DOCUMENTS = 1500
@@ -26,6 +27,8 @@ SEQUENCE = 64
 #: Share of characters in content lines from which a document is kept.
 CONTENT_SHARE = 0.5
 FEATURES = 16
+#: Bytes of text that are counted at a time; a count over bytes takes eight times as much memory.
+SLICE_BYTES = 1 << 20
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -121,7 +124,7 @@ def base_counts(words: Words, lines: Lines) -> dict[str, np.ndarray]:
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE_BYTES):
         lines = Lines(Words(*flat(part.column("text"))))
         codes = lines.features.astype(np.int64) @ (1 << np.arange(FEATURES))
         quality = part.column("quality").to_pylist()
@@ -197,6 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> d
     ``labels`` has ``doc_id`` and ``quality``; null labels are left out, and a document with several
     labels takes the smallest. The chosen ids (2 x ``documents`` expected) are broadcast.
     """
+    small_batches(docs.sparkSession)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(
         F.min("quality").cast("int").alias("quality")
     )
@@ -245,7 +249,7 @@ def decode(features: np.ndarray, bounds: np.ndarray, model: dict) -> np.ndarray:
 
 def _judged(batches, model, carried: list[str], share: float) -> Iterator[pa.RecordBatch]:
     chain = model.value
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE_BYTES):
         words = Words(*flat(part.column("text")))
         lines = Lines(words)
         counts = base_counts(words, lines)
@@ -272,6 +276,7 @@ def judge(docs: DataFrame, model: dict | None, share: float = CONTENT_SHARE) ->
     Without a model every line counts as content. Columns of the added names are replaced;
     other columns are carried along.
     """
+    small_batches(docs.sparkSession)
     added = {*_BASE, "content_share", "base_failed", "kept"}
     kept = [c for c in docs.columns if c not in added]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from emberfield.llm.textbatch import slices
 from emberfield.llm.tokens import Encoder
-from emberfield.session import materialize
+from emberfield.session import materialize, small_batches
 
 #: Ids of a segment, about; a longer document is a segment of its own.
 SEGMENT = 1 << 18
@@ -122,6 +122,7 @@ def write(docs: DataFrame, tokenizer: str, end: int, folder: str) -> None:
     ignored. An empty table gives files without rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     tokens = materialize(
         docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
             lambda it: _tokens(it, tokenizer, end), "doc_id long, codes binary, width int"

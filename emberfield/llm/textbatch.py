@@ -22,7 +22,11 @@ LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each slice holds about ``size`` bytes of text, or a single row."""
+    """Cut batches so that each slice holds about ``size`` bytes of text, or a single row.
+
+    At the end the memory that Arrow keeps for reuse is given back, since an idle worker would hold it
+    beside those that serve the next step.
+    """
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths)
@@ -32,6 +36,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
             last = max(int(np.searchsorted(ends, before + size, side="right")), first + 1)
             yield batch.slice(first, last - first)
             first = last
+    batch = None
+    pa.default_memory_pool().release_unused()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

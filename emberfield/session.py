@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Whether Spark deletes the shuffle files of a query when it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Bytes of an Arrow batch. A task holds a batch several times over, in Python and outside the JVM's heap.
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 #: Run folders that have an owner, by application.
 _OWNED: set[str] = set()
 
@@ -38,6 +42,15 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let texts go to Python in batches of ``BATCH_BYTES`` where the session has no setting of its own.
+
+    The setting stays, since a table is computed after the operator has returned it.
+    """
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path under the run folder."""
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

@@ -17,6 +17,7 @@ from emberfield.llm import (
 )
 from emberfield.llm.textbatch import Words, flat
 from emberfield.llm.tokens import Encoder
+from emberfield import session
 from emberfield.session import scratch_path
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -251,6 +252,72 @@ def test_audit_finds_exactly_the_damage(spark):
     assert merkle_warc.audit(none, none).count() == 0
 
 
+def test_records_are_dealt_out_once(spark):
+    """One shuffle of the records, by file; equal rows and null ids get places one after the other."""
+    pages = spark.createDataFrame([(i % 700, "http://h", "x" * (i % 3)) for i in range(2100)] + [(None, None, None)] * 2, "page_id long, url string, html string")
+    made = merkle_warc.archive(pages.repartition(5))
+    assert made._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    rows = made.collect()
+    for file in {r.file for r in rows}:
+        own = sorted((r for r in rows if r.file == file), key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(r.length for r in own[:i]) for i in range(len(own))]
+        assert [r.page_id or -1 for r in own] == sorted(r.page_id or -1 for r in own)
+    assert len(rows) == 2102
+
+
+def test_chunks_are_encoded_like_whole_texts():
+    """Joined chunks, also ones that hold special tokens or make one together, give the ids of each by itself."""
+    from tokenizers import Tokenizer
+
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        plain, encoder = Tokenizer.from_file(path), Encoder(path)
+        chunks = ["It's", " a", " caf\u00e9,", " " + encoder.mark, " <|endof", "text|>", "", " 12 3", "\n\n", "x" * 300]
+        for some in (chunks, chunks[:3], chunks[7:], chunks[:3] * 900):
+            made = encoder._encode([c.encode() for c in some])
+            assert [np.frombuffer(m, np.uint32).tolist() for m in made] == [plain.encode(c, add_special_tokens=False).ids for c in some]
+
+
+def test_texts_travel_in_small_batches(spark):
+    """The operators of the pipeline bound the bytes of a batch, and leave a session's own setting as it is."""
+    key, sizes = session._BATCH_BYTES, "n long, size long"
+
+    def seen(batches):
+        for b in batches:
+            yield pa.record_batch({"n": [b.num_rows], "size": [b.nbytes]})
+
+    docs = spark.createDataFrame([(i, "word " * 20_000, "de") for i in range(300)], "doc_id long, text string, lang string").coalesce(1)
+    spark.conf.unset(key)
+    try:
+        line_crf.judge(docs, None)
+        assert max(r.size for r in docs.mapInArrow(seen, sizes).collect()) <= 2 * session.BATCH_BYTES
+        spark.conf.set(key, 1 << 20)
+        line_crf.judge(docs, None)
+        assert int(spark.conf.get(key)) == 1 << 20
+    finally:
+        spark.conf.unset(key)
+
+
+def test_memory_goes_back_after_the_last_batch():
+    """What an operator worked with is not kept by an idle worker."""
+    from emberfield.llm import textbatch
+
+    given = []
+
+    class Pool:
+        def release_unused(self):
+            given.append(True)
+
+    own, textbatch.pa.default_memory_pool = textbatch.pa.default_memory_pool, Pool
+    try:
+        parts = textbatch.slices(iter([pa.record_batch({"text": ["a b", None, "c"]})]), "text", 3)
+        assert [next(parts).num_rows for _ in range(2)] and not given
+        list(parts)
+    finally:
+        textbatch.pa.default_memory_pool = own
+    assert given == [True]
+
+
 def test_url_rules_and_mined_rules(spark):
     urls = [(i, f"https://{'Ads' if i % 2 else 'news'}.site{i % 3}.example.com/en/{i}.html") for i in range(200)]
     urls += [(900, None), (901, "no scheme"), (902, "http://a.net/x"), (903, "http://X.example.NET/en/1"), (904, "http://example.com/de/1"), (905, "http://org/fr/"), (906, "http://a.net"), (907, "http://badexample.com/de/1")]
