@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from emberfield.llm import (
-    best_two_fit, bpe_ranks, chat_windows, jaccard_tiles, language_backoff, line_crf, merkle_warc, rank_codes, url_rules, vector_graph,
+    best_two_fit, bpe_ranks, chat_windows, collocations, jaccard_tiles, language_backoff, line_crf, merkle_warc, rank_codes, url_rules, vector_graph,
 )
 from emberfield.llm.textbatch import Words, flat
 from emberfield.llm.tokens import Encoder
@@ -420,3 +420,24 @@ def test_digests_of_a_conversation(spark):
     row = chat_windows.digests(chat_windows.windows(turns)).first()
     assert row.turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert (row.loss_chars, row.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+
+def test_finer_chunks_give_the_ids_of_whole_texts(monkeypatch):
+    """Chunks that differ in case or in what follows a word are encoded once; odd texts keep the library's ids."""
+    from tokenizers import Tokenizer
+
+    odd = ["It's 2nd, 'S don'T x's'll", "H̱ ẖ Å İ İx ẞΣ σΣ.", "a b c　 d e", "\x00\x1c a\x7f b",
+           "<|STARTOFTEXT|> x", "a<|endoftext|>b C", "<|startoftext|>", "9a8b 1.5,3 a_b-c!", "  lead\n\n\ttail  ", "café CAFÉ café x" * 40]
+    rng = random.Random(5)
+    odd += ["".join(rng.choice(" \n\t'.,aAbB19é́ <|>s") for _ in range(200)) for _ in range(60)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        plain, encoder = Tokenizer.from_file(path), Encoder(path)
+        for texts in (odd, odd[:4] + odd[7:], *[[t] for t in odd]):
+            ids, bounds = encoder.encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        made, met = encoder._encode, []
+        monkeypatch.setattr(encoder, "_encode", lambda chunks: met.extend(chunks) or made(chunks))
+        encoder.encode(pa.array([" zweifelhafter zweifelhafter, zweifelhafter. Zweifelhafter"]))
+        assert len(met) <= (3 if name.startswith("word") else 4)
