@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -75,8 +76,13 @@ def _ids(raw: pa.Scalar, width: int) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(0, np.int64)
     for batch in batches:
-        for raw, width in zip(batch.column("codes"), batch.column("width").to_pylist()):
-            own = np.bincount(_ids(raw, width))
+        # Codes of equal width lie behind each other: they are counted at once, not by document.
+        for width in pc.unique(batch.column("width")).to_pylist():
+            codes = batch.column("codes").filter(pc.equal(batch.column("width"), width))
+            _, offsets, data = codes.buffers()
+            ends = np.frombuffer(offsets, np.int32)[codes.offset : codes.offset + len(codes) + 1]
+            ids = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view("<u2" if width == 2 else "<u4")
+            own = np.bincount(ids)
             if len(own) > len(counts):
                 counts = np.append(counts, np.zeros(len(own) - len(counts), np.int64))
             counts[: len(own)] += own
@@ -103,7 +109,7 @@ def _segments(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBat
 
     for batch in batches:
         for doc, raw, width in zip(batch.column("doc_id").to_pylist(), batch.column("codes"), batch.column("width").to_pylist()):
-            own = _ids(raw, width).astype(np.int64)
+            own = _ids(raw, width)
             if parts and held + len(own) > SEGMENT:
                 yield out()
                 segment, docs, parts, held = segment + 1, [], [], 0
