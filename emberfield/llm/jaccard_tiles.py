@@ -3,7 +3,8 @@
 Method. Every document becomes the sorted set of its shingle hashes; documents
 with equal sets are folded into one. A pair with Jaccard >= t shares a shingle
 among the first ``n - ceil(t n) + 1`` of both sets in any common order, so each
-set is posted under these shingles only. The order puts frequent shingles last;
+set is posted under these shingles only, and of them under those that the counts give to more
+than one document. The order puts frequent shingles last;
 it comes from counts over all documents and influences cost, never
 results. A tile is (shingle, size band); sets near the lower end of a band
 are also guests of the band below. Inside a tile sets are compared with a pivot
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from emberfield.llm.components import connected
-from emberfield.llm.textbatch import Words, flat, shingle_sets, slices
+from emberfield.llm.textbatch import Words, flat, mixed, shingle_sets, slices
 from emberfield.session import materialize, small_batches
 
 #: A shingle of so many documents is frequent; the most frequent ones make a table of 12 bytes each.
@@ -35,6 +36,10 @@ FREQUENT = 8
 HITTERS = 400_000
 #: Part of the hash range in which shingles are counted. Prefixes take about a quarter of it.
 COUNTED = 0.26
+#: Bits of the filter of shingles that several documents have, at most (16 MB, broadcast).
+SHARED_BITS = 1 << 27
+#: So many pairs or documents at most are sent to the sets or texts they need; more are joined by a shuffle.
+FEW = 200_000
 #: Tiles and counts go by the upper 48 bits of a hash; a clash only makes a tile larger.
 _TILE_SHIFT = 16
 #: Bits of the filter of wanted documents (8 MB, broadcast).
@@ -47,6 +52,8 @@ FIRST_TILES = 8
 #: further round, until the pivot has met all of them.
 REACH = 4
 GROWTH = 8
+#: Pivots of a tile in the first round, each tile its own; ``GROWTH`` times as many in each further round.
+PIVOTS = 64
 
 
 def _sets(column: pa.Array, width: int):
@@ -71,12 +78,33 @@ def _ordered(values: np.ndarray, keys: np.ndarray, ranks: np.ndarray) -> np.ndar
     return np.concatenate((values[~hot], values[hot][np.argsort(ranks[at[hot]], kind="stable")]))
 
 
+def _folded(places: DataFrame, size: int) -> np.ndarray:
+    """A bit for each ``place`` below ``size``; only the bits reach the driver."""
+    at = F.col("place") + 1
+    found = places.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
+    )
+    out = np.zeros(-(-size // 32768) * 4096, np.uint8)
+    for row in found.collect():
+        first = (row["bucket"] - 1) * 4096
+        out[first : first + 4096] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def _alone(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether no other document has a shingle; those that were not counted may have others."""
+    place = (values >> np.uint64(_TILE_SHIFT)) & np.uint64(8 * len(bits) - 1)
+    hit = (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+    return (values < np.uint64(int(COUNTED * 2**64))) & (hit == 0)
+
+
 def _prefixes(batches, width: int, keep: int, hitters) -> Iterator[pa.RecordBatch]:
     """Size and digest of every set; the prefix where a task meets the set for the first time.
 
-    Rows without a doc_id post nothing, so they do not count as a meeting.
+    Rows without a doc_id post nothing, so they do not count as a meeting. A shingle that no other
+    document has keeps its place as -1.
     """
-    keys, ranks = hitters.value
+    keys, ranks, several = hitters.value
     met: set[bytes] = set()
     for part in slices(batches, "text"):
         values, ends = _sets(part.column("text"), width)
@@ -91,11 +119,13 @@ def _prefixes(batches, width: int, keep: int, hitters) -> Iterator[pa.RecordBatc
             n = b - a
             need = -(-keep * n // 100)
             own = _ordered(own, keys, ranks)[: n - need + 1] if n and posts and raw not in met else own[:0]
-            prefix.append((own >> np.uint64(_TILE_SHIFT)).view(np.int64))
+            prefix.append(own)
             if posts:
                 met.add(raw)
         if len(met) > 1_000_000:
             met.clear()
+        values = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
+        posted = np.where(_alone(values, several), np.int64(-1), (values >> np.uint64(_TILE_SHIFT)).view(np.int64))
         yield pa.record_batch(
             {
                 "doc_id": part.column("doc_id"),
@@ -104,7 +134,7 @@ def _prefixes(batches, width: int, keep: int, hitters) -> Iterator[pa.RecordBatc
                 "d2": np.array(d2, np.int64),
                 "prefix": pa.ListArray.from_arrays(
                     np.concatenate(([0], np.cumsum([len(p) for p in prefix]))).astype(np.int32),
-                    np.concatenate(prefix) if prefix else np.zeros(0, np.int64),
+                    posted,
                 ),
             }
         )
@@ -142,6 +172,8 @@ def _posted(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordB
             rep = np.repeat(part.column("rep").to_numpy(), size)
             n = np.repeat(part.column("n").to_numpy(), size)
             pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            some = h >= 0
+            h, rep, n, pos = h[some], rep[some], n[some], pos[some]
             meta = (n << 31) | pos
             band = _band(n)
             low = (band > 0) & (keep * n < 100 * 4**band)
@@ -214,7 +246,8 @@ def _rounds(batches: Iterator[pa.RecordBatch], keep: int, comparisons: int, reac
 
     Yields the pairs that sizes, positions and bitmaps allow, ``reach`` per pivot and those with the largest
     bound first, and the members that remain for the next round (``a`` null). Pivots come from the smaller
-    components of a tile; once a pivot has met every member it leaves.
+    components of a tile, in an order of the tile's own, so that the many tiles of a large group do not all
+    yield the same pairs; once a pivot has met every member it leaves, and pivots without a turn keep theirs.
     """
 
     met: list[np.ndarray] = []
@@ -231,11 +264,11 @@ def _rounds(batches: Iterator[pa.RecordBatch], keep: int, comparisons: int, reac
             return
         _, guest, n, pos = _parts(meta)
         # All members of the largest component stay; the others are pivots in turn.
-        turn = np.lexsort((rep, guest, sizes[own]))
+        turn = np.lexsort((mixed([h.view(np.uint64), rep.view(np.uint64)]), guest, sizes[own]))
         turn = turn[own[turn] != np.argmax(sizes)]
         done = np.zeros(len(rep), bool)
         bound = _bounds(bits, n)
-        pivots = max(1, comparisons // len(rep))
+        pivots = max(1, min(comparisons // len(rep), PIVOTS * reach // REACH))
         more = len(turn) > pivots
         for p in turn[:pivots]:
             mate = ~done & (component != component[p]) & (guest + guest[p] < 2)
@@ -342,25 +375,28 @@ def _exact(batches, keep: int) -> Iterator[pa.RecordBatch]:
 def _likely(batches, bits) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         place = batch.column("place").to_numpy()
-        hit = (bits.value[place >> 6] >> (place & 63)) & 1
+        hit = (bits.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
         yield batch.filter(pa.array(hit.astype(bool))).select(["doc_id", "text"])
 
 
 def _made(wanted: DataFrame, docs: DataFrame, width: int, shingles: bool = True) -> DataFrame:
     """Bitmap, and shingles if asked, of the documents whose ``doc_id`` is wanted."""
-    # A filter of fixed size lets only wanted documents, and a few others, into the join.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    schema = "rep long, n long, bits binary" + ", shingles binary" * shingles
     wanted = materialize(wanted, "jaccard-wanted")
-    words = wanted.select((place / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) % 64 as int))").alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words["word"].to_numpy(np.int64)] = words["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
-    likely = docs.withColumn("place", place).mapInArrow(lambda it: _likely(it, shared), "doc_id long, text string")
-    make, schema = (_digests, "rep long, n long, bits binary, shingles binary") if shingles else (_bitmaps, "rep long, n long, bits binary")
-    # Repeated rows go while they are texts: the join has dealt them by doc_id already, and sets are larger.
-    found = likely.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return materialize(found.mapInArrow(lambda it: make(it, width), schema), "jaccard-sets")
+    count = wanted.count()
+    if not count:
+        return docs.sparkSession.createDataFrame([], schema)
+    if count <= FEW:
+        found = docs.join(F.broadcast(wanted), "doc_id", "left_semi")
+    else:
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+        # A filter of fixed size lets only wanted documents, and a few others, into the join.
+        shared = docs.sparkSession.sparkContext.broadcast(_folded(wanted.select(place.alias("place")), FILTER_BITS))
+        likely = docs.withColumn("place", place).mapInArrow(lambda it: _likely(it, shared), "doc_id long, text string")
+        found = likely.join(wanted, "doc_id", "left_semi")
+    make = _digests if shingles else _bitmaps
+    # Repeated rows go while they are texts: sets are larger.
+    return materialize(found.dropDuplicates(["doc_id", "text"]).mapInArrow(lambda it: make(it, width), schema), "jaccard-sets")
 
 
 def _lacking(ids: DataFrame, sets: DataFrame) -> DataFrame:
@@ -377,7 +413,11 @@ def _sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, keep: int) -> DataFrame:
-    """The pairs whose sets, intersected exactly, reach the similarity."""
+    """The stored pairs whose sets, intersected exactly, reach the similarity."""
+    if pairs.count() <= FEW:
+        # Only the sets of these pairs are shuffled.
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        sets = sets.join(F.broadcast(ends), "rep", "left_semi")
     links = _sides(pairs, sets, "shingles").mapInArrow(lambda it: _exact(it, keep), "a long, b long")
     return materialize(links.distinct(), "jaccard-links")
 
@@ -408,13 +448,16 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     texts = docs.where(F.col("text").isNotNull())
-    shared = texts.mapInArrow(lambda it: _lowest(it, width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    counts = texts.mapInArrow(lambda it: _lowest(it, width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    shared = materialize(counts.where("n > 1"), "jaccard-shared")
+    size = min(max(1 << 15, 1 << (8 * shared.count()).bit_length()), SHARED_BITS)
+    several = _folded(shared.select(F.col("h").bitwiseAND(F.lit(size - 1)).alias("place")), size)
     top = materialize(shared.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(HITTERS), "jaccard-frequent").toPandas()
     keys, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(keys)
     ranks = np.empty(len(keys), np.int32)
     ranks[np.lexsort((keys, counts))] = np.arange(len(keys))
-    hitters = spark.sparkContext.broadcast((keys[order], ranks[order]))
+    hitters = spark.sparkContext.broadcast((keys[order], ranks[order], several))
     table = materialize(
         docs.mapInArrow(
             lambda it: _prefixes(it, width, percent, hitters),

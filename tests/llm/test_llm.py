@@ -422,6 +422,26 @@ def test_digests_of_a_conversation(spark):
     assert (row.loss_chars, row.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_shingles_of_one_document_are_not_posted(spark, monkeypatch):
+    """Only shared shingles make tile rows; no link is lost, also with a full filter and without broadcasts."""
+    posted, rows = jaccard_tiles._posted, spark.sparkContext.accumulator(0)
+
+    def counted(batches, keep):
+        for batch in posted(batches, keep):
+            rows.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(jaccard_tiles, "_posted", counted)
+    lone = [" ".join(f"d{i}w{k}" for k in range(100)) for i in range(50)]
+    assert _joined(spark, lone) == _components(lone)
+    # About a quarter of 50 * 96 shingles are in prefixes; the few beyond the counted range are posted.
+    assert rows.value < 200
+    texts = _texts(1, 60) + lone[:3] + [lone[2].replace("d2w99", "edit")]
+    for name, value in (("FEW", 0), ("SHARED_BITS", 1 << 15)):
+        monkeypatch.setattr(jaccard_tiles, name, value)
+        assert _joined(spark, texts) == _components(texts)
+    assert rows.value > 0
+
 
 def test_finer_chunks_give_the_ids_of_whole_texts(monkeypatch):
     """Chunks that differ in case or in what follows a word are encoded once; odd texts keep the library's ids."""
@@ -441,3 +461,21 @@ def test_finer_chunks_give_the_ids_of_whole_texts(monkeypatch):
         monkeypatch.setattr(encoder, "_encode", lambda chunks: met.extend(chunks) or made(chunks))
         encoder.encode(pa.array([" zweifelhafter zweifelhafter, zweifelhafter. Zweifelhafter"]))
         assert len(met) <= (3 if name.startswith("word") else 4)
+
+
+
+def test_tiles_of_a_large_group_yield_few_equal_pairs():
+    """Many tiles with the same members bring pairs of different pivots, and none that has had no turn is lost."""
+    n = 400
+    rep, text = np.arange(n), np.arange(64, dtype=np.uint64)
+    bits = [jaccard_tiles._signature(text)] * n
+    meta = np.full(n, len(text) << 31)
+    tiles = [
+        pa.record_batch({"h": np.full(n, h), "rep": rep, "meta": meta, "component": rep, "bits": pa.array(bits, pa.binary())})
+        for h in range(20)
+    ]
+    made = pa.Table.from_batches(jaccard_tiles._rounds(iter(tiles), 75, jaccard_tiles.COMPARISONS, jaccard_tiles.REACH))
+    pairs = made.filter(made["a"].is_valid())
+    assert 0 < pairs.num_rows <= 20 * jaccard_tiles.PIVOTS * jaccard_tiles.REACH
+    assert len(set(zip(*[pairs[c].to_pylist() for c in ("a", "b")]))) > pairs.num_rows // 2
+    assert made.num_rows - pairs.num_rows >= 20 * (n - jaccard_tiles.PIVOTS)
