@@ -37,7 +37,9 @@ SCALE = 1_000_000
 FILTER_BITS = 1 << 27
 _PROBES = 4
 #: Text that is folded at once, and how much deeper each round goes.
-_SLICE = 4 << 20
+_SLICE = 2 << 20
+#: Rows of an Arrow batch that a task hands back: larger ones fill memory outside the heap on both sides.
+_ROWS = 1 << 16
 _DEEPER = 4
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _COUNTS = "lang string, phrase string, c long"
@@ -147,7 +149,8 @@ def _found(parts: DataFrame, make: Callable[[Grams], Iterator[pa.RecordBatch]],
             for i in range(batch.num_rows):
                 grams = Grams(batch.slice(i, 1))
                 if len(grams.ids):
-                    yield from make(grams)
+                    for made in make(grams):
+                        yield from (made.slice(at, _ROWS) for at in range(0, made.num_rows, _ROWS))
 
     return parts.mapInArrow(run, schema)
 

@@ -463,6 +463,22 @@ def test_finer_chunks_give_the_ids_of_whole_texts(monkeypatch):
         assert len(met) <= (3 if name.startswith("word") else 4)
 
 
+def test_what_a_slice_yields_comes_back_in_small_batches(monkeypatch):
+    """A slice of many n-grams is handed back in batches of bounded rows, none of which is lost."""
+    monkeypatch.setattr(collocations, "_ROWS", 50, raising=False)
+    texts = pa.record_batch({"text": [" ".join(f"w{k}" for k in range(400))], "lang": ["de"]})
+    names = [n.split(" ")[0] for n in collocations._SLICES.split(", ")]
+    langs, words, *rest = collocations._split(texts)
+    lists = [pa.ListArray.from_arrays([0, len(x)], x) for x in (langs, words)]
+    part = pa.RecordBatch.from_arrays([*lists, *[pa.array([x], pa.binary()) for x in rest]], names)
+
+    class Parts:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([part])))
+
+    sizes = [b.num_rows for b in collocations._found(Parts(), collocations._words)]
+    assert sum(sizes) == 401 and max(sizes) <= 50
+
 
 def test_tiles_of_a_large_group_yield_few_equal_pairs():
     """Many tiles with the same members bring pairs of different pivots, and none that has had no turn is lost."""
