@@ -8,10 +8,10 @@ than one document. The order puts frequent shingles last;
 it comes from counts over all documents and influences cost, never
 results. A tile is (shingle, size band); sets near the lower end of a band
 are also guests of the band below. Inside a tile sets are compared with a pivot
-first, and only where tile members remain in different components are the other
-pairs of these components taken, the likeliest first and with bounded numbers of pairs and comparisons per round,
+first, which settles all pairs of the pivot; only where other members remain in different components and sizes and
+positions allow them a partner there are their pairs taken, the likeliest first and with bounded numbers of pairs and comparisons per round,
 between which components are named anew, until none is left. Such tiles with the same members are one: the first of them in the common order has
-the tightest positions, so it alone is taken. Candidate pairs pass size and position bounds, then
+the loosest positions, so it alone is taken; copies of a set stand in it once. Candidate pairs pass size and position bounds, then
 hashed bitmap signatures whose bit counts bound the overlap from above, inside the tile
 except for pivots, then exact intersection of the sorted arrays. So no link between different
 components is lost and no group is turned into all of its pairs.
@@ -52,8 +52,12 @@ FIRST_TILES = 8
 #: further round, until the pivot has met all of them.
 REACH = 4
 GROWTH = 8
-#: Pivots of a tile in the first round, each tile its own; ``GROWTH`` times as many in each further round.
-PIVOTS = 64
+#: Pivots of a tile that bring pairs in the first round, each tile its own; ``GROWTH`` times as many in each further
+#: round. ``LOOKS`` times as many are looked at, since those without a partner bring none.
+PIVOTS = 512
+LOOKS = 16
+#: Members of a tile that are compared by size and position before bitmaps are fetched; all of a larger one stay.
+SCREENED = 256
 
 
 def _sets(column: pa.Array, width: int):
@@ -187,12 +191,12 @@ def _posted(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordB
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Attach the tile's first own member as pivot to the other members; lone members go.
+    """Attach the tile's first own member as pivot to the other members, numbered by ``place``; lone members go.
 
     Rows arrive sorted by tile, own members first; nothing but the current
-    pivot is kept between batches.
+    pivot and its number of members is kept between batches.
     """
-    last = None
+    last, before = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -204,15 +208,66 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (band[1:] != band[:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-        keep = np.flatnonzero(~new & (guest[first] == 0) & (rep != rep[first]))
+        # A doc_id may stand in a tile with several sets.
+        others = ~new & (guest[first] == 0) & ((rep != rep[first]) | (meta != meta[first]))
+        keep = np.flatnonzero(others)
         last = [c[first[-1]] for c in cols]
         at = first[keep]
+        count = np.cumsum(others)
+        place = count - count[first] - 1 + np.where(first == 0, before, 0)
+        # A pivot that was carried over stands first in the batch.
+        before = int(place[-1]) + 1
         if len(keep):
             yield pa.record_batch(
-                {"h": h[keep], "rep": rep[keep], "meta": meta[keep], "pivot": rep[at], "pivot_meta": meta[at]}
+                {"h": h[keep], "rep": rep[keep], "meta": meta[keep], "pivot": rep[at], "pivot_meta": meta[at], "place": place[keep]}
             )
 
 
+def _tiles(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns of sorted tile rows in runs of whole tiles, and where in a run the tiles begin and the last one ends."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if held is not None:
+            cols = [np.concatenate((x, c)) for x, c in zip(held, cols)]
+        band = _parts(cols[2])[0]
+        edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (band[1:] != band[:-1])) + 1
+        cuts = np.concatenate(([0], edge))
+        if len(edge):
+            yield [c[: cuts[-1]] for c in cols], cuts
+        held = [c[cuts[-1] :] for c in cols]
+    if held is not None:
+        yield held, np.array([0, len(held[0])])
+
+
+def _screened(batches: Iterator[pa.RecordBatch], keep: int) -> Iterator[pa.RecordBatch]:
+    """The members whose tile has one of another component that sizes and positions allow as a partner."""
+    names = ("h", "rep", "meta", "component")
+    for cols, cuts in _tiles(batches, names):
+        _, _, meta, component = cols
+        _, guest, n, pos = _parts(meta)
+        size = np.diff(cuts)
+        tile, ok = np.repeat(np.arange(len(size)), size), np.zeros(len(meta), bool)
+        small = size[tile] <= 16
+        for step in range(1, min(int(size.max()), 16)):
+            a = np.flatnonzero(small[:-step] & (tile[:-step] == tile[step:]))
+            b = a + step
+            fit = (component[a] != component[b]) & (guest[a] + guest[b] < 2) & _fits(keep, n[a], pos[a], n[b], pos[b])
+            ok[a[fit]] = ok[b[fit]] = True
+        for t in np.flatnonzero(size > 16):
+            at = slice(cuts[t], cuts[t + 1])
+            c, g, m, p = component[at], guest[at], n[at], pos[at]
+            if len(c) > SCREENED:
+                ok[at] = c.min() < c.max()
+                continue
+            fit = (c[:, None] != c) & (g[:, None] + g < 2) & _fits(keep, m[:, None], p[:, None], m, p)
+            ok[at] = fit.any(axis=1)
+        if ok.any():
+            yield pa.record_batch({k: x[ok] for k, x in zip(names, cols)})
+
+
 def _bounds(bits: np.ndarray, n: np.ndarray):
     """A function that bounds the overlap of one member of a tile with some others, by their bitmaps."""
     width = np.array([len(x) // 8 for x in bits])
@@ -248,6 +303,7 @@ def _rounds(batches: Iterator[pa.RecordBatch], keep: int, comparisons: int, reac
     bound first, and the members that remain for the next round (``a`` null). Pivots come from the smaller
     components of a tile, in an order of the tile's own, so that the many tiles of a large group do not all
     yield the same pairs; once a pivot has met every member it leaves, and pivots without a turn keep theirs.
+    Where every pivot has been looked at, only those that still have pairs to bring, and their partners, remain.
     """
 
     met: list[np.ndarray] = []
@@ -266,52 +322,41 @@ def _rounds(batches: Iterator[pa.RecordBatch], keep: int, comparisons: int, reac
         # All members of the largest component stay; the others are pivots in turn.
         turn = np.lexsort((mixed([h.view(np.uint64), rep.view(np.uint64)]), guest, sizes[own]))
         turn = turn[own[turn] != np.argmax(sizes)]
-        done = np.zeros(len(rep), bool)
+        done, wanted = np.zeros(len(rep), bool), np.zeros(len(rep), bool)
         bound = _bounds(bits, n)
-        pivots = max(1, min(comparisons // len(rep), PIVOTS * reach // REACH))
-        more = len(turn) > pivots
-        for p in turn[:pivots]:
+        left = max(1, PIVOTS * reach // REACH)
+        looks = max(1, min(comparisons // len(rep), LOOKS * left))
+        for p in turn[:looks]:
             mate = ~done & (component != component[p]) & (guest + guest[p] < 2)
             m = np.flatnonzero(mate & _fits(keep, n[p], pos[p], n, pos))
             common = bound(p, m)
             some = (100 + keep) * common >= keep * (n[p] + n[m])
             m, common = m[some], common[some]
-            if len(m) > reach:
-                m = m[np.lexsort((rep[m], -common / (n[p] + n[m])))[:reach]]
-                more = True
-            else:
-                done[p] = True
-            if len(m):
-                met.append(np.stack((np.minimum(rep[p], rep[m]), np.maximum(rep[p], rep[m]))))
-                if len(met) >= 20_000 or len(m) > 100_000:
-                    yield pairs()
-        if more:
-            m = np.flatnonzero(~done)
+            done[p] = len(m) <= reach and (left > 0 or not len(m))
+            if not done[p]:
+                wanted[p] = wanted[m] = True
+            if not len(m) or not left:
+                continue
+            left -= 1
+            m = m[np.lexsort((rep[m], -common / (n[p] + n[m])))[:reach]]
+            met.append(np.stack((np.minimum(rep[p], rep[m]), np.maximum(rep[p], rep[m]))))
+            if len(met) >= 20_000 or len(m) > 100_000:
+                yield pairs()
+        m = np.flatnonzero(~done & wanted if looks >= len(turn) else ~done)
+        if len(m):
             none = pa.nulls(len(m), pa.int64())
             yield pa.record_batch({"a": none, "b": none, "h": h[m], "rep": rep[m], "meta": meta[m]})
 
-    held: list[np.ndarray] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "rep", "meta", "component", "bits")]
-        if held is not None:
-            cols = [np.concatenate((x, c)) for x, c in zip(held, cols)]
-        band = _parts(cols[2])[0]
-        edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (band[1:] != band[:-1])) + 1
-        cuts = np.concatenate(([0], edge))
+    for cols, cuts in _tiles(batches, ("h", "rep", "meta", "component", "bits")):
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield from tile(*[c[a:b] for c in cols])
-        held = [c[cuts[-1] :] for c in cols]
-    if held is not None:
-        yield from tile(*held)
     if met:
         yield pairs()
 
 
 def _signature(values: np.ndarray) -> bytes:
-    """Hashed bitmap, about four to eight bits per shingle; wider ones fold onto narrower ones."""
-    bits = 1 << max(6, int(4 * len(values)).bit_length())
+    """Hashed bitmap, about eight to sixteen bits per shingle; wider ones fold onto narrower ones."""
+    bits = 1 << max(6, int(8 * len(values)).bit_length())
     out = np.zeros(bits, np.uint8)
     out[(values % np.uint64(bits)).astype(np.int64)] = 1
     return np.packbits(out).tobytes()
@@ -476,7 +521,7 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     # Four orders of pivots, by the tile: a set far from one pivot meets others.
     order = ["h", band, guest, F.xxhash64("rep", F.pmod("h", F.lit(4)))]
     tiles = materialize(
-        posted.repartition("h").sortWithinPartitions(*order).mapInArrow(_stars, f"{_TILE}, pivot long, pivot_meta long"),
+        posted.repartition("h").sortWithinPartitions(*order).mapInArrow(_stars, f"{_TILE}, pivot long, pivot_meta long, place long"),
         "jaccard-tiles",
     )
     _, pivot_n, pivot_pos = (_meta(F.col("pivot_meta"), part) for part in range(3))
@@ -484,6 +529,7 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     pairs = (
         tiles.where(100 * F.least(n, pivot_n) >= percent * F.greatest(n, pivot_n))
         .where(F.least(n - pos, pivot_n - pivot_pos) >= need)
+        .where("rep <> pivot")
         .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         .distinct()
     )
@@ -492,40 +538,49 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     near = _sides(known, sets, "n", "bits").mapInArrow(lambda it: _bounded(it, percent), "a long, b long")
     links = _linked(materialize(near.distinct(), "jaccard-bounded"), sets, percent)
     # Copies of a set are linked without being compared.
-    copies = filled.join(reps, ["d1", "d2"]).where("doc_id <> rep")
-    links = links.union(materialize(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "jaccard-copies"))
-    # Tiles whose members are not all in one component show by a member apart from its pivot.
+    copies = materialize(filled.join(reps, ["d1", "d2"]).select("doc_id", "n", "rep").distinct(), "jaccard-copies")
+    links = links.union(copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     components = connected(links, "jaccard-components")
-    stars = tiles.select("rep", "pivot").distinct()
-    apart = _named(_named(stars, components, "rep"), components, "pivot").where("rep_component <> pivot_component")
-    mixed = tiles.join(apart, ["rep", "pivot"]).select("h", "pivot", "pivot_meta").distinct()
-    # A tile has one pivot, and a pivot has one row per tile of its own.
-    open_tiles = materialize(mixed, "jaccard-mixed")
-    members = tiles.join(open_tiles, ["h", "pivot", "pivot_meta"], "left_semi").select("h", "rep", "meta").union(
-        open_tiles.select("h", F.col("pivot").alias("rep"), F.col("pivot_meta").alias("meta"))
-    )
-    # Of tiles with the same members the first in the common order stays.
-    members = members.withColumns({"band": band, "n": n, "pos": pos})
-    same = {
-        "size": F.count(F.lit(1)),
-        "mark": F.bit_xor(F.xxhash64("rep")),
-        "total": F.sum(F.shiftright(F.xxhash64("rep", F.lit(1)), 32)),
-    }
-    alike = members.groupBy("h", "band").agg(F.min("pos").alias("first"), *[c.alias(k) for k, c in same.items()])
-    alike = alike.groupBy("band", *same).agg(F.min_by("h", "first").alias("h")).select("h", "band")
-    members = materialize(members.join(alike, ["h", "band"], "left_semi").select("h", "rep", "meta", "band", "n"), "jaccard-members")
-    missing = _lacking(members.select(F.col("rep").alias("doc_id")), sets)
-    bitmaps = sets.select("rep", "n", "bits").union(_made(missing, texts, width, shingles=False))
-    # The first round takes some tiles, so that the others find most of their members in one component.
+    # The pairs of pivots are settled, so tiles with two other members at least remain.
+    members = tiles.withColumn("band", band)
+    members = members.join(members.where("place = 1").select("h", "band"), ["h", "band"], "left_semi")
+    # A copy gives way to the first of its set, unless it has several sets of that size.
+    firsts = copies.groupBy("doc_id", "n").agg(F.min("rep").alias("first_id"), F.max("rep").alias("last_id"))
+    firsts = firsts.where("first_id = last_id and doc_id <> first_id").select(F.col("doc_id").alias("rep"), "n", "first_id")
+    members = members.select("h", "rep", "meta", "band", n.alias("n")).join(firsts, ["rep", "n"], "left")
+    members = materialize(members.select("h", F.coalesce("first_id", "rep").alias("rep"), "meta").distinct(), "jaccard-members")
+
+    def screened(members: DataFrame) -> DataFrame:
+        """The members that may have a partner in another component, and their components."""
+        named = _named(members, components, "rep").withColumnRenamed("rep_component", "component")
+        rows = named.repartition("h").sortWithinPartitions("h", band).mapInArrow(
+            lambda it: _screened(it, percent), f"{_TILE}, component long"
+        )
+        return materialize(rows.withColumns({"band": band, "n": n}), "jaccard-named")
+
+    def unlike(members: DataFrame) -> DataFrame:
+        """Of tiles with the same members the first in the common order."""
+        same = {
+            "size": F.count(F.lit(1)),
+            "mark": F.bit_xor(F.xxhash64("rep")),
+            "total": F.sum(F.shiftright(F.xxhash64("rep", F.lit(1)), 32)),
+        }
+        alike = members.groupBy("h", "band").agg(F.min(pos).alias("first"), *[c.alias(k) for k, c in same.items()])
+        alike = alike.groupBy("band", *same).agg(F.min_by("h", "first").alias("h")).select("h", "band")
+        return materialize(members.join(alike, ["h", "band"], "left_semi"), "jaccard-unlike")
+
+    bitmaps = sets.select("rep", "n", "bits")
+    # Some tiles are taken first, so that the others find most of their members in one component.
     chosen = F.pmod(F.shiftright("h", 2), F.lit(FIRST_TILES)) == 0
     members, later = members.where(chosen), members.where(~chosen)
-    reach = REACH
-    while later is not None or not members.isEmpty():
-        named = _named(members, components, "rep").withColumnRenamed("rep_component", "component")
-        # Bitmaps go only to tiles that have members in different components.
-        named = materialize(named, "jaccard-named")
-        several = named.groupBy("h", "band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        named = named.join(several.select("h", "band"), ["h", "band"], "left_semi")
+    reach, opened = REACH, True
+    while opened or not members.isEmpty():
+        named = screened(members)
+        if opened:
+            named = unlike(named)
+            missing = _lacking(named.select(F.col("rep").alias("doc_id")), bitmaps)
+            bitmaps = bitmaps.union(_made(missing, texts, width, shingles=False))
+        # Bitmaps go only to members that may have a partner in another component.
         turn = materialize(
             named.join(bitmaps, ["rep", "n"])
             .select("h", "rep", "meta", "component", "bits", "band")
@@ -540,9 +595,7 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
             "jaccard-pairs",
         )
         # A doc_id with several sets stands in a tile once for each of one size.
-        members = turn.where("a is null").select("h", "rep", "meta").distinct().withColumns({"band": band, "n": n})
-        if later is not None:
-            members, later = members.unionByName(later), None
+        members = turn.where("a is null").select("h", "rep", "meta").distinct()
         if not pairs.isEmpty():
             sets = sets.union(_made(_lacking(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), sets), texts, width))
             known = known.union(pairs)
@@ -550,6 +603,9 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
             if not links.isEmpty():
                 stars = components.select(F.col("node").alias("a"), F.col("component").alias("b"))
                 components = connected(stars.union(links), "jaccard-components")
+        opened = later is not None
+        if opened:
+            members, later = members.union(later), None
     return table.select("doc_id", F.col("n").alias("n_shingles")).join(
         components.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left"
     ).withColumn("component_id", F.coalesce("component_id", "doc_id"))

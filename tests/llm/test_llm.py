@@ -495,3 +495,55 @@ def test_tiles_of_a_large_group_yield_few_equal_pairs():
     assert 0 < pairs.num_rows <= 20 * jaccard_tiles.PIVOTS * jaccard_tiles.REACH
     assert len(set(zip(*[pairs[c].to_pylist() for c in ("a", "b")]))) > pairs.num_rows // 2
     assert made.num_rows - pairs.num_rows >= 20 * (n - jaccard_tiles.PIVOTS)
+
+
+def test_tiles_keep_no_member_without_a_partner():
+    """Members that no bitmap allows a partner leave in one round, however many there are."""
+    n = 400
+    rep = np.arange(n)
+    rng = np.random.default_rng(4)
+    bits = [jaccard_tiles._signature(rng.integers(0, 2**63, 64, dtype=np.uint64)) for _ in range(n)]
+    tile = pa.record_batch({"h": np.zeros(n, np.int64), "rep": rep, "meta": np.full(n, 64 << 31), "component": rep, "bits": pa.array(bits, pa.binary())})
+    assert sum(b.num_rows for b in jaccard_tiles._rounds(iter([tile]), 75, jaccard_tiles.COMPARISONS, jaccard_tiles.REACH)) == 0
+
+
+def test_pairs_that_a_pivot_settles_open_no_tile(spark, monkeypatch):
+    """Unlike texts that share shingles in twos bring nothing into the rounds."""
+    rounds, rows = jaccard_tiles._rounds, spark.sparkContext.accumulator(0)
+
+    def counted(batches, keep, comparisons, reach):
+        def seen():
+            for batch in batches:
+                rows.add(batch.num_rows)
+                yield batch
+
+        return rounds(seen(), keep, comparisons, reach)
+
+    monkeypatch.setattr(jaccard_tiles, "_rounds", counted)
+    texts = []
+    for i in range(30):
+        shared = [f"s{i}w{k}" for k in range(40)]
+        texts += [" ".join(shared + [f"{side}{i}w{k}" for k in range(20)]) for side in "ab"]
+    assert _joined(spark, texts) == _components(texts)
+    assert rows.value == 0
+
+
+def test_a_doc_id_with_several_sets_and_copies_keeps_all_links(spark):
+    """Rows of one doc_id in one tile, copies of a set under other ids, and sets that share a size."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for k in rng.sample(range(80), rng.choice((0, 1, 2, 3, 4))):
+            own[k] = f"e{rng.randrange(40)}"
+        rows.append((rng.randrange(40), " ".join(own[: rng.choice((80, 80, 70, 60))])))
+    ids = sorted({i for i, _ in rows})
+    sets = [(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)}) for i, w in ((i, t.split()) for i, t in rows)]
+    root = {i: i for i in ids}
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if 100 * len(x & y) >= 75 * len(x | y):
+            p, q = root[a], root[b]
+            root = {i: min(p, q) if r in (p, q) else r for i, r in root.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in jaccard_tiles.shingle_components(docs).collect()} == root
