@@ -58,6 +58,8 @@ PIVOTS = 512
 LOOKS = 16
 #: Members of a tile that are compared by size and position before bitmaps are fetched; all of a larger one stay.
 SCREENED = 256
+#: Text of a slice. Shingling needs about 40 times as much memory.
+SLICE = 1 << 20
 
 
 def _sets(column: pa.Array, width: int):
@@ -67,7 +69,7 @@ def _sets(column: pa.Array, width: int):
 def _lowest(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """The shingles of every document that hash order puts into its prefix or shortly after it."""
     limit = np.uint64(int(COUNTED * 2**64))
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE):
         values, _ = _sets(part.column("text"), width)
         yield pa.record_batch({"h": (values[values < limit] >> np.uint64(_TILE_SHIFT)).view(np.int64)})
 
@@ -110,7 +112,7 @@ def _prefixes(batches, width: int, keep: int, hitters) -> Iterator[pa.RecordBatc
     """
     keys, ranks, several = hitters.value
     met: set[bytes] = set()
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE):
         values, ends = _sets(part.column("text"), width)
         d1, d2, prefix, sizes = [], [], [], np.diff(ends)
         named = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -382,7 +384,7 @@ def _bitmaps(batches, width: int) -> Iterator[pa.RecordBatch]:
 
 
 def _digests(batches, width: int) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", SLICE):
         values, ends = _sets(part.column("text"), width)
         own = [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
         yield pa.record_batch(

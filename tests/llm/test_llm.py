@@ -547,3 +547,19 @@ def test_a_doc_id_with_several_sets_and_copies_keeps_all_links(spark):
             root = {i: min(p, q) if r in (p, q) else r for i, r in root.items()}
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r.doc_id: r.component_id for r in jaccard_tiles.shingle_components(docs).collect()} == root
+
+
+def test_shingles_are_made_of_small_slices(monkeypatch):
+    """A worker holds the shingles of a megabyte of text at a time."""
+    sets, sizes = jaccard_tiles._sets, []
+
+    def counted(column, width):
+        sizes.append(sum(len(t.as_py()) for t in column))
+        return sets(column, width)
+
+    monkeypatch.setattr(jaccard_tiles, "_sets", counted)
+    text = " ".join(f"w{k}" for k in range(20_000))
+    batch = pa.record_batch({"doc_id": np.arange(30), "text": [text] * 30})
+    assert sum(b.num_rows for b in jaccard_tiles._lowest(iter([batch]), 5)) > 0
+    assert sum(b.num_rows for b in jaccard_tiles._digests(iter([batch]), 5)) == 30
+    assert sum(sizes) == 60 * len(text) and max(sizes) <= 1 << 20
