@@ -79,7 +79,7 @@ def compose(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int, keep_ids: bool):
     encoder = Encoder.of(path)
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", keep=True):
         ids, bounds = encoder.encode(part.column("text"))
         rows: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32", "ids")}
         for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from emberfield.llm.components import connected
 from emberfield.llm.textbatch import Words, flat, mixed, shingle_sets, slices
-from emberfield.session import materialize, small_batches
+from emberfield.session import FINE_BYTES, materialize, small_batches
 
 #: A shingle of so many documents is frequent; the most frequent ones make a table of 12 bytes each.
 FREQUENT = 8
@@ -432,7 +432,8 @@ def _made(wanted: DataFrame, docs: DataFrame, width: int, shingles: bool = True)
     wanted = materialize(wanted, "jaccard-wanted")
     count = wanted.count()
     if not count:
-        return docs.sparkSession.createDataFrame([], schema)
+        # No rows from Python: they would start workers beside those that serve the texts.
+        return docs.sparkSession.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in schema.split(", "))])
     if count <= FEW:
         found = docs.join(F.broadcast(wanted), "doc_id", "left_semi")
     else:
@@ -492,7 +493,7 @@ def shingle_components(docs: DataFrame, width: int = 5, percent: int = 75) -> Da
     An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, FINE_BYTES)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text"))
     texts = docs.where(F.col("text").isNotNull())
     counts = texts.mapInArrow(lambda it: _lowest(it, width), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from emberfield.llm.textbatch import Words, flat, slices
-from emberfield.session import small_batches
+from emberfield.session import FINE_BYTES, small_batches
 
 #: Labelled documents per language that the model is fitted on (expected number, chosen by a hash of their ids).
 FIT_DOCUMENTS = 2000
@@ -95,11 +95,12 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, terms: int = TERMS)
     if not sizes:
         return {"languages": [], "tables": [], "steps": []}
     spark = labelled.sparkSession
-    small_batches(spark)
-    share = spark.createDataFrame([(k, min(1.0, documents / n)) for k, n in sizes.items()], "lang string, share double")
-    # A hash of the id spreads evenly over 0..1; one row per language is broadcast.
+    small_batches(spark, FINE_BYTES)
+    # At most one entry per language. Rows from Python would start workers beside those that serve the texts.
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, documents / n))])
+    # A hash of the id spreads evenly over 0..1.
     at = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    some = known.join(F.broadcast(share), "lang").where(at < F.col("share")).select("lang", "text")
+    some = known.where(at < share[F.col("lang")]).select("lang", "text")
     counts = some.mapInArrow(_counted, "lang string, size int, term string, n long").groupBy("lang", "size", "term").agg(
         F.sum("n").alias("n")
     )
@@ -244,7 +245,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     of the best language after scaling sums by the root of the number of words.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, FINE_BYTES)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])
     shared = spark.sparkContext.broadcast(model)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from emberfield.llm.textbatch import Words, flat, mixed, slices, windows
-from emberfield.session import small_batches
+from emberfield.session import FINE_BYTES, small_batches
 
 #: Labelled documents per class that the model is fitted on (expected number, chosen by a hash of their ids).
 FIT_DOCUMENTS = 1500
@@ -200,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> d
     ``labels`` has ``doc_id`` and ``quality``; null labels are left out, and a document with several
     labels takes the smallest. The chosen ids (2 x ``documents`` expected) are broadcast.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, FINE_BYTES)
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(
         F.min("quality").cast("int").alias("quality")
     )
@@ -276,7 +276,7 @@ def judge(docs: DataFrame, model: dict | None, share: float = CONTENT_SHARE) ->
     Without a model every line counts as content. Columns of the added names are replaced;
     other columns are carried along.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, FINE_BYTES)
     added = {*_BASE, "content_share", "base_failed", "kept"}
     kept = [c for c in docs.columns if c not in added]
     frame = docs.select(*[F.col(f"`{c}`") for c in kept])

@@ -55,7 +55,7 @@ def decode_values(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 def _tokens(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     encoder = Encoder.of(path)
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", keep=True):
         ids, bounds = encoder.encode(part.column("text"))
         yield pa.record_batch(
             {

@@ -6,6 +6,8 @@ slice (about ``SLICE_BYTES`` of text, or one text if that is longer).
 
 from __future__ import annotations
 
+import ctypes
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,18 +17,35 @@ import xxhash
 
 SLICE_BYTES = 4 << 20
 
+#: What a worker keeps from task to task, such as an encoder with its memory of chunks.
+KEPT: dict = {}
+#: Gives freed memory between living objects back to the system, where the C library can (glibc).
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+
 _BYTES = np.arange(256)
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = (_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13))
 LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Give back the memory that Arrow and the C library keep for reuse.
+
+    An idle worker would hold it beside those that serve the next step.
+    """
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each slice holds about ``size`` bytes of text, or a single row.
 
-    At the end the memory that Arrow keeps for reuse is given back, since an idle worker would hold it
-    beside those that serve the next step.
+    What other steps have left in ``KEPT`` goes first, unless the caller uses it (``keep``); unused memory
+    is given back at the end.
     """
+    if KEPT and not keep:
+        KEPT.clear()
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(lengths)
@@ -37,7 +56,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES
             yield batch.slice(first, last - first)
             first = last
     batch = None
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

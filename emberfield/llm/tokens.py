@@ -16,7 +16,7 @@ import json
 import numpy as np
 import pyarrow as pa
 
-from emberfield.llm.textbatch import LOWER, WHITE, encoded, flat
+from emberfield.llm.textbatch import KEPT, LOWER, WHITE, encoded, flat
 
 #: Entries of each of the two halves of a worker's memory of chunks.
 MEMORY = 200_000
@@ -92,8 +92,6 @@ class Memory:
 class Encoder:
     """A tokenizer file of the tokenizers library; ids of whole texts, without added special tokens."""
 
-    _made: dict[str, "Encoder"] = {}
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -122,10 +120,10 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
-        """One encoder per file and worker."""
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        """One encoder per file and worker, as long as the worker serves steps that encode."""
+        if path not in KEPT:
+            KEPT[path] = cls(path)
+        return KEPT[path]
 
     def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
         # The batch form without offsets gives the same ids in less time.

@@ -12,6 +12,10 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of an Arrow batch. A task holds a batch several times over, in Python and outside the JVM's heap.
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
+#: For steps that take small slices of their texts anyway.
+FINE_BYTES = 2 << 20
+#: The size that this module has set last, by application.
+_GIVEN: dict[str, str] = {}
 
 #: Run folders that have an owner, by application.
 _OWNED: set[str] = set()
@@ -42,13 +46,15 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let texts go to Python in batches of ``BATCH_BYTES`` where the session has no setting of its own.
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Let texts go to Python in batches of ``size`` bytes where the session has no setting of its own.
 
-    The setting stays, since a table is computed after the operator has returned it.
+    The setting stays until an operator asks for another size, since a table is computed after the operator has returned it.
     """
-    if spark.conf.get(_BATCH_BYTES, None) is None:
-        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
+    application = spark.sparkContext.applicationId
+    if spark.conf.get(_BATCH_BYTES, None) in (None, _GIVEN.get(application)):
+        _GIVEN[application] = str(size)
+        spark.conf.set(_BATCH_BYTES, size)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -563,3 +563,43 @@ def test_shingles_are_made_of_small_slices(monkeypatch):
     assert sum(b.num_rows for b in jaccard_tiles._lowest(iter([batch]), 5)) > 0
     assert sum(b.num_rows for b in jaccard_tiles._digests(iter([batch]), 5)) == 30
     assert sum(sizes) == 60 * len(text) and max(sizes) <= 1 << 20
+
+
+def test_a_worker_keeps_an_encoder_only_while_it_encodes():
+    """Steps of another kind find no memory of chunks beside them."""
+    from emberfield.llm import textbatch
+
+    batch = pa.record_batch({"doc_id": [1, 2], "text": ["a b c", "d"]})
+    assert sum(b.num_rows for b in best_two_fit._cut(iter([batch]), BYTE, 2, 1024, False)) == 2
+    own = Encoder.of(BYTE)
+    assert sum(b.num_rows for b in best_two_fit._cut(iter([batch]), BYTE, 2, 1024, False)) == 2
+    assert Encoder.of(BYTE) is own and own.memory.young
+    assert sum(b.num_rows for b in jaccard_tiles._digests(iter([batch]), 5)) == 2
+    assert not textbatch.KEPT and Encoder.of(BYTE) is not own
+
+
+def test_operators_change_their_own_batch_size_only(spark):
+    key = session._BATCH_BYTES
+    spark.conf.unset(key)
+    try:
+        session.small_batches(spark, session.FINE_BYTES)
+        assert int(spark.conf.get(key)) == session.FINE_BYTES
+        session.small_batches(spark)
+        assert int(spark.conf.get(key)) == session.BATCH_BYTES
+        spark.conf.set(key, 3 << 20)
+        session.small_batches(spark, session.FINE_BYTES)
+        assert int(spark.conf.get(key)) == 3 << 20
+    finally:
+        spark.conf.unset(key)
+
+
+def test_language_and_duplicates_send_no_rows_from_python(spark, monkeypatch):
+    """Such rows have Python workers of their own, which stay beside those that serve the texts."""
+    rows = [(i, text, lang) for i in range(20) for text, lang in ((f"the dog number {i}", "en"), (f"der hund nummer {i}", "de"))]
+    docs = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    model = language_backoff.fit(docs, documents=1000)
+    assert model["languages"] == ["de", "en"] and {"the", "der"} <= set(model["tables"][0][0])
+    # No two texts share a shingle, so no sets are needed.
+    got = jaccard_tiles.shingle_components(docs).collect()
+    assert len(got) == 40 and all(r.component_id == r.doc_id for r in got)
